@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import embeddings, langid, mixing, sharding, simhash
+from barloom.llm import chat, embeddings, langid, mixing, sharding, simhash
 from barloom.llm.common import read
 
 
@@ -37,6 +37,31 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(marks).alias("text")) for i, r in enumerate(("user", "assistant"))])),
+    )
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = chat.format_turns(chat.canonical_turns(chat.rows_to_records(rows)))
+    back = done.select(
+        F.col("id").alias("conv_id"),
+        "formatted",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(read(spark, sf_dir, "documents"))
     return found.select(
@@ -58,8 +83,32 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_embeddings, op7_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_embeddings, op6_chat, op7_mixing, op9_sharding)}
+
+
+def _escaped_length(column: str) -> str:
+    """DuckDB SQL for the number of characters of an escaped text."""
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}' || chr(92) || '{control[1:]}')"
+    return f"length({out})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    marks = "</s>[INST] ok [/INST]"
+    turn_chars = len(chat.OPEN) + len(chat.CLOSE) + 2
+    return {
+        "op6_chat": f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '{marks}'), (-7, 1, 'assistant', '{marks}')
+)
+select conv_id,
+       count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum({_escaped_length("role")} + {_escaped_length("text")} + {turn_chars}) as bigint) as formatted_chars
+from said group by conv_id
+"""
+    }
