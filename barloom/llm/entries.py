@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, embeddings, langid, mixing, sharding, simhash
+from barloom.llm import chat, decontaminate, embeddings, langid, mixing, sharding, simhash
 from barloom.llm.common import read
 
 
@@ -82,8 +82,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_embeddings, op6_chat, op7_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_embeddings, op6_chat, op7_mixing, op9_sharding, op10_decontaminate)}
 
 
 def _escaped_length(column: str) -> str:

@@ -166,37 +166,57 @@ def prototypes(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return sums.groupBy("lang").applyInPandas(bundle, "lang string, vector array<double>")
 
 
-def _predictions(batches: Iterator, names: list[str], matrix, dim: int) -> Iterator:
-    """(id, held, text) to (id, held, lang, score)."""
+def _classified(texts: list[str | None], names: list[str], matrix, dim: int) -> tuple[list[str | None], object]:
+    """The best language and its cosine for each text; none where there is nothing to compare."""
     import numpy as np
-    import pyarrow as pa
 
     encoder = _encoder(dim)
-    for batch in batches:
-        n = batch.num_rows
-        best, score = np.full(n, -1), np.zeros(n)
-        for rows, text, code, count in encoder.chunks(batch.column(2).to_pylist()):
-            if not len(code) or not len(names):
-                continue
-            seen, column = np.unique(code, return_inverse=True)
-            vectors = np.zeros((len(rows), dim), np.float32)
-            for at in range(0, len(seen), 4096):  # bundle: counts times bound trigrams
-                here = (column >= at) & (column < at + 4096)
-                bound = encoder.vectors(seen[at : at + 4096])
-                table = np.zeros((len(rows), len(bound)), np.float32)
-                table[text[here], column[here] - at] = count[here]
-                vectors += table @ bound
-            length = np.linalg.norm(vectors.astype(float), axis=1)
-            cosine = (vectors.astype(float) @ matrix.T) / np.where(length > 0, length, 1)[:, None]
-            some = np.zeros(len(rows), bool)
-            some[text] = True
-            rows = np.array(rows)[some]
-            best[rows] = cosine[some].argmax(1)
-            score[rows] = cosine[some].max(1)
-        lang = pa.array([names[i] if i >= 0 else None for i in best.tolist()], pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), lang, pa.array(np.clip(score, 0, 1))], ["id", "held", "lang", "score"]
-        )
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    for rows, text, code, count in encoder.chunks(texts):
+        if not len(code) or not len(names):
+            continue
+        seen, column = np.unique(code, return_inverse=True)
+        vectors = np.zeros((len(rows), dim), np.float32)
+        for at in range(0, len(seen), 4096):  # bundle: counts times bound trigrams
+            here = (column >= at) & (column < at + 4096)
+            bound = encoder.vectors(seen[at : at + 4096])
+            table = np.zeros((len(rows), len(bound)), np.float32)
+            table[text[here], column[here] - at] = count[here]
+            vectors += table @ bound
+        length = np.linalg.norm(vectors.astype(float), axis=1)
+        cosine = (vectors.astype(float) @ matrix.T) / np.where(length > 0, length, 1)[:, None]
+        some = np.zeros(len(rows), bool)
+        some[text] = True
+        rows = np.array(rows)[some]
+        best[rows] = cosine[some].argmax(1)
+        score[rows] = cosine[some].max(1)
+    return [names[i] if i >= 0 else None for i in best.tolist()], np.clip(score, 0, 1)
+
+
+def language(
+    docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, max_train: int = MAX_TRAIN
+) -> Column:
+    """A column (lang, score) for the texts of ``docs``, from prototypes fitted on its ``train`` rows."""
+    import numpy as np
+    import pandas as pd
+
+    fit = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    part = max_train / max(1, fit.count())
+    if part < 1:
+        spread = F.pmod(F.xxhash64(F.substring(F.col(text_col).cast("string"), 1, 1000), F.octet_length(F.col(text_col).cast("string"))), F.lit(1 << 20))
+        fit = fit.where(spread < int(part * (1 << 20)))
+    table = prototypes(fit, text_col, lang_col, dim).orderBy("lang").collect()  # one row a language
+    matrix = np.array([x["vector"] for x in table]).reshape(len(table), dim)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    names = [x["lang"] for x in table]
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            lang, score = _classified(texts.tolist(), names, shared.value, dim)
+            yield pd.DataFrame({"lang": [x or UNKNOWN for x in lang], "score": score})
+
+    return F.pandas_udf(classify, "lang string, score double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string"))
 
 
 def identify(
@@ -213,25 +233,12 @@ def identify(
 
     The prototypes are fitted on rows where ``train`` holds and text and language are not
     null; where there are more than about ``max_train`` of them, on those with the smallest
-    hashes of id and text.  Whole texts are read.  ``score`` is the cosine with the best
+    hashes of the text.  Whole texts are classified.  ``score`` is the cosine with the best
     prototype, at least 0; ties go to the language that sorts first.  Null texts, texts
-    without a letter, and all texts if nothing can be trained on,
-    get ``und`` and 0.  Repeated rows and null ids come back as given; ``held`` is passed on.
+    without a letter, and all texts if nothing can be trained on, get ``und`` and 0.
+    Repeated rows and null ids come back as given; ``held`` is passed on.
     """
-    import numpy as np
-
-    fit = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    part = max_train / max(1, fit.count())
-    if part < 1:
-        fit = fit.where(F.pmod(F.xxhash64(id_col, F.octet_length(F.col(text_col).cast("string"))), F.lit(1 << 20)) < int(part * (1 << 20)))
     held = F.lit(False) if held is None else held
-    found = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held boolean, lang string, score double"
-    table = prototypes(fit, text_col, lang_col, dim).orderBy("lang").collect()  # one row a language
-    matrix = np.array([x["vector"] for x in table]).reshape(len(table), dim)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    names = [x["lang"] for x in table]
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
-    result = found.mapInArrow(lambda it: _predictions(it, names, shared.value, dim), schema)
-    return result.select("id", "held", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang_pred"), "score")
+    found = language(docs, train, text_col, lang_col, dim, max_train)
+    named = docs.select(F.col(id_col).alias("id"), held.alias("held"), found.alias("found"))
+    return named.select("id", "held", F.col("found.lang").alias("lang_pred"), "found.score")
