@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, embeddings, langid, mixing, sharding, simhash
+from barloom.llm import chat, decontaminate, embeddings, langid, licenses, lines, mixing, secret_scan, sharding, simhash
 from barloom.llm.common import read
 
 
@@ -20,6 +20,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.kept_lines(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_lines",
+        F.size("kept").cast("long").alias("n_kept"),
+        F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept_lines"),
+    )
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -37,6 +47,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(
@@ -69,6 +83,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"), secret_scan.example_findings(spark))
+    # the values themselves stay out of the report
+    return found.select(
+        F.col("id").alias("doc_id"), "first_char", "length", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score")
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(read(spark, sf_dir, "documents"), shards=40)
     return found.select(
@@ -88,7 +110,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_embeddings, op6_chat, op7_mixing, op9_sharding, op10_decontaminate)}
+    every = (
+        op1_simhash, op2_lines, op3_langid, op4_embeddings, op5_licenses, op6_chat, op7_mixing, op8_secrets, op9_sharding, op10_decontaminate,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _escaped_length(column: str) -> str:
