@@ -31,7 +31,7 @@ _EMPTY = 0xFFFFFFFF
 
 def normal(line: Column) -> Column:
     """The form in which lines are compared."""
-    return F.lower(F.trim(F.translate(line, "\t\r", "  ")))
+    return F.lower(F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))))
 
 
 class Signer:
