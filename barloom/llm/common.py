@@ -36,12 +36,20 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    """Number of runs of characters other than space and U+0009 to U+000D (null: 0)."""
-    # translate the five control blanks first, so that one split serves; leading and
-    # trailing blanks would give empty strings and are trimmed away
-    plain = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    words = F.size(F.split(plain, " +"))
-    return F.coalesce(F.when(plain == "", 0).otherwise(words), F.lit(0)).cast("long")
+    """Number of runs of characters other than space and U+0009 to U+000D (null: 0).
+
+    Whole-string replacements alone: no array of words is made, nor a string a character.
+    """
+    plain = text
+    for control in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(control), F.lit(" "))
+    for mark in "\x01\x02":  # free for the marks below, as parts of words
+        plain = F.replace(plain, F.lit(mark), F.lit("x"))
+    plain = F.trim(plain)
+    # a run of blanks becomes a run of the pair 1 2, of which all but the ends go
+    marked = F.replace(F.replace(plain, F.lit(" "), F.lit("\x01\x02")), F.lit("\x02\x01"), F.lit(""))
+    gaps = F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("\x01"), F.lit("")))
+    return F.coalesce(F.when(plain == "", 0).otherwise(gaps + 1), F.lit(0)).cast("long")
 
 
 def shuffle_width(spark: SparkSession) -> int:
