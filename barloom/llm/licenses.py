@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW, BAND = 3, 2, 12
+GRAM, WINDOW = 3, 2
 COVERAGE, LEAST_WORDS = 0.8, 5
 #: Characters that are indexed at once; longer texts are read in overlapping slices.
 CHUNK = 1 << 20
@@ -112,6 +112,11 @@ def _hash(grams: tuple[str, ...]) -> int:
     return xxhash.xxh64_intdigest(" ".join(grams).encode("utf-8", "replace"), 42)
 
 
+def band(words: int) -> int:
+    """How far the diagonals of one occurrence may drift; less than a template's length, so repeats stay apart."""
+    return words // 4 + 1
+
+
 class Index:
     """The inverted index of the templates' winnowed fingerprints."""
 
@@ -140,7 +145,7 @@ class Index:
             found.sort()
             group = [found[0]]
             for hit in found[1:]:
-                if hit[0] - group[-1][0] > BAND:
+                if hit[0] - group[-1][0] > band(len(self.words[t])):
                     yield t, group[0][0], group[-1][0]
                     group = []
                 group.append(hit)
@@ -192,9 +197,9 @@ def _confirmed(index: Index, tokens: list[tuple[str, int, int]], coverage: float
     words = [w for w, _, _ in tokens]
     for t, low, high in index.candidates(words):
         template, pattern = index.templates[t], index.words[t]
-        spread = len(pattern) // 4 + 1
-        for at in range(low, high + 1, BAND):  # long clusters are aligned band by band
-            matched, places = align(pattern, words, at - spread, min(high, at + BAND) + spread)
+        spread = band(len(pattern))
+        for at in range(low, high + 1, spread):  # long clusters are aligned band by band
+            matched, places = align(pattern, words, at - spread, min(high, at + spread) + spread)
             used = [p for p in places if p >= 0]
             if matched < coverage * len(pattern) or not used:
                 continue
