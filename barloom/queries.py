@@ -154,6 +154,10 @@ def _r(column: str, digits: int = 4) -> Column:
     return _rounded(F.col(column), digits).alias(column)
 
 
+#: Tables that a deployment stores and the test data has to derive: kept for the session once made.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Inputs:
     """The derived relations of one data folder, as lazy DataFrames."""
 
@@ -161,8 +165,16 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
+        if name == "bars":
+            return self._stored(name, lambda: fixtures.load(self.spark, self.sf_dir, name))
         return fixtures.load(self.spark, self.sf_dir, name)
 
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = make().persist()  # memory and disk; lost parts are made again
+        return _STORED[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -170,7 +182,7 @@ class Inputs:
         return act.verify_actions(self("filings"), self("bars"))
 
     def actions(self) -> DataFrame:
-        return corporate_actions(self("filings"), self("bars"), ("source_ex_date", "subject", "g"))
+        return self._stored("actions", lambda: corporate_actions(self("filings"), self("bars"), ("source_ex_date", "subject", "g")))
 
     def adjusted(self) -> DataFrame:
         return adjust.adjusted_bars(self("bars"), self.actions())

@@ -1,27 +1,18 @@
-"""Schemas of the curated tables and of the raw files; nothing is inferred."""
+"""Schemas of the curated tables and of the raw files, as DDL; nothing is inferred."""
 
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-DAILY = _schema(
+DAILY = (
     "symbol string, date date, series string, isin string, open double, high double, low double, close double, "
     "prev_close double, volume bigint, traded_value double, trades bigint"
 )
-INDEX_DAILY = _schema("index_name string, date date, open double, high double, low double, close double")
-ACTIONS = _schema(
+INDEX_DAILY = "index_name string, date date, open double, high double, low double, close double"
+ACTIONS = (
     "symbol string, ex_date date, factor double, kind string, status string, implied double, subject string, "
     "source_ex_date date, applied boolean"
 )
-CONSTITUENTS = _schema("index_name string, symbol string, name string, industry string, isin string")
-FILINGS = _schema("symbol string, subject string, exDate string")
-FLOWS = _schema("category string, date string, buyValue string, sellValue string, netValue string")
-ARTICLES = _schema(
+CONSTITUENTS = "index_name string, symbol string, name string, industry string, isin string"
+FILINGS = "symbol string, subject string, exDate string"
+FLOWS = "category string, date string, buyValue string, sellValue string, netValue string"
+ARTICLES = (
     "uuid string, title string, description string, url string, source string, image_url string, published_at string, "
     "entities array<struct<symbol:string,sentiment_score:double>>"
 )

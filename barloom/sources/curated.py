@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom import schemas
 
@@ -26,8 +25,8 @@ def constituents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CONSTITUENTS).parquet(path)
 
 
-def _with_year(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
+def _with_year(schema: str) -> str:
+    return f"{schema}, year int"
 
 
 def _since(rows: DataFrame, since: str | None) -> DataFrame:
