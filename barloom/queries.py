@@ -469,7 +469,7 @@ def _money(values: str) -> Column:
 
 @query(
     "select symbol, count(*) as n, string_agg(cast(date as varchar), ',' order by date) as d, "
-    "string_agg(cast(cast(close::decimal(20,9) as decimal(18,2)) as varchar), ',' order by date) as c, string_agg(cast(cast(trunc(volume) as bigint) as varchar), ',' order by date) as v "
+    "string_agg(cast(cast(close::varchar::decimal(38,18) as decimal(18,2)) as varchar), ',' order by date) as c, string_agg(cast(cast(trunc(volume) as bigint) as varchar), ',' order by date) as v "
     "from (select *, row_number() over (partition by symbol order by date desc) as n from adj where symbol in (select sym from flagged)) where n <= 500 group by 1"
 )
 def candle_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,7 +479,7 @@ def candle_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "select cast(row_number() over (order by date) - 1 as bigint) as i, cast(date as varchar) as d, cast(cast(close::decimal(20,9) as decimal(18,2)) as double) as c from "
+    "select cast(row_number() over (order by date) - 1 as bigint) as i, cast(date as varchar) as d, cast(cast(close::varchar::decimal(38,18) as decimal(18,2)) as double) as c from "
     "(select date, close from adj where symbol = 'S0003' order by date desc limit 180)"
 )
 def candle_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,7 +502,7 @@ def index_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "select index_name, string_agg(cast(date as varchar), ',' order by date) as dates, "
-    "string_agg(cast(cast(close::decimal(20,9) as decimal(18,2)) as varchar), ',' order by date) as closes from index_bars group by 1"
+    "string_agg(cast(cast(close::varchar::decimal(38,18) as decimal(18,2)) as varchar), ',' order by date) as closes from index_bars group by 1"
 )
 def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candles.index_series(Inputs(spark, sf_dir)("index_bars"))
