@@ -4,7 +4,7 @@ Lines are compared trimmed and lower-cased.  Equal lines form one class, named b
 hash, and only classes are compared.  A class's signature has one minimum for each of
 ``BANDS * ROWS`` bins (each shingle is hashed once, into one bin; empty bins borrow from
 others in a fixed random order).  Classes that agree in all rows of a band are candidates;
-at Jaccard 0.8 a band agrees with probability 0.41 and 12 bands find the pair with 0.998.
+at Jaccard 0.8 a band agrees with probability 0.41 and 10 bands find the pair with 0.995.
 
 Each band's candidates are first verified against its most frequent line.  Only where a
 band then still holds several components are its other pairs verified, in blocks, and never
@@ -16,13 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.llm.common import settle, shuffle_width
 from barloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 12, 4, 23
+BANDS, ROWS, SEED = 10, 4, 23
 #: Lines of a band that are compared in one block.
 BLOCK = 256
 CHUNK = 1 << 20
@@ -104,7 +105,7 @@ def _signed(batches: Iterator, shingle: int) -> Iterator:
                 size += len(lines[end]) + shingle
                 end += 1
             bands = signer.bands(lines[at:end]).ravel()
-            columns = [np.repeat(ids[at:end], BANDS), bands, np.repeat(count[at:end], BANDS)]
+            columns = [np.repeat(ids[at:end], BANDS), bands, np.repeat(count[at:end].astype(np.int32), BANDS)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "band", "weight"])
             at = end
 
@@ -209,10 +210,12 @@ def components(docs: DataFrame, id_col: str, text_col: str, shingle: int, simila
 
     width = shuffle_width(docs.sparkSession)
     # lines come once a batch, so few rows share a band however often a line repeats
-    signed = lines.select("id", "line").mapInArrow(lambda it: _signed(it, shingle), "id long, band long, weight long")
+    signed = lines.select("id", "line").mapInArrow(lambda it: _signed(it, shingle), "id long, band long, weight int")
+    # one shuffle by band serves the sums, the counts and the choice of a centre
     keyed = signed.repartition(width, "band").groupBy("band", "id").agg(F.sum("weight").alias("weight"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.max_by("id", "weight").alias("centre")).where("n > 1")
-    members = settle(keyed.join(shared, "band").select("band", "id", "n", "centre"))
+    of_band = W.partitionBy("band")
+    counted = keyed.withColumns({"n": F.count("*").over(of_band), "centre": F.max_by("id", F.struct("weight", "id")).over(of_band)})
+    members = settle(counted.where("n > 1").select("band", "id", "n", "centre"))
 
     needed = members.select("id").distinct().join(firsts, "id").select("id", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"))
     texts = settle(lines.select("row", "pos", "line").join(needed, ["row", "pos"]).select("id", "line"))
