@@ -218,7 +218,8 @@ def components(docs: DataFrame, id_col: str, text_col: str, shingle: int, simila
     members = settle(counted.where("n > 1").select("band", "id", "n", "centre"))
 
     needed = members.select("id").distinct().join(firsts, "id").select("id", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"))
-    texts = settle(lines.select("row", "pos", "line").join(needed, ["row", "pos"]).select("id", "line"))
+    # the places of candidates are hashed a partition at a time, so the texts of all lines need no sort
+    texts = settle(lines.select("row", "pos", "line").join(needed.hint("shuffle_hash"), ["row", "pos"]).select("id", "line"))
     stars = members.where("id != centre").select("id", "centre").distinct()
     left, right = texts.select("id", F.col("line").alias("left")), texts.select(F.col("id").alias("centre"), F.col("line").alias("right"))
     pairs = stars.join(left, "id").join(right, "centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "left", "right")
@@ -239,7 +240,8 @@ def kept_lines(
     with each other or through others, form a component, and only its first line stays: the
     one with the smallest id (null first), then row, then place.  Lines shorter than a
     shingle are one shingle.  Blank lines are always kept.  ``kept`` lists places from 0,
-    ascending; ``row`` numbers the rows as Spark scans them.  Null texts have no lines, an
+    ascending; ``row`` numbers the rows as Spark scans them, so ``docs`` should be a stored
+    table, or else a plan that gives its rows in the same order each time.  Null texts have no lines, an
     empty text has one blank line.  Repeated rows are treated as two documents.  An empty
     table gives an empty result.
     """
