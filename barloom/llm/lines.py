@@ -13,7 +13,7 @@ two lines of one component.  Components come from a distributed union of the lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -119,20 +119,20 @@ def jaccard(a: frozenset[str], b: frozenset[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verified(batches: Iterator, shingle: int, similarity: float) -> Iterator:
+def _verified(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
     """(a, b, left, right) to the (a, b) whose texts are similar enough."""
     import pyarrow as pa
 
     for batch in batches:
         texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = [jaccard(shingles(x, shingle), shingles(y, shingle)) >= similarity for x, y in texts]
+        keep = [jaccard(cut(x), cut(y)) >= similarity for x, y in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block_links(rows: list[dict], shingle: int, similarity: float) -> Iterator[dict]:
+def _block_links(rows: list[dict], cut: Callable, similarity: float) -> Iterator[dict]:
     """Links between components of one block, at most one for each two that get joined."""
     low, high = rows[0]["low"], rows[0]["high"]
-    sets = [shingles(x["line"], shingle) for x in rows]
+    sets = [cut(x["line"]) for x in rows]
     root = {x["root"]: x["root"] for x in rows}
 
     def find(x: int) -> int:
@@ -153,7 +153,7 @@ def _block_links(rows: list[dict], shingle: int, similarity: float) -> Iterator[
                 yield {"a": rows[i]["id"], "b": rows[j]["id"]}
 
 
-def _compared(batches: Iterator, shingle: int, similarity: float) -> Iterator:
+def _compared(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
     """Rows sorted by band and block, each block whole in a partition, to links (a, b)."""
     import pyarrow as pa
 
@@ -163,15 +163,15 @@ def _compared(batches: Iterator, shingle: int, similarity: float) -> Iterator:
         out: list[dict] = []
         for row in batch.to_pylist():
             if held and (row["band"], row["low"], row["high"]) != (held[0]["band"], held[0]["low"], held[0]["high"]):
-                out += _block_links(held, shingle, similarity)
+                out += _block_links(held, cut, similarity)
                 held = []
             held.append(row)
         yield pa.RecordBatch.from_pylist(out, schema=schema)
     if held:
-        yield pa.RecordBatch.from_pylist(list(_block_links(held, shingle, similarity)), schema=schema)
+        yield pa.RecordBatch.from_pylist(list(_block_links(held, cut, similarity)), schema=schema)
 
 
-def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, cut: Callable, similarity: float, block: int) -> DataFrame:
     """Links between the components that bands of three lines or more still hold."""
     labelled = settle(
         members.where("n > 2")
@@ -184,7 +184,7 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int,
     open_ = labelled.join(split, "band").withColumn("inner", F.col("root") == F.col("main"))
     # blocks of the main component come first; two of them are never compared
     sizes = open_.groupBy("band").agg(
-        F.ceil(F.count_if("inner") / BLOCK).cast("int").alias("inside"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).cast("int").alias("outside")
+        F.ceil(F.count_if("inner") / block).cast("int").alias("inside"), F.ceil(F.count_if(~F.col("inner")) / block).cast("int").alias("outside")
     )
     spread = F.xxhash64("id", F.lit(SEED))
     side = F.when(F.col("inner"), F.pmod(spread, F.col("inside"))).otherwise(F.col("inside") + F.pmod(spread, F.col("outside")))
@@ -196,7 +196,22 @@ def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int,
     laid = dealt.join(texts, "id").select("band", "low", "high", "side", "id", "root", "line")
     width = shuffle_width(members.sparkSession)
     laid = laid.repartition(width, "band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
-    return laid.mapInArrow(lambda it: _compared(it, shingle, similarity), "a long, b long")
+    return laid.mapInArrow(lambda it: _compared(it, cut, similarity), "a long, b long")
+
+
+def linked(members: DataFrame, texts: DataFrame, cut: Callable, similarity: float, block: int) -> DataFrame:
+    """(node, root) of the candidates (band, id, n, centre) whose texts (id, line) are near copies.
+
+    ``cut`` gives the set of shingles of a text.
+    """
+    stars = members.where("id != centre").select("id", "centre").distinct()
+    left, right = texts.select("id", F.col("line").alias("left")), texts.select(F.col("id").alias("centre"), F.col("line").alias("right"))
+    pairs = stars.join(left, "id").join(right, "centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "left", "right")
+    links = settle(pairs.mapInArrow(lambda it: _verified(it, cut, similarity), "a long, b long"))
+    roots = connected_components(links)
+    rest = settle(_rest(members, roots, texts, cut, similarity, block))
+    stars_of_roots = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return connected_components(stars_of_roots.unionByName(rest))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -220,14 +235,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, shingle: int, simila
     needed = members.select("id").distinct().join(firsts, "id").select("id", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"))
     # the places of candidates are hashed a partition at a time, so the texts of all lines need no sort
     texts = settle(lines.select("row", "pos", "line").join(needed.hint("shuffle_hash"), ["row", "pos"]).select("id", "line"))
-    stars = members.where("id != centre").select("id", "centre").distinct()
-    left, right = texts.select("id", F.col("line").alias("left")), texts.select(F.col("id").alias("centre"), F.col("line").alias("right"))
-    pairs = stars.join(left, "id").join(right, "centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "left", "right")
-    links = settle(pairs.mapInArrow(lambda it: _verified(it, shingle, similarity), "a long, b long"))
-    roots = connected_components(links)
-    rest = settle(_rest(members, roots, texts, shingle, similarity))
-    stars_of_roots = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return firsts, connected_components(stars_of_roots.unionByName(rest))
+    return firsts, linked(members, texts, lambda x: shingles(x, shingle), similarity, BLOCK)
 
 
 def kept_lines(
