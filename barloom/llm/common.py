@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_rows(df: DataFrame, row_col: str) -> DataFrame:
+    """``df`` with a column of distinct longs, written to the shared folder.
+
+    A number that is computed anew in each scan changes with the splits of the scan, which
+    Spark derives from the cores of the moment; a stored one does not.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.withColumn(row_col, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space and U+0009 to U+000D (null: 0).
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width
+from barloom.llm.common import settle, shuffle_width, stored_rows
 from barloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -214,16 +214,13 @@ def linked(members: DataFrame, texts: DataFrame, cut: Callable, similarity: floa
     return connected_components(stars_of_roots.unionByName(rest))
 
 
-def components(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(id, first) of every different line, and (node, root) of the lines with near-copies."""
-    rows = docs.select(
-        F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text")
-    )
+def components(rows: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, first) of every different line of the stored (doc, row, text), and (node, root) of the lines with near-copies."""
     lines = rows.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", normal(F.col("line")))
     lines = lines.where("line != ''").withColumn("id", F.xxhash64("line"))
     firsts = settle(lines.groupBy("id").agg(F.min(F.struct("doc", "row", "pos")).alias("first")))
 
-    width = shuffle_width(docs.sparkSession)
+    width = shuffle_width(rows.sparkSession)
     # lines come once a batch, so few rows share a band however often a line repeats
     signed = lines.select("id", "line").mapInArrow(lambda it: _signed(it, shingle), "id long, band long, weight int")
     # one shuffle by band serves the sums, the counts and the choice of a centre
@@ -248,22 +245,27 @@ def kept_lines(
     with each other or through others, form a component, and only its first line stays: the
     one with the smallest id (null first), then row, then place.  Lines shorter than a
     shingle are one shingle.  Blank lines are always kept.  ``kept`` lists places from 0,
-    ascending; ``row`` numbers the rows as Spark scans them, so ``docs`` should be a stored
-    table, or else a plan that gives its rows in the same order each time.  Null texts have no lines, an
-    empty text has one blank line.  Repeated rows are treated as two documents.  An empty
+    ascending; ``row`` numbers the rows; the numbers are stored with the texts in the shared
+    folder, so every scan sees the same.  Null texts have no lines, an empty text has one blank line.  Repeated rows are treated as two documents.  An empty
     table gives an empty result.
     """
-    firsts, roots = components(docs, id_col, text_col, shingle, similarity)
+    slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return _kept(stored_rows(slim, "row"), shingle, similarity)
+
+
+def _kept(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``kept_lines`` of the stored (doc, row, text)."""
+    firsts, roots = components(rows, shingle, similarity)
     everyone = roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))
     best = everyone.join(firsts, F.col("node") == F.col("id")).groupBy("root").agg(F.min_by("node", "first").alias("winner"))
     gone = settle(everyone.join(best, "root").where("node != winner").select(F.col("node").alias("id")))
     stay = firsts.join(gone, "id", "left_anti")
     of_row = stay.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.pos").alias("places"))
-    cut = F.split(F.col(text_col).cast("string"), "\n")
+    cut = F.split("text", "\n")
     blank = F.array_compact(F.transform(cut, lambda x, i: F.when(normal(x) == "", i)))
-    slim = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("id"),
+    slim = rows.select(
+        "row",
+        F.col("doc").alias("id"),
         F.coalesce(F.size(cut), F.lit(0)).alias("n_lines"),
         F.coalesce(blank, F.array().cast("array<int>")).alias("blank"),
     ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
@@ -276,8 +278,10 @@ def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
     """``docs`` with repeated lines removed from the text; other columns are passed on."""
-    kept = kept_lines(docs, id_col, text_col, shingle, similarity).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row")
+    stored = stored_rows(docs, "_row")
+    rows = stored.select(F.col(id_col).alias("doc"), F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = _kept(rows, shingle, similarity).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
+    joined = stored.join(kept, "_row")
     cut = F.split(F.col(text_col).cast("string"), "\n")
     text = F.array_join(F.transform("_kept", lambda i: F.get(cut, i)), "\n")
     return joined.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(*docs.columns)
