@@ -3,7 +3,9 @@
 Templates and texts are sequences of lower-cased words.  A template's word trigrams are
 winnowed (the smallest hash of every ``WINDOW`` neighbours is kept) and put in an inverted
 index from hash to (template, place).  Any run of ``GRAM + WINDOW - 1`` words that a text
-shares with a template holds one of its fingerprints.  A text's hits are gathered by
+shares with a template holds one of its fingerprints.  Edits can break all such runs, so
+single words that no finding can do without are indexed too: a name of the template, or, for
+one without names, one place more than may be missed.  A text's hits are gathered by
 template along their diagonals (place in the text less place in the template); each
 cluster of diagonals is a candidate, which is aligned inside a band around the diagonals,
 with both ends of the text free.
@@ -118,22 +120,34 @@ def band(words: int) -> int:
 
 
 class Index:
-    """The inverted index of the templates' winnowed fingerprints."""
+    """The inverted index of the templates' winnowed fingerprints and indispensable words."""
 
-    def __init__(self, templates: tuple[Template, ...]) -> None:
+    def __init__(self, templates: tuple[Template, ...], coverage: float = COVERAGE) -> None:
         self.templates = templates
         self.words = [[w for w, _, _ in words_of(t.text)] for t in templates]
         self.places: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        self.anchors: dict[str, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
             if len(words) < LEAST_WORDS:
                 raise ValueError(f"template {templates[t].name} has fewer than {LEAST_WORDS} words")
             grams = list(zip(*(words[i:] for i in range(GRAM)), strict=False))
             for i in winnow([_hash(g) for g in grams], WINDOW):
                 self.places.setdefault(grams[i], []).append((t, i))
-        self.leads = {g[0] for g in self.places}
+            for i in self._indispensable(words, templates[t].names, coverage):
+                self.anchors.setdefault(words[i], []).append((t, i))
+        self.leads = {g[0] for g in self.places} | set(self.anchors)
         # one alternation of the fingerprints' first words: texts without any are passed over fast
         self.probe = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, self.leads))) + r")(?![^\W_])", re.IGNORECASE)
 
+    @staticmethod
+    def _indispensable(words: list[str], names: tuple[str, ...], coverage: float) -> list[int]:
+        """Places of which every finding matches one."""
+        if names:
+            name = min(names, key=lambda x: (words.count(x), -len(x), x))
+            return [i for i, word in enumerate(words) if word == name]
+        needed = next(m for m in range(len(words) + 1) if m >= coverage * len(words))
+        return sorted(range(len(words)), key=lambda i: (words.count(words[i]), -len(words[i]), i))[: len(words) - needed + 1]
+
     def candidates(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(template, lowest, highest diagonal) of each cluster of hits."""
         hits: dict[int, list[tuple[int, int]]] = {}
@@ -141,6 +155,8 @@ class Index:
             if word in self.leads:
                 for t, i in self.places.get(tuple(words[at : at + GRAM]), ()):
                     hits.setdefault(t, []).append((at - i, at))
+                for t, i in self.anchors.get(word, ()):
+                    hits.setdefault(t, []).append((at - i, at))
         for t, found in hits.items():
             found.sort()
             group = [found[0]]
@@ -199,6 +215,9 @@ def _confirmed(index: Index, tokens: list[tuple[str, int, int]], coverage: float
         template, pattern = index.templates[t], index.words[t]
         spread = band(len(pattern))
         for at in range(low, high + 1, spread):  # long clusters are aligned band by band
+            near = set(words[max(0, at - spread) : max(0, min(high, at + spread) + spread + len(pattern))])
+            if sum(x in near for x in pattern) < coverage * len(pattern):
+                continue
             matched, places = align(pattern, words, at - spread, min(high, at + spread) + spread)
             used = [p for p in places if p >= 0]
             if matched < coverage * len(pattern) or not used:
@@ -257,7 +276,7 @@ def scan_licenses(
     import pandas as pd
 
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(templates)
+        index = Index(templates, coverage)
         for texts in batches:
             yield pd.Series([scan(x, index, coverage) for x in texts.tolist()])
 
