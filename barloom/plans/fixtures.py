@@ -34,10 +34,14 @@ from {{supplier}} join {{nation}} on s_nationkey = n_nationkey join {{region}} o
     "filings": (
         ("supplier",),
         f"""select {_SYMBOL.format("s_suppkey")} as symbol, <days:date '1996-01-01'|(s_suppkey * 37 + g * 61) % 250 * 7> as ex,
-       case (s_suppkey + g) % 6 when 0 then 'Bonus 1:1'
+       case (s_suppkey + g) % 12 when 0 then 'Bonus 1:1'
          when 1 then 'Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share'
          when 2 then 'Dividend - Rs 5 Per Share' when 3 then 'Bonus 1 : 1250'
-         when 4 then 'Bonus 1:1 / Face Value Split From Rs 10 To Rs 2' else 'Bonus 1 : 2' end as subject, g
+         when 4 then 'Bonus 1:1 / Face Value Split From Rs 10 To Rs 2' when 5 then 'Bonus 1 : 2'
+         when 6 then 'Face Value Split - From Rs 10/- Per Equity Share To Rs 2/- Per Equity Share'
+         when 7 then 'Sub-Division From Rs.10/- Each To Re.1/- Each' when 8 then 'Stock  Split From Rs 10 Per Unit To Re 1 Per Unit'
+         when 9 then 'Face Value Split Rs 10 (Ten) To Rs 2 (Two)' when 10 then 'Bonus Debentures 1:1'
+         else 'Consolidation From Rs 1 To Rs 10' end as subject, g
 from {{supplier}} cross join (values (0), (1), (2)) t(g)""",
     ),
     "index_bars": (

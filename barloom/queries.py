@@ -32,11 +32,12 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 #: Relations of the oracle, each in terms of the ones before it.
 CTES: dict[str, str] = {name: fixtures.oracle(name) for name in fixtures.RELATIONS} | {
-    "parsed": """select symbol, ex, subject, g,
-  case subject when 'Bonus 1:1' then 2.0 when 'Bonus 1 : 2' then 1.5 when 'Bonus 1:1 / Face Value Split From Rs 10 To Rs 2' then 10.0
-    when 'Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share' then 5.0 end::double as factor,
-  case when subject in ('Bonus 1:1', 'Bonus 1 : 2') then 'bonus' when subject like 'Bonus 1:1 /%' then 'bonus+split'
-    when subject like 'Face%' then 'split' else 'other' end as kind from filings""",
+    "parsed": """select symbol, ex, subject, g, cast(known.factor as double) as factor, coalesce(known.kind, 'other') as kind
+  from filings left join (values ('Bonus 1:1', 2, 'bonus'), ('Bonus 1 : 2', 1.5, 'bonus'), ('Bonus 1:1 / Face Value Split From Rs 10 To Rs 2', 10, 'bonus+split'),
+    ('Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share', 5, 'split'),
+    ('Face Value Split - From Rs 10/- Per Equity Share To Rs 2/- Per Equity Share', 5, 'split'), ('Sub-Division From Rs.10/- Each To Re.1/- Each', 10, 'split'),
+    ('Stock  Split From Rs 10 Per Unit To Re 1 Per Unit', 10, 'split'), ('Face Value Split Rs 10 (Ten) To Rs 2 (Two)', 5, 'split')) known(label, factor, kind)
+  on known.label = filings.subject""",
     "gaps": """select symbol, date, implied from (
   select b.symbol, b.date, p.close / b.close as implied, b.date - p.date as days,
     row_number() over (partition by b.symbol, b.date order by p.date desc) as n

@@ -18,7 +18,10 @@ GOLDEN = [
     ("Bonus 1:1", 2.0, "bonus"), ("Bonus 1 : 2", 1.5, "bonus"), ("Bonus 10:1", 11.0, "bonus"), ("Bonus 1 : 1250", None, "other"),
     ("Bonus 1:50", 1.02, "bonus"), ("Bonus 20:1", None, "other"), ("Bonus Debentures 1:1", None, "other"),
     ("Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share", 5.0, "split"), ("Face Value Split Rs 10 To Rs 1", 10.0, "split"),
-    ("Face Value Split From Rs.5/- To Re.1/-", 5.0, "split"), ("Bonus 1:1 / Face Value Split From Rs 10 To Rs 2", 10.0, "bonus+split"),
+    ("Face Value Split From Rs.5/- To Re.1/-", 5.0, "split"), ("Split From Rs 10/- Per Equity Share To Rs 2/-", 5.0, "split"),
+    ("Sub-Division From Rs.10/- Each To Re.1/-", 10.0, "split"), ("Stock Split From Rs 10 Per Unit To Re 1", 10.0, "split"),
+    ("Sub Division From Rs 10 (Ten) To Rs 2", 5.0, "split"), ("Split Of Shares Rs 2.50 Fully Paid To Re 0.50", 5.0, "split"),
+    ("Split From Rs 2 To Rs 10", None, "other"), ("Split From Rs 100 To Rs 2", None, "other"), ("Bonus 1:1 / Face Value Split From Rs 10 To Rs 2", 10.0, "bonus+split"),
     ("Bonus 4:1 / Face Value Split From Rs 10 To Rs 1", None, "other"), ("Dividend - Rs 5 Per Share", None, "other"), ("Consolidation From Rs 1 To Rs 10", None, "other"),
 ]
 
