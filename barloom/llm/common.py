@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +38,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet: smaller than a checkpoint, and of a size that Spark knows."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored_rows(df: DataFrame, row_col: str) -> DataFrame:
     """``df`` with a column of distinct longs, written to the shared folder.
 
     A number that is computed anew in each scan changes with the splits of the scan, which
     Spark derives from the cores of the moment; a stored one does not.
     """
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.withColumn(row_col, F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stored(df.withColumn(row_col, F.monotonically_increasing_id()))
 
 
 def word_count(text: Column) -> Column:
@@ -66,3 +73,58 @@ def word_count(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a sieve, as a power of two, at most; 16 MB.
+SIEVE_BITS = 27
+
+
+class Sieve:
+    """A set of 64-bit hashes as an array of bits: no member is missed, others may pass."""
+
+    def __init__(self, places, masks, bits: int) -> None:
+        import numpy as np
+
+        self.bits = bits
+        self.table = np.zeros(1 << max(0, bits - 6), np.uint64)
+        self.table[places] = masks
+
+    def __call__(self, hashes):
+        """Whether each of the unsigned numbers may be a member."""
+        import numpy as np
+
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def sieve(hashes: DataFrame) -> Sieve:
+    """A sieve of a column of longs whose bits are evenly spread.
+
+    What reaches the driver, and the tasks by a broadcast, is at most ``2 ** SIEVE_BITS`` bits
+    however many values there are; a fuller sieve lets more other values pass.
+    """
+    import numpy as np
+
+    held = F.col(hashes.columns[0])
+    bits = min(SIEVE_BITS, max(10, math.ceil(math.log2(32 * hashes.count() + 1))))
+    place = F.shiftrightunsigned(held, 64 - bits)
+    spots = hashes.select(
+        F.shiftrightunsigned(place, 6).alias("place"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hashes.columns[0]}, {64 - bits}) & 63 as int))").alias("mask")
+    )
+    table = spots.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    return Sieve(table.column("place").to_numpy(), table.column("mask").to_numpy().astype(np.int64).view(np.uint64), bits)
+
+
+def sieved(rows: DataFrame, key_col: str, hashes: DataFrame) -> DataFrame:
+    """The rows whose key is in ``hashes``, and a few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(sieve(hashes))
+
+    def passed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column(key_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(shared.value(keys.view(np.uint64))))
+
+    return rows.mapInArrow(passed, rows.schema)

@@ -10,20 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle
+from barloom.llm.common import settle, shuffle_width
+
+
+def _apart(least: DataFrame) -> DataFrame:
+    """The minima dealt out by another hash, so that Spark shuffles both sides of the join and may split a large star."""
+    return least.repartition(shuffle_width(least.sparkSession), F.xxhash64("u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node with the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(_apart(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours with the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    joined = edges.join(_apart(least), "u")
     down = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

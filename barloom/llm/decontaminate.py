@@ -14,7 +14,7 @@ are equal or not.  For the others the number of repeats follows from the target
 seeded simulation of the walks at the most edits allowed.
 
 Items stay in tables.  What the tasks that read texts get of them is bit arrays of their
-q-grams and hashes, of at most ``2 ** SIEVE_BITS`` bits however many items there are, and a few
+q-grams and hashes, of at most ``2 ** 27`` bits however many items there are, and a few
 numbers for each class of lengths.  Fuller arrays let more windows through to the join; the
 result stays the same.
 """
@@ -28,12 +28,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width
+from barloom.llm.common import Sieve, settle, shuffle_width, sieve
 
 SIMILARITY, RECALL = 0.8, 0.99
 SAMPLES, MOST_REPEATS, SEED = 2, 1024, 5
-#: Bits of a sieve, as a power of two, at most; 16 MB.
-SIEVE_BITS = 27
 CHUNK = 1 << 18
 ROW = "row long, id {id}, class int, base long, words array<long>, keys array<long>"
 FOUND = "item_id {item}, edits int, words int, similarity double, first_word long, last_word long"
@@ -238,39 +236,6 @@ def _lengths(number: int, shortest: int, longest: int, similarity: float, recall
     return Lengths(number, shortest, longest, edits, q, bound(q), _repeats_needed(number, shortest, longest, similarity, recall))
 
 
-class Sieve:
-    """A set of 64-bit hashes as an array of bits: no member is missed, others may pass."""
-
-    def __init__(self, places, masks, bits: int) -> None:
-        import numpy as np
-
-        self.bits = bits
-        self.table = np.zeros(1 << max(0, bits - 6), np.uint64)
-        self.table[places] = masks
-
-    def __call__(self, hashes):
-        import numpy as np
-
-        at = hashes >> np.uint64(64 - self.bits)
-        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-
-def _sieve(hashes: DataFrame) -> Sieve:
-    """A sieve of the values of ``hashes`` (one column, many at once in arrays)."""
-    import numpy as np
-
-    column = hashes.columns[0]
-    total = hashes.agg(F.sum(F.size(column))).first()[0] or 0
-    bits = min(SIEVE_BITS, max(10, math.ceil(math.log2(32 * total + 1))))
-    place = F.shiftrightunsigned(F.col("x"), 64 - bits)
-    spots = hashes.select(F.explode(column).alias("x")).select(
-        F.shiftrightunsigned(place, 6).alias("place"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - bits}) & 63 as int))").alias("mask")
-    )
-    # at most 2 ** (SIEVE_BITS - 6) rows of two numbers, however many hashes there are
-    table = spots.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
-    return Sieve(table.column("place").to_numpy(), table.column("mask").to_numpy().astype(np.int64).view(np.uint64), bits)
-
-
 def _worded(batches: Iterator) -> Iterator:
     """(item_id, text) to (item_id, class, words); items without words go."""
     import pyarrow as pa
@@ -485,7 +450,7 @@ def find_leaks(
     found = items.groupBy("class").agg(F.min(F.size("words")), F.max(F.size("words"))).orderBy("class").collect()
     classes = {k: _lengths(k, a, b, similarity, recall) for k, a, b in found}
     hashed = settle(items.mapInArrow(lambda it: _item_hashes(it, classes), "item long, grams array<long>, keys array<long>"))
-    shared = spark.sparkContext.broadcast(Search(classes, _sieve(hashed.select("grams")), _sieve(hashed.select("keys"))))
+    shared = spark.sparkContext.broadcast(Search(classes, *[sieve(hashed.select(F.explode(c).alias("x"))) for c in ("grams", "keys")]))
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     runs = slim.mapInArrow(lambda it: _candidates(it, shared.value), ROW.format(**kinds))

@@ -6,27 +6,26 @@ hash, and only classes are compared.  A class's signature has one minimum for ea
 others in a fixed random order).  Classes that agree in all rows of a band are candidates;
 at Jaccard 0.8 a band agrees with probability 0.41 and 12 bands find the pair with 0.998.
 
-Each band's candidates are first verified against its most frequent line.  Only where a
-band then still holds several components are its other pairs verified, in blocks, and never
-two lines of one component.  Components come from a distributed union of the links.
+Texts are read three times, and what leaves the tasks is small: first the hash, the band hashes
+and one byte of every minimum of each different line; later the lines that are verified, which
+a sieve of their hashes picks out.  See ``verify`` for how candidates are verified and linked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width, stored_rows
-from barloom.llm.components import connected_components
+from barloom.llm.common import Sieve, settle, sieve, stored
+from barloom.llm.verify import grouped, linked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 23
 #: Lines of a band that are compared in one block.
 BLOCK = 256
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _EMPTY = 0xFFFFFFFF
 
 
@@ -48,29 +47,39 @@ class Signer:
         self.mixers = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
     def minima(self, lines: list[str]):
-        """The smallest hash in every bin; lines shorter than a shingle are filled up with zeros."""
+        """(table, filled): the smallest hash in every bin, and how many bins a line fills itself.
+
+        Lines shorter than a shingle are filled up with zeros.
+        """
         import numpy as np
 
         k = self.shingle
-        points = np.frombuffer("".join(x + "\0" * max(1, k - len(x)) for x in lines).encode("utf-32-le", "replace"), np.uint32)
+        padded = "".join([x + "\0" * max(1, k - len(x)) for x in lines])
+        codes = np.frombuffer(padded.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         sizes = np.array([len(x) + max(1, k - len(x)) for x in lines])
-        owner = np.repeat(np.arange(len(lines)), sizes)
-        first = np.cumsum(sizes) - sizes
-        last = first + np.maximum(sizes - 1, k)  # the closing zero belongs to no shingle
-        start = np.arange(max(0, len(points) - k + 1))
-        start = start[start + k <= last[owner[start]]]
-        codes = points.astype(np.uint64)
-        hashed = np.zeros(len(start), np.uint64)
+        count = max(0, len(codes) - k + 1)
+        hashed = np.zeros(count, np.uint64)
         for i in range(k):
-            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + codes[start + i] + np.uint64(1)
+            hashed *= np.uint64(0x9E3779B97F4A7C15)
+            hashed += codes[i : i + count]
+            hashed += np.uint64(1)
+        # the zero that closes a line belongs to no shingle, nor do runs over the end of a line
+        inside = np.ones(len(codes), bool)
+        last = np.cumsum(sizes)
+        for i in range(1, k + 1):
+            inside[last - np.minimum(i, sizes - 1)] = False
+        inside = inside[:count]
+        owner = np.repeat(np.arange(len(lines)) * self.bins, sizes)[:count][inside]
+        hashed = hashed[inside]
         hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         hashed ^= hashed >> np.uint64(29)
         place = (hashed >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)
         table = np.full(len(lines) * self.bins, _EMPTY, np.uint64)
-        np.minimum.at(table, owner[start] * self.bins + place.astype(np.int64), hashed & np.uint64(_EMPTY))
+        np.minimum.at(table, owner + place.astype(np.int64), hashed & np.uint64(_EMPTY))
         table = table.reshape(len(lines), self.bins)
         own = table.copy()
         row, column = np.nonzero(table == _EMPTY)
+        filled = self.bins - np.bincount(row, minlength=len(lines))
         for turn in range(self.bins - 1):
             if not len(row):
                 break
@@ -78,210 +87,161 @@ class Signer:
             table[row, column] = lent
             still = lent == _EMPTY
             row, column = row[still], column[still]
-        return table
+        return table, filled
 
     def bands(self, lines: list[str]):
+        return self.signatures(lines)[0]
+
+    def signatures(self, lines: list[str]):
+        """(bands, bytes): the band hashes, and a byte of every minimum behind the number of filled bins."""
         import numpy as np
 
-        table = self.minima(lines).reshape(len(lines), BANDS, ROWS)
-        mixed = (table * self.mixers).sum(2) + np.arange(BANDS, dtype=np.uint64)
+        table, filled = self.minima(lines)
+        mixed = (table.reshape(len(lines), BANDS, ROWS) * self.mixers).sum(2) + np.arange(BANDS, dtype=np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+        octets = np.concatenate([filled[:, None].astype(np.uint8), table.astype(np.uint8)], 1)
+        return (mixed ^ (mixed >> np.uint64(31))).view(np.int64), octets
+
+
+def _cut(text: str) -> list[str]:
+    """The lines of a text in the form in which they are compared."""
+    return [x.strip(" ") for x in text.replace("\t", " ").replace("\r", " ").lower().split("\n")]
+
+
+def _hash(line: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"))
 
 
 def _signed(batches: Iterator, shingle: int) -> Iterator:
-    """(id, line) to (id, band, weight), each line once a batch with its number of occurrences."""
+    """(doc, hash of the text, text) to (id, doc, hash, pos, bands, signature), each line once a batch, where it comes first."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     signer = Signer(shingle)
     for batch in batches:
-        ids, first, count = np.unique(batch.column(0).to_numpy(), return_index=True, return_counts=True)
-        lines = batch.column(1).take(pa.array(first)).to_pylist()
-        at = 0
+        order = pc.sort_indices(batch, [("doc", "ascending"), ("thash", "ascending")], null_placement="at_start")
+        batch = batch.take(order)
+        first: dict[str, tuple[int, int]] = {}
+        for row, text in enumerate(batch.column(2).to_pylist()):
+            for pos, line in enumerate(_cut(text) if text else ()):
+                if line and line not in first:
+                    first[line] = (row, pos)
+        lines, at = list(first), 0
         while at < len(lines):
             end, size = at, 0
             while end < len(lines) and (end == at or size + len(lines[end]) < CHUNK):
                 size += len(lines[end]) + shingle
                 end += 1
-            bands = signer.bands(lines[at:end]).ravel()
-            columns = [np.repeat(ids[at:end], BANDS), bands, np.repeat(count[at:end].astype(np.int32), BANDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "band", "weight"])
+            part = lines[at:end]
+            bands, octets = signer.signatures(part)
+            rows, places = zip(*(first[x] for x in part), strict=True)
+            rows = pa.array(rows)
+            ids = np.fromiter((_hash(x) for x in part), np.uint64, len(part)).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
+            blobs = pa.array([x.tobytes() for x in octets], pa.binary())
+            columns = [pa.array(ids), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()), lists, blobs]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "thash", "pos", "bands", "octets"])
             at = end
 
 
+def _picked(batches: Iterator, wanted: Sieve) -> Iterator:
+    """(text) to (id, line) of the lines that may be wanted, each once a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lines = list({line for text in batch.column(0).to_pylist() if text for line in _cut(text) if line})
+        ids = np.fromiter((_hash(x) for x in lines), np.uint64, len(lines))
+        keep = np.nonzero(wanted(ids))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), pa.array([lines[i] for i in keep], pa.string())], ["id", "line"])
+
+
 def shingles(line: str, k: int = SHINGLE) -> frozenset[str]:
     return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
 
 
-def jaccard(a: frozenset[str], b: frozenset[str]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("thash"), text.alias("text"))
 
 
-def _verified(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
-    """(a, b, left, right) to the (a, b) whose texts are similar enough."""
-    import pyarrow as pa
+def components(slim: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, first) of every different line of (doc, thash, text), and (node, root) of the lines with near-copies."""
+    kind = slim.schema["doc"].dataType.simpleString()
+    signed = slim.mapInArrow(lambda it: _signed(it, shingle), f"id long, doc {kind}, thash long, pos int, bands array<long>, octets binary")
+    classes = stored(
+        signed.groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first"), F.first("bands").alias("bands"), F.first("octets").alias("octets"))
+    )
 
-    for batch in batches:
-        texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = [jaccard(cut(x), cut(y)) >= similarity for x, y in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _block_links(rows: list[dict], cut: Callable, similarity: float) -> Iterator[dict]:
-    """Links between components of one block, at most one for each two that get joined."""
-    low, high = rows[0]["low"], rows[0]["high"]
-    sets = [cut(x["line"]) for x in rows]
-    root = {x["root"]: x["root"] for x in rows}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    order = sorted(range(len(rows)), key=lambda i: (len(sets[i]), rows[i]["id"]))
-    for n, i in enumerate(order):
-        for j in order[n + 1 :]:
-            if len(sets[i]) < similarity * len(sets[j]):
-                break
-            if low != high and rows[i]["side"] == rows[j]["side"]:
-                continue
-            a, b = find(rows[i]["root"]), find(rows[j]["root"])
-            if a != b and jaccard(sets[i], sets[j]) >= similarity:
-                root[max(a, b)] = min(a, b)
-                yield {"a": rows[i]["id"], "b": rows[j]["id"]}
+    def texts(ids: DataFrame) -> DataFrame:
+        shared = slim.sparkSession.sparkContext.broadcast(sieve(ids))
+        lines = slim.select("text").mapInArrow(lambda it: _picked(it, shared.value), "id long, line string")
+        return lines.groupBy("id").agg(F.first("line").alias("line"))
 
+    members = grouped(classes.select("id", "bands"))
+    roots = linked(members, classes.select("id", "octets"), texts, lambda x: shingles(x, shingle), similarity, BANDS * ROWS, BLOCK)
+    return classes.select("id", "first"), roots
 
-def _compared(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
-    """Rows sorted by band and block, each block whole in a partition, to links (a, b)."""
-    import pyarrow as pa
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held: list[dict] = []
-    for batch in batches:
-        out: list[dict] = []
-        for row in batch.to_pylist():
-            if held and (row["band"], row["low"], row["high"]) != (held[0]["band"], held[0]["low"], held[0]["high"]):
-                out += _block_links(held, cut, similarity)
-                held = []
-            held.append(row)
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
-    if held:
-        yield pa.RecordBatch.from_pylist(list(_block_links(held, cut, similarity)), schema=schema)
-
-
-def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, cut: Callable, similarity: float, block: int) -> DataFrame:
-    """Links between the components that bands of three lines or more still hold."""
-    labelled = settle(
-        members.where("n > 2")
-        .join(roots, F.col("id") == F.col("node"), "left")
-        .select("band", "id", "centre", F.coalesce("root", "id").alias("root"))
-    )
-    main = labelled.where("id = centre").select("band", F.col("root").alias("main"))
-    split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    split = split.join(main, "band")
-    open_ = labelled.join(split, "band").withColumn("inner", F.col("root") == F.col("main"))
-    # blocks of the main component come first; two of them are never compared
-    sizes = open_.groupBy("band").agg(
-        F.ceil(F.count_if("inner") / block).cast("int").alias("inside"), F.ceil(F.count_if(~F.col("inner")) / block).cast("int").alias("outside")
-    )
-    spread = F.xxhash64("id", F.lit(SEED))
-    side = F.when(F.col("inner"), F.pmod(spread, F.col("inside"))).otherwise(F.col("inside") + F.pmod(spread, F.col("outside")))
-    others = F.when(F.col("inner"), F.sequence(F.col("inside"), F.col("inside") + F.col("outside") - 1)).otherwise(
-        F.sequence(F.lit(0), F.col("inside") + F.col("outside") - 1)
-    )
-    dealt = open_.join(sizes, "band").select("band", "id", "root", side.cast("int").alias("side"), F.explode(others).alias("other"))
-    dealt = dealt.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other")
-    laid = dealt.join(texts, "id").select("band", "low", "high", "side", "id", "root", "line")
-    width = shuffle_width(members.sparkSession)
-    laid = laid.repartition(width, "band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
-    return laid.mapInArrow(lambda it: _compared(it, cut, similarity), "a long, b long")
+def _kept(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (doc, thash, places): where the lines that stay come first."""
+    firsts, roots = components(slim, shingle, similarity)
+    everyone = roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))
+    best = everyone.join(firsts, F.col("node") == F.col("id")).groupBy("root").agg(F.min_by("node", "first").alias("winner"))
+    gone = settle(everyone.join(best, "root").where("node != winner").select(F.col("node").alias("id")))
+    stay = firsts.join(gone, "id", "left_anti").select("first.*")
+    return stay.groupBy("doc", "thash").agg(F.collect_list("pos").alias("places"))
 
 
-def linked(members: DataFrame, texts: DataFrame, cut: Callable, similarity: float, block: int) -> DataFrame:
-    """(node, root) of the candidates (band, id, n, centre) whose texts (id, line) are near copies.
+def _with_places(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Add ``places`` to rows (doc, thash, ...): of rows that are alike, one gets the places."""
+    from pyspark.sql import Window as W
+
+    same = rows["doc"].eqNullSafe(kept["doc"]) & (rows["thash"] == kept["thash"])
+    joined = rows.join(kept, same, "left").select(rows["*"], "places")
+    nth = F.row_number().over(W.partitionBy("doc", "thash").orderBy("thash"))
+    places = F.when(nth == 1, F.col("places"))
+    return joined.withColumn("places", F.coalesce(places, F.array().cast("array<int>")))
 
-    ``cut`` gives the set of shingles of a text.
-    """
-    stars = members.where("id != centre").select("id", "centre").distinct()
-    left, right = texts.select("id", F.col("line").alias("left")), texts.select(F.col("id").alias("centre"), F.col("line").alias("right"))
-    pairs = stars.join(left, "id").join(right, "centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), "left", "right")
-    links = settle(pairs.mapInArrow(lambda it: _verified(it, cut, similarity), "a long, b long"))
-    roots = connected_components(links)
-    rest = settle(_rest(members, roots, texts, cut, similarity, block))
-    stars_of_roots = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected_components(stars_of_roots.unionByName(rest))
-
-
-def components(rows: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(id, first) of every different line of the stored (doc, row, text), and (node, root) of the lines with near-copies."""
-    lines = rows.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", normal(F.col("line")))
-    lines = lines.where("line != ''").withColumn("id", F.xxhash64("line"))
-    firsts = settle(lines.groupBy("id").agg(F.min(F.struct("doc", "row", "pos")).alias("first")))
-
-    width = shuffle_width(rows.sparkSession)
-    # lines come once a batch, so few rows share a band however often a line repeats
-    signed = lines.select("id", "line").mapInArrow(lambda it: _signed(it, shingle), "id long, band long, weight int")
-    # one shuffle by band serves the sums, the counts and the choice of a centre
-    keyed = signed.repartition(width, "band").groupBy("band", "id").agg(F.sum("weight").alias("weight"))
-    of_band = W.partitionBy("band")
-    counted = keyed.withColumns({"n": F.count("*").over(of_band), "centre": F.max_by("id", F.struct("weight", "id")).over(of_band)})
-    members = settle(counted.where("n > 1").select("band", "id", "n", "centre"))
-
-    needed = members.select("id").distinct().join(firsts, "id").select("id", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"))
-    # the places of candidates are hashed a partition at a time, so the texts of all lines need no sort
-    texts = settle(lines.select("row", "pos", "line").join(needed.hint("shuffle_hash"), ["row", "pos"]).select("id", "line"))
-    return firsts, linked(members, texts, lambda x: shingles(x, shingle), similarity, BLOCK)
+
+def _blank(text: Column) -> Column:
+    blank = F.array_compact(F.transform(F.split(text, "\n"), lambda x, i: F.when(normal(x) == "", i)))
+    return F.coalesce(blank, F.array().cast("array<int>"))
 
 
 def kept_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """Rows (row, id, n_lines, kept) for every row of ``docs``: the places of the lines to keep.
+    """Rows (id, n_lines, kept) for every row of ``docs``: the places of the lines to keep.
 
     Lines are cut at line feeds, trimmed and lower-cased.  Lines that are equal, or whose
     sets of ``shingle``-character runs have a Jaccard similarity of at least ``similarity``
     with each other or through others, form a component, and only its first line stays: the
-    one with the smallest id (null first), then row, then place.  Lines shorter than a
-    shingle are one shingle.  Blank lines are always kept.  ``kept`` lists places from 0,
-    ascending; ``row`` numbers the rows; the numbers are stored with the texts in the shared
-    folder, so every scan sees the same.  Null texts have no lines, an empty text has one blank line.  Repeated rows are treated as two documents.  An empty
-    table gives an empty result.
+    one with the smallest id (null first), then hash of the text, then place.  Lines shorter
+    than a shingle are one shingle.  Blank lines are always kept.  ``kept`` lists places from
+    0, ascending.  Null texts have no lines, an empty text has one blank line.  Of rows with
+    equal ids and texts one keeps its lines, so repeated rows count as several documents.  Other columns are
+    ignored.  An empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return _kept(stored_rows(slim, "row"), shingle, similarity)
-
-
-def _kept(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``kept_lines`` of the stored (doc, row, text)."""
-    firsts, roots = components(rows, shingle, similarity)
-    everyone = roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))
-    best = everyone.join(firsts, F.col("node") == F.col("id")).groupBy("root").agg(F.min_by("node", "first").alias("winner"))
-    gone = settle(everyone.join(best, "root").where("node != winner").select(F.col("node").alias("id")))
-    stay = firsts.join(gone, "id", "left_anti")
-    of_row = stay.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.pos").alias("places"))
-    cut = F.split("text", "\n")
-    blank = F.array_compact(F.transform(cut, lambda x, i: F.when(normal(x) == "", i)))
-    slim = rows.select(
-        "row",
-        F.col("doc").alias("id"),
-        F.coalesce(F.size(cut), F.lit(0)).alias("n_lines"),
-        F.coalesce(blank, F.array().cast("array<int>")).alias("blank"),
-    ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = slim.join(of_row, "row", "left")
-    places = F.array_sort(F.concat("blank", F.coalesce("places", F.array().cast("array<int>"))))
-    return joined.select("row", "id", F.col("n_lines").cast("long"), places.alias("kept"))
+    slim = _slim(docs, id_col, text_col)
+    size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    rows = slim.select("doc", "thash", F.greatest(size, F.lit(0)).cast("long").alias("n_lines"), _blank(F.col("text")).alias("blank"))
+    placed = _with_places(rows, _kept(slim, shingle, similarity))
+    return placed.select(F.col("doc").alias("id"), "n_lines", F.array_sort(F.concat("blank", "places")).alias("kept"))
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``docs`` with repeated lines removed from the text; other columns are passed on."""
-    stored = stored_rows(docs, "_row")
-    rows = stored.select(F.col(id_col).alias("doc"), F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))
-    kept = _kept(rows, shingle, similarity).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    joined = stored.join(kept, "_row")
-    cut = F.split(F.col(text_col).cast("string"), "\n")
-    text = F.array_join(F.transform("_kept", lambda i: F.get(cut, i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(*docs.columns)
+    """``docs`` with repeated lines removed from the text; other columns, of any names, are passed on."""
+    kept = _kept(_slim(docs, id_col, text_col), shingle, similarity)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("thash"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
+    cut = F.split("text", "\n")
+    stay = F.array_sort(F.concat(_blank(F.col("text")), "places"))
+    clean = _with_places(rows, kept).withColumn("clean", F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
+    out = [F.when(F.col("text").isNotNull(), F.col("clean")).alias(c) if c == text_col else F.col("given")[c].alias(c) for c in docs.columns]
+    return clean.select(*out)

@@ -11,7 +11,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, components, decontaminate, embeddings, langid, licenses, lines, mixing, secret_scan, sharding, simhash
+from barloom.llm import chat, components, decontaminate, embeddings, langid, licenses, lines, mixing, secret_scan, sharding, simhash, verify
 from barloom.llm.common import word_count
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -129,7 +129,7 @@ def brute_lines(rows, similarity=0.8):
             if line:
                 places.setdefault(line, (doc, n, pos))
     sets = {x: lines.shingles(x) for x in places}
-    links = [(a, b) for a, b in itertools.combinations(places, 2) if lines.jaccard(sets[a], sets[b]) >= similarity]
+    links = [(a, b) for a, b in itertools.combinations(places, 2) if verify.jaccard(sets[a], sets[b]) >= similarity]
     root = components_of(places, links)
     first = {}
     for x, r in root.items():
