@@ -1,114 +1,182 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing.
 
 Vectors are normalised, so cosine ``c`` is Euclidean distance ``sqrt(2 - 2c)``.  A table
-hashes a vector by ``PROJECTIONS`` Gaussian projections, shifted and cut into cells of
-width ``WIDTH``; vectors that meet in a cell of any of the ``TABLES`` tables are compared by
-exact cosine.  At cosine 0.93 one projection agrees with probability 0.80, a table with
-0.109, and 44 tables find the pair with probability 0.994; at 0.95 it is 0.9995.
+hashes a vector by Gaussian projections, shifted and cut into cells of width ``WIDTH``;
+vectors that meet in a cell of any table are compared by exact cosine.
+
+How many projections a table has and how many tables there are follows from the number of
+vectors of the largest label, so that a vector meets about ``FAR`` unrelated ones (cosine 0) a
+table, and from the recall at the threshold.  At cosine 0.93 one projection agrees with
+probability 0.881; 14 projections and 29 tables find such a pair with 0.995 and serve up to
+57,000 vectors a label.  From there on the tables grow as the vectors to the power 0.22.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width
+from barloom.llm.common import settle, shuffle_width, stored
 from barloom.llm.components import connected_components
 
-TABLES, PROJECTIONS, WIDTH, SEED = 44, 10, 1.5, 11
+WIDTH, RECALL, FAR, SEED = 2.5, 0.995, 20, 11
+LEAST_PROJECTIONS = 14
 #: Vectors of a cell that are compared in one block; larger cells become pairs of blocks.
-BLOCK = 512
+BLOCK = 2048
+STRIP = 512
+
+
+def agreement(cosine: float, width: float = WIDTH) -> float:
+    """The probability that one projection puts two unit vectors of that cosine into one cell."""
+    distance = math.sqrt(max(0.0, 2 - 2 * cosine))
+    if distance == 0:
+        return 1.0
+    r = width / distance
+    return 1 - math.erfc(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Projections of a table and number of tables."""
+
+    projections: int
+    tables: int
+
+
+def plan(vectors: int, threshold: float, recall: float = RECALL) -> Plan:
+    """For the number of vectors of a label, and the recall at the threshold."""
+    projections = max(LEAST_PROJECTIONS, math.ceil(math.log(max(1.0, vectors / FAR)) / -math.log(agreement(0.0))))
+    meet = agreement(threshold) ** projections
+    return Plan(projections, math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet < 1 else 1)
 
 
 class Tables:
     """The random projections for vectors of one length; the same in every process."""
 
-    def __init__(self, dim: int) -> None:
+    def __init__(self, dim: int, of: Plan) -> None:
         import numpy as np
 
         rng = np.random.default_rng([SEED, dim])
-        self.directions = rng.standard_normal((dim, TABLES * PROJECTIONS))
-        self.shifts = rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
-        self.mixers = rng.integers(1, 2**63, (TABLES, PROJECTIONS), dtype=np.int64) | 1
+        self.plan, total = of, of.projections * of.tables
+        self.directions = rng.standard_normal((dim, total))
+        self.shifts = rng.uniform(0, WIDTH, total)
+        self.mixers = rng.integers(1, 2**63, (of.tables, of.projections), dtype=np.int64) | 1
 
-    def cells(self, unit, tables: int = TABLES):
+    def cells(self, unit, tables: int):
         """One 64-bit cell number for each vector and each of the first ``tables`` tables."""
         import numpy as np
 
-        used = tables * PROJECTIONS
+        used = tables * self.plan.projections
         steps = np.floor((unit @ self.directions[:, :used] + self.shifts[:used]) / WIDTH).astype(np.int64)
-        mixed = (steps.reshape(-1, tables, PROJECTIONS) * self.mixers[:tables]).sum(2)
+        mixed = (steps.reshape(-1, tables, self.plan.projections) * self.mixers[:tables]).sum(2)
         return (mixed ^ (mixed >> 29)) * np.int64(-7046029254386353131) + np.arange(tables)
 
 
-_TABLES: dict[int, Tables] = {}
+_TABLES: dict[tuple[int, Plan], Tables] = {}
 
 
-def _tables(dim: int) -> Tables:
-    if dim not in _TABLES:
-        _TABLES[dim] = Tables(dim)
-    return _TABLES[dim]
+def _tables(dim: int, of: Plan) -> Tables:
+    if (dim, of) not in _TABLES:
+        _TABLES[dim, of] = Tables(dim, of)
+    return _TABLES[dim, of]
 
 
-def _units(batches: Iterator) -> Iterator:
-    """(id, vector) to (id, unit): the normalised vector as the bytes of its doubles."""
+def _prepared(batches: Iterator) -> Iterator:
+    """(id, label, vector) to (id, key, pool, raw): usable vectors get a digest, a hash of label and length, and their bytes."""
     import numpy as np
     import pyarrow as pa
+    import xxhash
 
     for batch in batches:
-        blobs = []
-        for vector in batch.column(1).to_pylist():
-            unit = np.array(vector, float)
-            unit /= np.abs(unit).max()
-            blobs.append((unit / np.linalg.norm(unit)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "unit"])
+        lists = batch.column(2)
+        sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(), 0)
+        values = lists.flatten().to_numpy(zero_copy_only=False) + 0.0  # nulls become NaN, -0 becomes 0
+        ends = np.cumsum(sizes)
+        keys, pools, raws = [], [], []
+        for label, a, b in zip(batch.column(1).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            own = values[a:b]
+            if label is None or a == b or not np.isfinite(own).all() or not own.any():
+                keys.append(None)
+                pools.append(None)
+                raws.append(None)
+                continue
+            raws.append(own.tobytes())
+            name = f"{len(own)} {label}".encode("utf-8", "replace")
+            keys.append(xxhash.xxh3_128_digest(name + b"\0" + raws[-1]))
+            pools.append(xxhash.xxh64_intdigest(name) - 2**63)
+        columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(pools, pa.int64()), pa.array(raws, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "pool", "raw"])
+
+
+def _units(raws: list[bytes], kind: str):
+    """Normalised vectors of one length, in double precision."""
+    import numpy as np
+
+    vectors = np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1).astype(float)
+    vectors /= np.abs(vectors).max(1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _hashed(batches: Iterator) -> Iterator:
-    """(id, unit) to one row a table: (id, table, cell)."""
+def _hashed(batches: Iterator, of: Plan, kind: str) -> Iterator:
+    """(id, pool, raw) to one row a table: (id, table, cell)."""
     import numpy as np
     import pyarrow as pa
 
-    table = np.arange(TABLES, dtype=np.int32)
+    table = np.arange(of.tables, dtype=np.int32)
     for batch in batches:
-        ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        size = np.array([len(x) for x in blobs])
+        ids, pools, raws = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        size = np.array([len(x) for x in raws])
         for length in sorted(set(size.tolist())):
             rows = np.nonzero(size == length)[0]
             for at in range(0, len(rows), 1024):
                 part = rows[at : at + 1024]
-                unit = np.frombuffer(b"".join(blobs[i] for i in part)).reshape(len(part), -1)
-                cells = _tables(length // 8).cells(unit).ravel()
-                columns = [np.repeat(ids[part], TABLES), np.tile(table, len(part)), cells]
+                unit = _units([raws[i] for i in part], kind)
+                cells = _tables(unit.shape[1], of).cells(unit, of.tables)
+                cells = (cells ^ pools[part, None]) * np.int64(-4658895280553007687)
+                columns = [np.repeat(ids[part], of.tables), np.tile(table, len(part)), cells.ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "table", "cell"])
 
 
-def _within(rows: list[dict], threshold: float) -> Iterator[tuple[int, int, int]]:
+def _near(unit, side, threshold: float):
+    """Pairs of rows of a block within the threshold, a strip of rows at a time."""
+    import numpy as np
+
+    left, right = [], []
+    for at in range(0, len(unit), STRIP):
+        near = unit[at : at + STRIP] @ unit[at:].T >= threshold
+        i, j = np.nonzero(np.triu(near, 1))
+        left.append(i + at)
+        right.append(j + at)
+    i, j = np.concatenate(left), np.concatenate(right)
+    if side.min() != side.max():  # a pair of blocks: pairs inside a block are dealt with elsewhere
+        i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+    return i, j
+
+
+def _within(rows: list[dict], threshold: float, of: Plan, kind: str) -> Iterator[tuple[int, int, int]]:
     """(class, root, links) of one block of a cell; a pair counts in the first table where it meets."""
     import numpy as np
 
-    dims = {len(x["unit"]) for x in rows}
-    if len(dims) > 1 or len({x["label"] for x in rows}) > 1:  # cell numbers that happen to be equal
-        for dim in sorted(dims):
-            for label in sorted({x["label"] for x in rows}):
-                part = [x for x in rows if len(x["unit"]) == dim and x["label"] == label]
-                if len(part) > 1:
-                    yield from _within(part, threshold)
+    if len(rows) < 2:
         return
-    unit = np.frombuffer(b"".join(x["unit"] for x in rows)).reshape(len(rows), -1)
-    side = np.array([x["side"] for x in rows])
-    near = np.triu(unit @ unit.T >= threshold, 1)
-    if len(set(side.tolist())) > 1:  # a pair of blocks: pairs inside a block are dealt with elsewhere
-        near &= side[:, None] != side[None, :]
-    i, j = np.nonzero(near)
+    pools = {x["pool"] for x in rows}
+    if len(pools) > 1:  # cell numbers that happen to be equal
+        for pool in sorted(pools):
+            yield from _within([x for x in rows if x["pool"] == pool], threshold, of, kind)
+        return
+    unit = _units([x["raw"] for x in rows], kind)
+    i, j = _near(unit, np.array([x["side"] for x in rows]), threshold)
     table = rows[0]["table"]
     if len(i) and table:
         used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        cells = _tables(unit.shape[1]).cells(unit[used], table)
-        first = ~(cells[place[: len(i)]] == cells[place[len(i) :]]).any(1)
-        i, j = i[first], j[first]
+        cells, a, b = _tables(unit.shape[1], of).cells(unit[used], table), place[: len(i)], place[len(i) :]
+        for earlier in range(table):  # pairs that met before go; few tables leave few of them
+            new = cells[a, earlier] != cells[b, earlier]
+            i, j, a, b = i[new], j[new], a[new], b[new]
     if not len(i):
         return
     weight = np.array([x["n"] for x in rows])
@@ -126,37 +194,26 @@ def _within(rows: list[dict], threshold: float) -> Iterator[tuple[int, int, int]
         yield rows[x]["id"], rows[root[x]]["id"], int(links[x])
 
 
-def _compared(batches: Iterator, threshold: float) -> Iterator:
+def _compared(batches: Iterator, threshold: float, of: Plan, kind: str) -> Iterator:
     """Rows that come sorted by cell and block, whole in a partition, to (a, b, links)."""
     import pyarrow as pa
 
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
     held: list[dict] = []
     for batch in batches:
-        out = []
+        out: list[tuple] = []
         key = list(zip(*(batch.column(k).to_pylist() for k in ("cell", "low", "high")), strict=True))
         starts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
         for a, b in zip(starts, starts[1:], strict=False):
-            if a == 0 and held and key[0] == (held[0]["cell"], held[0]["low"], held[0]["high"]):
-                held += batch.slice(a, b - a).to_pylist()
-                continue
-            if len(held) > 1:
-                out += _within(held, threshold)
-            if b < len(key) and b - a == 1:
-                held = []
+            part = batch.slice(a, b - a).to_pylist()
+            if held and key[a] == (held[0]["cell"], held[0]["low"], held[0]["high"]):
+                held += part
                 continue
-            held = batch.slice(a, b - a).to_pylist()
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b, "links": n} for a, b, n in out], schema=_PAIRS)
-    if len(held) > 1:
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b, "links": n} for a, b, n in _within(held, threshold)], schema=_PAIRS)
-
-
-def _pairs_schema():
-    import pyarrow as pa
-
-    return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-
-
-_PAIRS = _pairs_schema()
+            out += _within(held, threshold, of, kind)
+            held = part
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+    rest = [dict(zip(schema.names, x, strict=True)) for x in _within(held, threshold, of, kind)]
+    yield pa.RecordBatch.from_pylist(rest, schema=schema)
 
 
 def near_duplicates(
@@ -170,49 +227,47 @@ def near_duplicates(
 
     Rows are compared only if their labels are equal and not null.  ``n_links`` is the
     number of other rows within ``threshold``, ``component`` the smallest id reachable.
-    Equal vectors of a label form one class and only classes are hashed.  Vectors that are
-    null, empty or zero, or hold a null or a non-finite number, link with nothing, not even
-    with their copies; neither do vectors of different lengths.  Ids are long integers; a
-    null id takes part and is never a component's name unless all ids are null.  Repeated
-    rows count as several.  An empty table gives an empty result.
+    Equal vectors of a label form one class, named by a hash, and only classes are hashed.
+    Vectors that are null, empty or zero, or hold a null or a non-finite number, link with
+    nothing, not even with their copies; neither do vectors of different lengths.  Ids are long
+    integers; a null id takes part and is never a component's name unless all ids are null.
+    Repeated rows count as several.  An empty table gives an empty result; other columns are
+    ignored.
     """
-    v = F.col("vector")
+    spark = vectors.sparkSession
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "f4" if single else "f8"
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(label_col).cast("string").alias("label"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
+        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector")
     )
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    key = F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.col("label"), F.lit("|"), v.cast("array<string>")), 256))
-    rows = settle(rows.withColumn("key", key))
-    grouped = rows.where("usable").groupBy("key").agg(
-        F.min("id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")
+    rows = stored(rows.mapInArrow(_prepared, "id long, key binary, pool long, raw binary"))
+    grouped = rows.where("key is not null").groupBy("key").agg(
+        F.min("id").alias("least"), F.count("*").alias("n"), F.first("pool").alias("pool"), F.first("raw").alias("raw")
     )
-    # classes are numbered by a hash of their vector, so that null and repeated ids do no harm
-    classes = settle(grouped.withColumn("id", F.xxhash64("key")))
-    units = classes.select("id", "vector").mapInArrow(_units, "id long, unit binary")
-    units = settle(units.join(classes.select("id", "label", "n"), "id"))
-    cells = units.select("id", "unit").mapInArrow(_hashed, "id long, table int, cell long")
-    cells = settle(cells.join(units.select("id", "label"), "id").select("id", "table", F.xxhash64("cell", "label").alias("cell")))
+    # classes are numbered by a hash of their key, so that null and repeated ids do no harm
+    classes = stored(grouped.withColumn("class", F.xxhash64("key")))
+    largest = classes.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
+    of = plan(largest, threshold)
+    slim = classes.select(F.col("class").alias("id"), "pool", "raw").repartition(shuffle_width(spark), "id")
+    cells = stored(slim.mapInArrow(lambda it: _hashed(it, of, kind), "id long, table int, cell long"))
     sizes = cells.groupBy("cell").count().where("count > 1")
     shared = cells.join(sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "cell")
     side = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = shared.select("cell", "table", "id", side.alias("side"), other)
     dealt = dealt.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other")
-    width = shuffle_width(vectors.sparkSession)
-    laid = dealt.join(units, "id").repartition(width, "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "id")
-    found = settle(laid.mapInArrow(lambda it: _compared(it, threshold), "a long, b long, links long"))
+    units = classes.select(F.col("class").alias("id"), "pool", "n", "raw")
+    laid = dealt.join(units, "id").repartition(shuffle_width(spark), "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "id")
+    found = settle(laid.mapInArrow(lambda it: _compared(it, threshold, of, kind), "a long, b long, links long"))
 
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b"))
-    named = classes.select("id", "key", "n", "least").join(counts, F.col("id") == F.col("a"), "left").drop("a")
-    named = named.join(roots, F.col("id") == F.col("node"), "left")
-    named = settle(named.select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")))
+    named = classes.select("class", "key", "n", "least").join(counts, F.col("class") == F.col("a"), "left").drop("a")
+    named = named.join(roots, F.col("class") == F.col("node"), "left")
+    named = settle(named.select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root")))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
-    labels = named.join(names, "root").select("key", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component")
-    return rows.join(labels, "key", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component")
-    )
+    labels = named.join(names, "root").select("key", (F.col("n") - 1 + F.col("links")).cast("long").alias("n_links"), "component")
+    linked = rows.join(labels, "key").select("id", "n_links", F.coalesce("component", "id").alias("component"))
+    # unusable vectors have no key, so they need no join
+    alone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return linked.unionByName(alone)
