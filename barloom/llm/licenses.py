@@ -13,6 +13,7 @@ with both ends of the text free.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,19 +31,35 @@ FOUND = "struct<license:string,template:string,coverage:double,matched:int,words
 
 @dataclass(frozen=True)
 class Template:
-    """A license text or notice; the words of ``names`` have to be matched for a finding."""
+    """A license text or notice.
+
+    The words of ``names`` have to be matched for a finding, and none of ``refused`` may stand
+    between its words: they are what tells the license from its relatives.
+    """
 
     name: str
     license: str
     names: tuple[str, ...]
     text: str
-
-
-# Wordings that licenses and their notices are known by.
+    refused: tuple[str, ...] = ()
+
+
+# Wordings that licenses and their notices are known by, and words that tell relatives apart.
+GNU_KINDS, CC_KINDS = ("lesser", "library", "affero"), ("noncommercial", "noderivatives", "noderivs", "sharealike", "nc", "nd", "sa")
+AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
 TEMPLATES = (
-    Template("apache-line", "Apache-2.0", ("apache",), "Licensed under the Apache License, Version 2.0."),
+    Template("apache-line", "Apache-2.0", ("apache", "2"), "Licensed under the Apache License, Version 2.0."),
     Template(
-        "apache-notice", "Apache-2.0", ("apache",),
+        "apache-notice", "Apache-2.0", ("apache", "2"),
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
@@ -56,30 +73,79 @@ TEMPLATES = (
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
-    Template("gpl3-line", "GPL-3.0", ("gnu", "general"), "This work is licensed under the GNU General Public License, version 3."),
     Template(
-        "gpl3-notice", "GPL-3.0", ("gnu", "general", "3"),
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    Template(
-        "gpl2-notice", "GPL-2.0", ("gnu", "general", "2"),
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "mit-text", "MIT", ("charge", "sublicense", "noninfringement"),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
+    *[
+        Template(f"gpl{v}-line", f"GPL-{v}.0", ("gnu", "general", v), f"This work is licensed under the GNU General Public License, version {v}.", GNU_KINDS)
+        for v in ("2", "3")
+    ],
+    *[
+        Template(
+            f"gpl{v}-notice", f"GPL-{v}.0", ("gnu", "general", v),
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+            f"as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.", GNU_KINDS,
+        )
+        for v in ("2", "3")
+    ],
+    *[
+        Template(f"{name.lower()}-name", name, ("gnu", *kind.lower().split(), "general", v[0]), f"GNU {kind} General Public License, version {v}", refused)
+        for name, kind, v, refused in (
+            ("GPL-2.0", "", "2", GNU_KINDS), ("GPL-3.0", "", "3", GNU_KINDS), ("LGPL-2.1", "Lesser", "2.1", ()), ("LGPL-3.0", "Lesser", "3", ()), ("AGPL-3.0", "Affero", "3", ()),
+        )
+    ],
+    Template("lgpl21-line", "LGPL-2.1", ("lesser", "2"), "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    Template("lgpl3-line", "LGPL-3.0", ("lesser", "3"), "This work is licensed under the GNU Lesser General Public License, version 3."),
+    *[
+        Template(
+            f"lgpl{v[0]}-notice", f"LGPL-{v}", ("lesser", v[0]),
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+            f"as published by the Free Software Foundation; either version {n} of the License, or (at your option) any later version.",
+        )
+        for v, n in (("2.1", "2.1"), ("3.0", "3"))
+    ],
+    Template("agpl3-line", "AGPL-3.0", ("affero", "3"), "This work is licensed under the GNU Affero General Public License, version 3."),
     Template(
-        "lgpl-notice", "LGPL-2.1", ("lesser",),
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
-        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "agpl3-notice", "AGPL-3.0", ("affero", "3"),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    Template("cc-by-nc-line", "CC-BY-NC-4.0", ("cc", "nc"), "Licensed under CC BY-NC 4.0."),
-    Template("cc-by-line", "CC-BY-4.0", ("commons", "attribution"), "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    Template("cc-by-sa-line", "CC-BY-SA-4.0", ("commons", "sharealike"), "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *[
+        Template(f"cc-{kind.lower()}-short", f"CC-{kind}-4.0", ("cc", *short, "4"), f"Licensed under CC {kind} 4.0.", tuple(x for x in ("nc", "nd", "sa") if x not in short))
+        for kind, short in (("BY-NC", ("nc",)), ("BY-SA", ("sa",)), ("BY-ND", ("nd",)), ("BY-NC-SA", ("nc", "sa")), ("BY-NC-ND", ("nc", "nd")))
+    ],
+    *[
+        Template(
+            f"cc-{kind.lower()}-{v}-line", f"CC-{kind}-{v}.0", ("commons", "attribution", *long.lower().split("-")[1:], v),
+            f"This work is licensed under a Creative Commons {long} {v}.0 {scope} License.",
+            tuple(x for x in CC_KINDS if x not in long.lower().split("-")),
+        )
+        for v, scope in (("4", "International"), ("3", "Unported"))
+        for kind, long in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    ],
     Template(
         "bsd-grant", "BSD", ("redistribution", "binary"),
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:",
     ),
+    Template("bsd2-text", "BSD-2-Clause", ("redistributions", "binary", "disclaimer"), REDISTRIBUTION + AS_IS, ("endorse",)),
+    Template(
+        "bsd3-text", "BSD-3-Clause", ("redistributions", "binary", "endorse"),
+        REDISTRIBUTION + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission. " + AS_IS,
+    ),
     Template("bsd-line", "BSD", ("bsd",), "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     Template(
         "isc-grant", "ISC", ("purpose", "fee"),
@@ -87,10 +153,24 @@ TEMPLATES = (
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     Template(
-        "mpl2-notice", "MPL-2.0", ("mozilla",),
+        "0bsd-grant", "0BSD", ("purpose", "fee"),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ("provided",),
+    ),
+    Template(
+        "zlib-text", "Zlib", ("misrepresented",),
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+        "software must not be misrepresented; you must not claim that you wrote the original software.",
+    ),
+    Template("bsl-line", "BSL-1.0", ("boost", "1"), "Distributed under the Boost Software License, Version 1.0."),
+    Template(
+        "mpl2-notice", "MPL-2.0", ("mozilla", "2"),
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    Template("epl2-line", "EPL-2.0", ("eclipse", "2"), "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    Template("cc0-line", "CC0-1.0", ("cc0",), "To the extent possible under law, this work is released under the CC0 1.0 Universal Public Domain Dedication."),
     Template("unlicense", "Unlicense", ("unencumbered",), "This is free and unencumbered software released into the public domain."),
 )
 
@@ -222,7 +302,7 @@ def _confirmed(index: Index, tokens: list[tuple[str, int, int]], coverage: float
             used = [p for p in places if p >= 0]
             if matched < coverage * len(pattern) or not used:
                 continue
-            if not set(template.names) <= {words[p] for p in used}:
+            if not set(template.names) <= {words[p] for p in used} or not set(template.refused).isdisjoint(words[used[0] : used[-1] + 1]):
                 continue
             yield {
                 "license": template.license, "template": template.name, "coverage": matched / len(pattern), "matched": matched,
@@ -231,7 +311,7 @@ def _confirmed(index: Index, tokens: list[tuple[str, int, int]], coverage: float
 
 
 def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[dict]:
-    """The findings in one text: where spans overlap, the longest and best match only."""
+    """The findings in one text, without overlaps."""
     if not text:
         return []
     found: dict[tuple, dict] = {}
@@ -247,19 +327,29 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[dic
         if at + CHUNK >= len(text):
             break
         at += CHUNK - overlap
-    kept: list[dict] = []
-    end = -1
-    # overlapping spans form a run; the best of a run stays, then what is clear of it
-    for x in sorted(found.values(), key=lambda x: (x["first_char"], x["last_char"])):
-        if kept and x["first_char"] <= end:
-            rank = lambda y: (y["matched"], y["coverage"], y["template"])
-            if rank(x) > rank(kept[-1]):
-                kept[-1] = x
-                end = x["last_char"]
-            continue
-        kept.append(x)
-        end = x["last_char"]
-    return kept
+    return clear_of_each_other(list(found.values()))
+
+
+def clear_of_each_other(found: list[dict]) -> list[dict]:
+    """The findings without overlaps that match the most words together, then those of the best coverage and the first names."""
+    found = sorted(found, key=lambda x: (x["last_char"], x["first_char"], x["template"]))
+    ends = [x["last_char"] for x in found]
+    # best[k]: the best choice among the first k findings, and the place of its last one
+    best: list[tuple[int, float]] = [(0, 0.0)]
+    taken: list[tuple[bool, int]] = []
+    for k, x in enumerate(found):
+        before = bisect.bisect_left(ends, x["first_char"], 0, k)
+        words, coverage = best[before]
+        own = (words + x["matched"], round(coverage + x["coverage"], 9))
+        taken.append((own > best[k], before))
+        best.append(max(own, best[k]))
+    kept, k = [], len(found)
+    while k:
+        take, before = taken[k - 1]
+        if take:
+            kept.append(found[k - 1])
+        k = before if take else k - 1
+    return kept[::-1]
 
 
 def scan_licenses(
@@ -268,8 +358,8 @@ def scan_licenses(
     """Rows (id, license, template, coverage, matched, words, first_char, last_char).
 
     A template is found where at least ``coverage`` of its words, its names among them, are
-    matched in order; spans are in characters from 0, both ends included.  Where found spans
-    overlap, the one with the most matched words is reported.  Whole texts are scanned.  Null
+    matched in order and no refused word stands between; spans are in characters from 0, both
+    ends included.  Of overlapping spans those stay that match the most words together.  Whole texts are scanned.  Null
     and empty texts hold nothing; repeated rows are reported as often as they were given and
     null ids are passed on.  An empty table gives an empty result; other columns are ignored.
     """
