@@ -1,18 +1,17 @@
 """Near-duplicate documents by SimHash, searched with pivot distance tables.
 
-A fingerprint's Hamming distances to a fixed set of reference fingerprints (pivots) are
-its coordinates.  By the triangle inequality two fingerprints within 2 bits
-differ by at most 2 in every coordinate, so pairs with a larger difference are
-discarded before the exact test.
-
-The pivots are the zero fingerprint and, for each block of 16 bits, patterns that are zero
-outside the block.  Less the distance to the zero pivot, the coordinates of a block's
-pivots depend on the bits of that block alone.  Two fingerprints within 2 bits agree on at
-least two of the four blocks, hence share the coordinates of two whole blocks: those are
-the keys of an equi-join that loses no pair.  Keys that too many fingerprints share are
-searched another exact way: two fingerprints within 2 bits have a common neighbour at
-distance 1 or less, so each emits itself and its 64 one-bit neighbours, and equal
-neighbours link their senders in a star.
+A fingerprint's Hamming distances to fixed reference fingerprints (pivots) are its
+coordinates.  By the triangle inequality two fingerprints within 2 bits differ by at most 2
+in every coordinate, so pairs with a larger difference are discarded before the exact test.
+
+The pivots are the zero fingerprint and, for each block of bits, patterns that are zero
+outside the block.  Less the distance to the zero pivot, the coordinates of a block's pivots
+depend on the bits of that block alone.  Of four blocks, two fingerprints within 2 bits agree
+on at least two, hence share the coordinates of two whole blocks: those are the keys of an
+equi-join that loses no pair.  A key that many fingerprints share is split: the two blocks
+it leaves open are cut into four, of which again two agree, and the coordinates of their own
+pivots go into the longer key.  After four such levels 4 bits are open, so a key is shared by
+16 fingerprints at most.
 """
 
 from __future__ import annotations
@@ -29,23 +28,25 @@ from barloom.llm.components import connected_components
 SEED = 42
 #: Most differing bits of a link; four blocks of which two agree serve this radius.
 RADIUS = 2
-BLOCKS = 4
+#: Bits of a block at each level, and random pivots of a block.
+WIDTHS = (16, 8, 4, 2)
 PIVOTS_PER_BLOCK = 12
-#: Most fingerprints of one key that are compared in pairs; beyond it, the star search serves.
+#: Most fingerprints of one key that are compared in pairs; beyond it the key is split.
 BUCKET = 48
 
 
-def pivots(blocks: int = BLOCKS, per_block: int = PIVOTS_PER_BLOCK) -> list[int]:
-    """Reference fingerprints: zero, then ``per_block`` random patterns inside each block."""
+def patterns(width: int) -> list[int]:
+    """The pivots of a block of that width: random patterns, and each single bit, so that coordinates tell all blocks apart."""
     import numpy as np
 
-    width = 64 // blocks
-    rng = np.random.default_rng(SEED)
-    found = [0]
-    for block in range(blocks):
-        patterns = rng.choice(2**width - 1, per_block, replace=False) + 1
-        found += [int(x) << (block * width) for x in patterns]
-    return found
+    rng = np.random.default_rng([SEED, width])
+    drawn = rng.choice(2**width - 1, min(PIVOTS_PER_BLOCK, 2**width - 1), replace=False) + 1
+    return sorted({int(x) for x in drawn} | {1 << i for i in range(width)})
+
+
+def pivots() -> list[int]:
+    """Reference fingerprints: zero, then those of every block of the first level."""
+    return [0] + [x << at for at in range(0, 64, WIDTHS[0]) for x in patterns(WIDTHS[0])]
 
 
 def _signed(x: int) -> int:
@@ -116,41 +117,49 @@ def _coordinates(fp: Column) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in pivots()])
 
 
-def _keys() -> Column:
-    """One key for each pair of blocks, from the coordinates that depend on them alone."""
-    def of_block(b: int) -> list[Column]:
-        zero = F.col("d")[0].cast("int")
-        return [F.col("d")[1 + b * PIVOTS_PER_BLOCK + i] - zero for i in range(PIVOTS_PER_BLOCK)]
+def _split(keyed: DataFrame, width: int) -> DataFrame:
+    """Rows (key, fp, d, one, two) to those of the next level, whose keys hold two blocks more.
 
-    pairs = itertools.combinations(range(BLOCKS), 2)
-    return F.array(*[F.xxhash64(F.lit(n), *of_block(a), *of_block(b)) for n, (a, b) in enumerate(pairs)])
+    ``one`` and ``two`` are the first bits of the open blocks, each twice ``width`` wide; at
+    the first level, 0 and 32.
+    """
+    starts = [F.col("one"), F.col("one") + width, F.col("two"), F.col("two") + width]
 
+    def coordinates(start: Column) -> Column:
+        """The distances to the block's pivots, less that to the zero pivot: they depend on the block alone."""
+        own = F.call_function("shiftrightunsigned", F.col("fp"), start).bitwiseAND(F.lit(2**width - 1))
+        return F.xxhash64(*[F.bit_count(own.bitwiseXOR(F.lit(x))) - F.bit_count(own) for x in patterns(width)])
 
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect all fingerprints (column ``fp``, distinct) within 2 bits.
+    choices = []
+    for n, (a, b) in enumerate(itertools.combinations(range(4), 2)):
+        left = [starts[x] for x in range(4) if x not in (a, b)]
+        key = F.xxhash64("key", F.lit(n), F.col("c")[a], F.col("c")[b])
+        choices.append(F.struct(key.alias("key"), left[0].cast("int").alias("one"), left[1].cast("int").alias("two")))
+    held = keyed.withColumn("c", F.array(*[coordinates(x) for x in starts]))
+    return held.select("fp", "d", F.inline(F.array(*choices)))
 
-    Pairs of frequent keys are linked through stars, so not every such pair is listed,
-    but both ends are then connected.
-    """
-    table = prints.select("fp", _coordinates(F.col("fp")).alias("d"))
-    keyed = settle(table.select(F.explode(_keys()).alias("key"), "fp", "d"))
-    frequent = keyed.groupBy("key").count().where(F.col("count") > bucket).select("key")
 
-    rare = keyed.join(frequent, "key", "left_anti")
-    x, y = rare.alias("x"), rare.alias("y")
+def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The pairs (a, b) of fingerprints (column ``fp``, distinct) within 2 bits; a pair may come more than once."""
     near = F.expr(f"forall(zip_with(x.d, y.d, (p, q) -> abs(p - q) <= {RADIUS}), ok -> ok)")
-    pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near)
-        .where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    )
-
-    flips = [0] + [_signed(1 << i) for i in range(64)]
-    crowd = keyed.join(frequent, "key", "left_semi").select("fp").distinct()
-    sent = crowd.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in flips])).alias("mid"))
-    least = sent.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = sent.join(least, "mid").where("fp != b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars)
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near)
+        met = met.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
+        return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+    keyed = prints.select("fp", _coordinates(F.col("fp")).alias("d"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("one"), F.lit(32).alias("two"))
+    found = None
+    for width in WIDTHS:
+        keyed = settle(_split(keyed, width))
+        frequent = settle(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key"))
+        last = width == WIDTHS[-1] or frequent.isEmpty()
+        part = pairs(keyed if last else keyed.join(frequent, "key", "left_anti"))
+        found = part if found is None else found.unionByName(part)
+        if last:
+            return found
+        keyed = keyed.join(frequent, "key", "left_semi")
 
 
 def near_duplicates(

@@ -93,7 +93,7 @@ def test_simhash_matches_brute_force(spark):
     assert len(set(expected.values())) < len(rows)
 
 
-def test_simhash_star_search_finds_the_same(spark):
+def test_simhash_split_keys_find_the_same(spark):
     rng = random.Random(6)
     prints = {rng.getrandbits(64) for _ in range(20)}
     for x in list(prints)[:5]:
