@@ -7,6 +7,8 @@ the edges still change.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +35,51 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Links that are united in a task at once.
+RUN = 1 << 18
+
+
+def _forest(batches: Iterator) -> Iterator:
+    """Links (u, v) to those of each node of a run of links with the smallest that the run connects it with."""
+    import pyarrow as pa
+
+    def united(links: list[tuple[int, int]]):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        pairs = [(x, find(x)) for x in list(root)]
+        columns = list(zip(*[p for p in pairs if p[0] != p[1]], strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["u", "v"])
+
+    held: list[tuple[int, int]] = []
+    for batch in batches:
+        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if len(held) >= RUN:
+            yield united(held)
+            held = []
+    if held:
+        yield united(held)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node that is not the smallest of its component.
 
-    ``edges`` has two columns of one orderable type; self-links and nulls are ignored, and
+    ``edges`` has two columns of longs; self-links and nulls are ignored, and
     repeated or reversed links are harmless.  ``root`` is the component's smallest node.
     An empty input gives an empty result.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
-    now = settle(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
+    links = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    # what is connected within a task becomes a star there, so few rounds are left
+    now = settle(links.mapInArrow(_forest, "u long, v long").distinct())
     mark = None
     for _ in range(rounds):
         now = settle(_small_star(_large_star(now)))

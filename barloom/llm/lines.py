@@ -7,19 +7,20 @@ others in a fixed random order).  Classes that agree in all rows of a band are c
 at Jaccard 0.8 a band agrees with probability 0.41 and 12 bands find the pair with 0.998.
 
 Texts are read three times, and what leaves the tasks is small: first the hash, the band hashes
-and one byte of every minimum of each different line; later the lines that are verified, which
-a sieve of their hashes picks out.  See ``verify`` for how candidates are verified and linked.
+and a sketch of each different line; later the lines that are verified, which a sieve of their
+hashes picks out.  See ``verify`` for how candidates are verified and linked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import Sieve, settle, sieve, stored
-from barloom.llm.verify import grouped, linked
+from barloom.llm.verify import BINS, grouped, linked, packed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 23
@@ -35,22 +36,21 @@ def normal(line: Column) -> Column:
 
 
 class Signer:
-    """Band hashes of lines; the same in every process."""
+    """Band hashes and sketches of lines; the same in every process."""
 
     def __init__(self, shingle: int) -> None:
         import numpy as np
 
         rng = np.random.default_rng(SEED)
         self.shingle, self.bins = shingle, BANDS * ROWS
+        #: bins that both the band minima and the sketch's minima are made of
+        self.fine = math.lcm(self.bins, BINS)
         others = [rng.permutation([x for x in range(self.bins) if x != b]) for b in range(self.bins)]
         self.lenders = np.array(others)
         self.mixers = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
     def minima(self, lines: list[str]):
-        """(table, filled): the smallest hash in every bin, and how many bins a line fills itself.
-
-        Lines shorter than a shingle are filled up with zeros.
-        """
+        """The smallest hash in each of the fine bins; lines shorter than a shingle are filled up with zeros."""
         import numpy as np
 
         k = self.shingle
@@ -69,17 +69,23 @@ class Signer:
         for i in range(1, k + 1):
             inside[last - np.minimum(i, sizes - 1)] = False
         inside = inside[:count]
-        owner = np.repeat(np.arange(len(lines)) * self.bins, sizes)[:count][inside]
+        owner = np.repeat(np.arange(len(lines)) * self.fine, sizes)[:count][inside]
         hashed = hashed[inside]
         hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         hashed ^= hashed >> np.uint64(29)
-        place = (hashed >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)
-        table = np.full(len(lines) * self.bins, _EMPTY, np.uint64)
+        place = (hashed >> np.uint64(32)) * np.uint64(self.fine) >> np.uint64(32)
+        table = np.full(len(lines) * self.fine, _EMPTY, np.uint64)
         np.minimum.at(table, owner + place.astype(np.int64), hashed & np.uint64(_EMPTY))
-        table = table.reshape(len(lines), self.bins)
+        return table.reshape(len(lines), self.fine)
+
+    def signatures(self, lines: list[str]):
+        """(bands, sketches) of the lines."""
+        import numpy as np
+
+        fine = self.minima(lines)
+        table = fine.reshape(len(lines), self.bins, -1).min(2)
         own = table.copy()
         row, column = np.nonzero(table == _EMPTY)
-        filled = self.bins - np.bincount(row, minlength=len(lines))
         for turn in range(self.bins - 1):
             if not len(row):
                 break
@@ -87,20 +93,10 @@ class Signer:
             table[row, column] = lent
             still = lent == _EMPTY
             row, column = row[still], column[still]
-        return table, filled
-
-    def bands(self, lines: list[str]):
-        return self.signatures(lines)[0]
-
-    def signatures(self, lines: list[str]):
-        """(bands, bytes): the band hashes, and a byte of every minimum behind the number of filled bins."""
-        import numpy as np
-
-        table, filled = self.minima(lines)
         mixed = (table.reshape(len(lines), BANDS, ROWS) * self.mixers).sum(2) + np.arange(BANDS, dtype=np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        octets = np.concatenate([filled[:, None].astype(np.uint8), table.astype(np.uint8)], 1)
-        return (mixed ^ (mixed >> np.uint64(31))).view(np.int64), octets
+        least = fine.reshape(len(lines), BINS, -1).min(2)
+        return (mixed ^ (mixed >> np.uint64(31))).view(np.int64), packed(least, least != _EMPTY)
 
 
 def _cut(text: str) -> list[str]:
@@ -115,7 +111,7 @@ def _hash(line: str) -> int:
 
 
 def _signed(batches: Iterator, shingle: int) -> Iterator:
-    """(doc, hash of the text, text) to (id, doc, hash, pos, bands, signature), each line once a batch, where it comes first."""
+    """(doc, hash of the text, text) to (id, doc, hash, pos, bands, sketch), each line once a batch, where it comes first."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -136,14 +132,14 @@ def _signed(batches: Iterator, shingle: int) -> Iterator:
                 size += len(lines[end]) + shingle
                 end += 1
             part = lines[at:end]
-            bands, octets = signer.signatures(part)
+            bands, sketches = signer.signatures(part)
             rows, places = zip(*(first[x] for x in part), strict=True)
             rows = pa.array(rows)
             ids = np.fromiter((_hash(x) for x in part), np.uint64, len(part)).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
-            blobs = pa.array([x.tobytes() for x in octets], pa.binary())
+            blobs = pa.array([x.tobytes() for x in sketches], pa.binary())
             columns = [pa.array(ids), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()), lists, blobs]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "thash", "pos", "bands", "octets"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "thash", "pos", "bands", "sketch"])
             at = end
 
 
@@ -171,19 +167,18 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def components(slim: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id, first) of every different line of (doc, thash, text), and (node, root) of the lines with near-copies."""
     kind = slim.schema["doc"].dataType.simpleString()
-    signed = slim.mapInArrow(lambda it: _signed(it, shingle), f"id long, doc {kind}, thash long, pos int, bands array<long>, octets binary")
-    classes = stored(
-        signed.groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first"), F.first("bands").alias("bands"), F.first("octets").alias("octets"))
-    )
+    signed = stored(slim.mapInArrow(lambda it: _signed(it, shingle), f"id long, doc {kind}, thash long, pos int, bands array<long>, sketch binary"))
+    # a line that comes in several batches is there as often, which only the first two tables have to mind
+    firsts = stored(signed.groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first")))
+    sketches = signed.select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch"))
 
     def texts(ids: DataFrame) -> DataFrame:
         shared = slim.sparkSession.sparkContext.broadcast(sieve(ids))
         lines = slim.select("text").mapInArrow(lambda it: _picked(it, shared.value), "id long, line string")
         return lines.groupBy("id").agg(F.first("line").alias("line"))
 
-    members = grouped(classes.select("id", "bands"))
-    roots = linked(members, classes.select("id", "octets"), texts, lambda x: shingles(x, shingle), similarity, BANDS * ROWS, BLOCK)
-    return classes.select("id", "first"), roots
+    members = grouped(signed.select("id", "bands"), BANDS)
+    return firsts, linked(members, sketches, texts, lambda x: shingles(x, shingle), similarity, BLOCK)
 
 
 def _kept(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:

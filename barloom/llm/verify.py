@@ -1,28 +1,35 @@
 """Verification of candidates that share a band, and their links.
 
-Bands that many texts of a batch share get a centre in the batch, and only the centre goes on
-to the shuffle by band, so a band of any size is spread over the tasks.  All others of a band
-meet there in sorted order, and the first is their centre.
-
-Each text is compared with its centres.  Bytes of the signatures sort out most pairs without
-their texts; those left are verified exactly.  Only where a band then still holds several
-components are its other pairs compared, in blocks, first by the bytes and then by the texts,
-and never two texts of one component.  Components come from a distributed union of the links.
+(id, band) pairs are packed into blocks of bytes, one a target part, so the shuffle moves 16
+bytes a pair.  Bands that many texts of a run share get a centre in that run, and only the centre
+goes on to the shuffle, so a band of any size is spread over the tasks.  All others of a band
+meet in its part, and the first in a hashed order is their centre.
+
+Each text is compared with its centres.  Sketches of the shingle sets sort out most pairs
+without their texts; those left are verified exactly.  Only where a band then still holds
+several components are its other pairs compared, in blocks, first by the sketches and then by
+the texts, and never two texts of one component.  Components come from a distributed union of
+the links.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width
+from barloom.llm.common import settle, shuffle_width, stored
 from barloom.llm.components import connected_components
 
-#: Texts of a batch that share a band, from which on they get a centre in the batch.
+#: Texts of a run that share a band, from which on they get a centre in the run.
 CROWD = 8
+#: Pairs that are packed at once, and that a part holds, about.
+RUN, PART = 1 << 19, 1 << 20
+#: Bins of a sketch, half a byte each.
+BINS = 128
 
 
 def jaccard(a, b) -> float:
@@ -30,93 +37,142 @@ def jaccard(a, b) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _keyed(batches: Iterator) -> Iterator:
-    """(id, bands) to (band, id, centre); a null centre is still to be found."""
+# --- sketches -----------------------------------------------------------------------------
+
+
+def packed(minima, filled):
+    """Sketches of 64 bytes from the smallest hash of each of the 128 bins: 0 for an empty bin, else 1 to 15."""
+    import numpy as np
+
+    halves = np.where(filled, minima % np.uint64(15) + np.uint64(1), 0).astype(np.uint8)
+    return halves[:, ::2] | halves[:, 1::2] << 4
+
+
+@functools.cache
+def _halves():
+    """For each byte, how many of its halves are zero."""
+    import numpy as np
+
+    octets = np.arange(256)
+    return ((octets & 15 == 0).astype(np.uint8) + (octets >> 4 == 0)).astype(np.uint8)
+
+
+def alike(a, b, similarity: float):
+    """Whether pairs of sketches agree in as many bins as all but about 2 in a million pairs of that similarity."""
+    import numpy as np
+
+    empty = _halves()[a | b].sum(-1, dtype=np.int32)
+    agree, used = _halves()[a ^ b].sum(-1, dtype=np.int32) - empty, BINS - empty
+    rate = similarity + (1 - similarity) / 15
+    return agree >= np.floor(used * rate - 4.6 * np.sqrt(used * rate * (1 - rate)))
+
+
+def _sketches(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS // 2)
+
+
+# --- bands --------------------------------------------------------------------------------
+
+
+def _sorted_pairs(bands, ids):
+    """Different (band, id) by band, in an order of ids that each band shuffles anew, and the first of each band."""
+    import numpy as np
+
+    order = np.lexsort((ids ^ bands, bands))
+    bands, ids = bands[order], ids[order]
+    new = np.append(True, (bands[1:] != bands[:-1]) | (ids[1:] != ids[:-1]))[: len(bands)]
+    bands, ids = bands[new], ids[new]
+    start = np.nonzero(np.append(True, bands[1:] != bands[:-1])[: len(bands)])[0]
+    return bands, ids, start, np.diff(np.append(start, len(bands)))
+
+
+def _packed_pairs(batches: Iterator, parts: int) -> Iterator:
+    """(id, bands) to (part, crowd, pairs); pairs of a crowd come with their centre."""
     import numpy as np
     import pyarrow as pa
 
+    def rows(part, columns, crowd: bool) -> list[dict]:
+        if not len(part):
+            return []
+        order = np.argsort(part, kind="stable")
+        part, table = part[order], np.stack([x[order] for x in columns], 1)
+        start = np.nonzero(np.append(True, part[1:] != part[:-1])[: len(part)])[0].tolist()
+        return [{"part": int(part[a]), "crowd": crowd, "pairs": table[a:b].tobytes()} for a, b in zip(start, [*start[1:], len(part)], strict=True)]
+
+    def flush(bands, ids) -> list[dict]:
+        bands, ids, start, size = _sorted_pairs(np.concatenate(bands), np.concatenate(ids))
+        crowded = np.repeat(size >= CROWD, size)
+        centre = np.repeat(ids[start], size)
+        first = np.zeros(len(ids), bool)
+        first[start] = True
+        stay = ~crowded | first
+        out = rows((bands[stay].view(np.uint64) % np.uint64(parts)).astype(np.int64), [bands[stay], ids[stay]], False)
+        spread = (ids[crowded].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(parts)
+        return out + rows(spread.astype(np.int64), [bands[crowded], ids[crowded], centre[crowded]], True)
+
+    schema = pa.schema([("part", pa.int32()), ("crowd", pa.bool_()), ("pairs", pa.binary())])
+    bands, ids, held = [], [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, lists = batch.column(0).to_numpy(), batch.column(1)
-        bands = lists.flatten().to_numpy()
-        owner = np.repeat(ids, lists.value_lengths().to_numpy())
-        order = np.lexsort((owner ^ bands, bands))
-        bands, owner = bands[order], owner[order]
-        start = np.nonzero(np.append(True, bands[1:] != bands[:-1]))[0]
-        size = np.diff(np.append(start, len(bands)))
-        centre = np.repeat(owner[start], size)
-        crowd = np.repeat(size >= CROWD, size)
-        yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(owner), pa.array(centre, mask=~crowd)], ["band", "id", "centre"])
-        if crowd.any():
-            first = start[size >= CROWD]
-            nothing = pa.nulls(len(first), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bands[first]), pa.array(owner[first]), nothing], ["band", "id", "centre"])
-
-
-def _centred(batches: Iterator) -> Iterator:
-    """Rows of ``_keyed`` sorted by band to the (band, id, centre) of bands with several ids."""
+        lists = batch.column(1)
+        bands.append(lists.flatten().to_numpy())
+        ids.append(np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()))
+        held += len(bands[-1])
+        if held >= RUN:
+            yield pa.RecordBatch.from_pylist(flush(bands, ids), schema=schema)
+            bands, ids, held = [], [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(flush(bands, ids), schema=schema)
+
+
+def _met(batches: Iterator) -> Iterator:
+    """Rows of ``_packed_pairs`` by part to the (band, id, centre) of bands with several ids."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["band", "id", "centre"]
-    band = head = None  # the last band of the batch before, its first id
-    alone = False
+    def out(bands, ids, centre):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (bands, ids, centre)], ["band", "id", "centre"])
+
+    def of_part(blobs: list[bytes]):
+        table = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        bands, ids, start, size = _sorted_pairs(table[:, 0], table[:, 1])
+        several = np.repeat(size > 1, size)
+        return out(bands[several], ids[several], np.repeat(ids[start], size)[several])
+
+    part, blobs = None, []
     for batch in batches:
-        known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        if known.any():
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(known)) for x in batch.columns], names)
-        bands, ids = (batch.column(i).to_numpy()[~known] for i in range(2))
-        if not len(bands):
-            continue
-        new = np.append(bands[0] != band, bands[1:] != bands[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(bands)), -1))
-        centre = np.where(start >= 0, ids[start], 0 if head is None else head)
-        follows = ~new
-        if follows[0] and alone:
-            yield pa.RecordBatch.from_arrays([pa.array([band]), pa.array([head]), pa.array([head])], names)
-        shared = follows.copy()
-        shared[:-1] |= new[:-1] & follows[1:]
-        if shared.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (bands, ids, centre)], names)
-        band, head, alone = bands[-1], int(centre[-1]), bool(new[-1])
-
-
-def grouped(classes: DataFrame) -> DataFrame:
-    """Rows (band, id, centre) of the (id, bands) that share a band with others."""
-    width = shuffle_width(classes.sparkSession)
-    kind = "band long, id long, centre long"
-    keyed = classes.mapInArrow(_keyed, kind)
-    at = F.when(F.col("centre").isNull(), F.col("band")).otherwise(F.col("id"))
-    laid = keyed.repartition(width, at).sortWithinPartitions("band", F.col("id").bitwiseXOR(F.col("band")))
-    return settle(laid.mapInArrow(_centred, kind))
-
-
-def least_agreeing(minima: int, similarity: float) -> int:
-    """Minima that agree in all but about 2 in a million pairs at that similarity."""
-    return math.floor(minima * similarity - 4.6 * math.sqrt(minima * similarity * (1 - similarity)))
-
-
-def _alike(a, b, minima: int, least: int):
-    """Whether pairs of signatures agree often enough; those with few minima of their own always do."""
-    import numpy as np
+        for now, crowd, pairs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if crowd:
+                yield out(*np.frombuffer(pairs, np.int64).reshape(-1, 3).T.copy())
+                continue
+            if now != part and blobs:
+                yield of_part(blobs)
+                blobs = []
+            part = now
+            blobs.append(pairs)
+    if blobs:
+        yield of_part(blobs)
 
-    few = np.minimum(a[..., 0], b[..., 0]).astype(np.int32) * 6 < minima * 5
-    return few | ((a[..., 1:] == b[..., 1:]).sum(-1, dtype=np.int32) >= least)
 
+def grouped(signed: DataFrame, per_id: int) -> DataFrame:
+    """Rows (band, id, centre) of the (id, bands) that share a band with other ids; repeated rows are harmless."""
+    width = shuffle_width(signed.sparkSession)
+    parts = max(width, math.ceil(signed.count() * per_id / PART))
+    dealt = signed.mapInArrow(lambda it: _packed_pairs(it, parts), "part int, crowd boolean, pairs binary")
+    laid = dealt.repartition(width, "part").sortWithinPartitions("part")
+    return stored(laid.mapInArrow(_met, "band long, id long, centre long"))
 
-def _octets(column, minima: int):
-    import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, minima + 1)
+# --- pairs --------------------------------------------------------------------------------
 
 
-def _sorted_out(batches: Iterator, minima: int, least: int) -> Iterator:
-    """(a, b, left, right) to the (a, b) whose signatures are alike."""
+def _sorted_out(batches: Iterator, similarity: float) -> Iterator:
+    """(a, b, left, right) to the (a, b) whose sketches are alike."""
     import pyarrow as pa
 
     for batch in batches:
-        keep = _alike(_octets(batch.column(2), minima), _octets(batch.column(3), minima), minima, least)
+        keep = alike(_sketches(batch.column(2)), _sketches(batch.column(3)), similarity)
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in batch.columns[:2]], ["a", "b"])
 
 
@@ -124,106 +180,126 @@ def _verified(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
     """(a, b, left, right) to the (a, b) whose texts are similar enough."""
     import pyarrow as pa
 
+    known = functools.lru_cache(32)(cut)  # rows of one centre come together
     for batch in batches:
         texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = [jaccard(cut(x), cut(y)) >= similarity for x, y in texts]
+        keep = [jaccard(cut(x), known(y)) >= similarity for x, y in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _near(rows: list[dict], minima: int, least: int):
-    """Pairs of rows of a block that may be linked: other components, alike signatures, not dealt with in another block."""
+def _whole_blocks(batches: Iterator) -> Iterator:
+    """(rows, starts): rows that come sorted by (band, low, high), cut so that every block is whole."""
     import numpy as np
+    import pyarrow as pa
 
-    octets = np.frombuffer(b"".join(x["octets"] for x in rows), np.uint8).reshape(-1, minima + 1)
-    root, side = np.array([x["root"] for x in rows]), np.array([x["side"] for x in rows])
-    open_ = np.triu(root[:, None] != root[None, :], 1)
-    if rows[0]["low"] != rows[0]["high"]:
-        open_ &= side[:, None] != side[None, :]
-    left, right = np.nonzero(open_)
-    keep = np.concatenate([_alike(octets[left[k : k + 4096]], octets[right[k : k + 4096]], minima, least) for k in range(0, len(left), 4096)] or [np.zeros(0, bool)])
-    return left[keep], right[keep]
+    held = None
+    for batch in batches:
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key = [batch.column(x).to_numpy() for x in ("band", "low", "high")]
+        start = np.nonzero(np.append(True, np.any([x[1:] != x[:-1] for x in key], 0)))[0]
+        held = batch.slice(int(start[-1]))
+        if len(start) > 1:
+            yield batch.slice(0, int(start[-1])), start[:-1]
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
 
 
-def _involved(rows: list[dict], minima: int, least: int, **_: object) -> Iterator[dict]:
+def _near(rows, starts, similarity: float) -> Iterator:
+    """Pairs of rows of one block that may be linked: other components, alike sketches, not dealt with in another block."""
     import numpy as np
 
-    left, right = _near(rows, minima, least)
-    for i in np.unique(np.concatenate([left, right])).tolist():
-        yield rows[i]
-
-
-def _joined(rows: list[dict], minima: int, least: int, cut: Callable, similarity: float) -> Iterator[dict]:
-    """Links between components of one block, at most one for each two that get joined."""
-    sets = [cut(x["line"]) for x in rows]
-    root = {x["root"]: x["root"] for x in rows}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
+    size = np.diff(np.append(starts, rows.num_rows))
+    count = np.repeat(starts + size, size) - np.arange(rows.num_rows) - 1
+    sums = np.cumsum(count)
+    root, side, low, high = (rows.column(x).to_numpy() for x in ("root", "side", "low", "high"))
+    sketch = _sketches(rows.column("sketch"))
+    at = 0
+    while at < rows.num_rows:
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 18), "right")))
+        own = count[at:end]
+        left = np.repeat(np.arange(at, end), own)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        open_ = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
+        left, right = left[open_], right[open_]
+        keep = alike(sketch[left], sketch[right], similarity)
+        yield left[keep], right[keep]
+        at = end
+
+
+_BLOCK = "band long, low int, high int, side int, id long, root long, sketch binary"
+
+
+def _involved(batches: Iterator, similarity: float) -> Iterator:
+    """The rows of ``_BLOCK`` that have such a pair."""
+    import numpy as np
+    import pyarrow as pa
 
-    for i, j in zip(*(x.tolist() for x in _near(rows, minima, least)), strict=True):
-        a, b = find(rows[i]["root"]), find(rows[j]["root"])
-        small, large = sorted((len(sets[i]), len(sets[j])))
-        if a != b and small >= similarity * large and jaccard(sets[i], sets[j]) >= similarity:
-            root[max(a, b)] = min(a, b)
-            yield {"a": rows[i]["id"], "b": rows[j]["id"]}
+    for rows, starts in _whole_blocks(batches):
+        used = np.zeros(rows.num_rows, bool)
+        for left, right in _near(rows, starts, similarity):
+            used[left] = used[right] = True
+        yield rows.filter(pa.array(used))
 
 
-def _by_block(batches: Iterator, work: Callable, schema) -> Iterator:
-    """Apply ``work`` to the rows of each block, which come sorted and whole in a partition."""
+def _joined(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
+    """Links between components of a block, at most one for each two that get joined; rows of ``_BLOCK`` with the line."""
     import pyarrow as pa
 
-    held: list[dict] = []
-    for batch in batches:
-        out: list[dict] = []
-        for row in batch.to_pylist():
-            if held and (row["band"], row["low"], row["high"]) != (held[0]["band"], held[0]["low"], held[0]["high"]):
-                out += work(held)
-                held = []
-            held.append(row)
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
-    if held:
-        yield pa.RecordBatch.from_pylist(list(work(held)), schema=schema)
+    for rows, starts in _whole_blocks(batches):
+        ids, roots, lines = (rows.column(x).to_pylist() for x in ("id", "root", "line"))
+        parent: dict[int, int] = {}
+        cut_once = functools.cache(lambda i: cut(lines[i]))  # noqa: B023
+        links: list[tuple[int, int]] = []
 
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:  # noqa: B023
+                parent[x] = x = parent.get(up, up)  # noqa: B023
+            return x
 
-_BLOCK = "band long, low int, high int, side int, id long, root long, octets binary"
+        for left, right in _near(rows, starts, similarity):
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                a, b = find(roots[i]), find(roots[j])
+                if a != b and jaccard(cut_once(i), cut_once(j)) >= similarity:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[j]))
+        columns = list(zip(*links, strict=True)) if links else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
 
 
-def _dealt(members: DataFrame, roots: DataFrame, signatures: DataFrame, block: int) -> DataFrame:
+def _dealt(members: DataFrame, roots: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
     """The rows of ``_BLOCK`` of bands of three texts or more that still hold several components."""
-    labelled = members.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    labelled = settle(labelled.distinct())
-    by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    bands = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("inner"))
-    bands = bands.where("roots > 1 and n > 2")
+    labelled = members.select("band", "id").distinct().join(roots, F.col("id") == F.col("node"), "left")
+    labelled = stored(labelled.select("band", "id", F.coalesce("root", "id").alias("root")))
+    by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"))
+    bands = by_root.groupBy("band").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.bit_xor("of").alias("of")
+    )
+    # bands of the same texts are compared once
+    bands = bands.where("roots > 1 and n > 2").groupBy("of", "n", "main", "inner").agg(F.min("band").alias("band"))
     # blocks of the main component come first; two of them are never compared
     small, spread = F.col("n") <= block, F.xxhash64("id", F.lit(7))
-    sizes = bands.select(
+    sizes = stored(bands.select(
         "band", "main", small.alias("small"), F.ceil(F.col("inner") / block).cast("int").alias("inside"), F.ceil((F.col("n") - F.col("inner")) / block).cast("int").alias("outside")
-    )
-    open_ = labelled.join(sizes, "band")
+    ))
     inner = F.col("root") == F.col("main")
     side = F.when(F.col("small"), F.lit(0)).when(inner, F.pmod(spread, F.col("inside"))).otherwise(F.col("inside") + F.pmod(spread, F.col("outside")))
     end = F.col("inside") + F.col("outside") - 1
     others = F.when(F.col("small"), F.array(F.lit(0))).when(inner, F.sequence(F.col("inside"), end)).otherwise(F.sequence(F.lit(0), end))
-    dealt = open_.select("band", "id", "root", side.cast("int").alias("side"), F.explode(others).alias("other"))
+    dealt = labelled.join(sizes, "band").select("band", "id", "root", side.cast("int").alias("side"), F.explode(others).alias("other"))
     dealt = dealt.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other")
-    return dealt.join(signatures, "id").select(*[x.split()[0] for x in _BLOCK.split(", ")])
+    return dealt.join(sketches, "id").select(*[x.split()[0] for x in _BLOCK.split(", ")])
 
 
-def linked(
-    members: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, minima: int, block: int
-) -> DataFrame:
+def linked(members: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, block: int) -> DataFrame:
     """(node, root) of the candidates (band, id, centre) that are near copies.
 
-    ``signatures`` has (id, octets): one byte for the number of minima of its own and one for
-    each of the ``minima``.  ``texts`` gives (id, line) for a table of ids, and may give
-    more; ``cut`` the set of shingles of a text.
+    ``sketches`` has (id, sketch), each id once.  ``texts`` gives (id, line) for a table of
+    ids, and may give more; ``cut`` the set of shingles of a text.
     """
-    import pyarrow as pa
-
-    least, width = least_agreeing(minima, similarity), shuffle_width(members.sparkSession)
+    width = shuffle_width(members.sparkSession)
 
     def both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         left = table.select(F.col("id").alias("a"), F.col(value).alias("left"))
@@ -231,23 +307,19 @@ def linked(
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
     stars = members.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = settle(both(stars, signatures, "octets").mapInArrow(lambda it: _sorted_out(it, minima, least), "a long, b long"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    lines = settle(texts(needed))
+    likely = stored(both(stars, sketches, "sketch").mapInArrow(lambda it: _sorted_out(it, similarity), "a long, b long"))
+    lines = stored(texts(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     links = settle(both(likely, lines, "line").mapInArrow(lambda it: _verified(it, cut, similarity), "a long, b long"))
     roots = connected_components(links)
 
     def laid(rows: DataFrame) -> DataFrame:
         return rows.repartition(width, "band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _BLOCK.split(", "))])
-    dealt = laid(_dealt(members, roots, signatures, block))
-    left = settle(dealt.mapInArrow(lambda it: _by_block(it, lambda rows: _involved(rows, minima, least), schema), _BLOCK))
-    ids = left.select("id").distinct()
-    more = ids.join(lines, "id", "left_anti")
+    dealt = laid(_dealt(members, roots, sketches, block))
+    left = stored(dealt.mapInArrow(lambda it: _involved(it, similarity), _BLOCK))
+    more = left.select("id").distinct().join(lines.select("id"), "id", "left_anti")
+    more = stored(more)
     if not more.isEmpty():
-        lines = lines.unionByName(settle(texts(more)))
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rest = laid(left.join(lines, "id")).mapInArrow(lambda it: _by_block(it, lambda rows: _joined(rows, minima, least, cut, similarity), pairs), "a long, b long")
+        lines = lines.unionByName(stored(texts(more)).join(more, "id", "left_semi"))
+    rest = laid(left.join(lines, "id")).mapInArrow(lambda it: _joined(it, cut, similarity), "a long, b long")
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
