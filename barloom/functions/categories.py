@@ -55,13 +55,52 @@ def window_size(sessions: Column, length: Column) -> Column:
 
 def span_label(sessions: Column) -> Column:
     """A rough name for a number of sessions."""
-    found = F.lit("over a year")
-    names = ((260, "a year"), (130, "6 months"), (70, "3 months"), (45, "2 months"), (26, "a month"), (11, "2 weeks"), (5, "a week"))
+    # The names and how many sessions they reach to.
+    names = ((260, "~1 year"), (130, "~6 months"), (70, "~3 months"), (45, "~2 months"), (26, "~1 month"), (11, "~2 weeks"), (5, "~1 week"))
+    found = F.concat(round_up_half(sessions / 21.0).cast("string"), F.lit(" months"))
     for limit, name in names:
         found = F.when(sessions <= limit, F.lit(name)).otherwise(found)
     return found
 
 
+def day_label(date: Column) -> Column:
+    """A date as 12 Mar."""
+    return F.date_format(date, "d MMM")
+
+
+def range_label(dates: Column, n: Column) -> Column:
+    """The first and last day of the last ``n`` of an array of dates: 12 Mar → 8 Aug; empty without dates."""
+    first = F.get(dates, F.greatest(F.lit(0), F.size(dates) - n))
+    label = F.concat(day_label(first), F.lit(" → "), day_label(F.element_at(dates, -1)))
+    return F.when(F.size(dates) > 0, label).otherwise(F.lit(""))
+
+
+def window_note(dates: Column, n: Column) -> Column:
+    """45 sessions · ~2 months · 12 Mar → 8 Aug."""
+    days = range_label(dates, n)
+    return F.concat(n.cast("string"), F.lit(" sessions · "), span_label(n), F.when(days != "", F.concat(F.lit(" · "), days)).otherwise(F.lit("")))
+
+
+def percent_text(x: Column) -> Column:
+    """A signed per cent with one decimal."""
+    return F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string("%.1f", x), F.lit("%"))
+
+
+def rising(x: Column) -> Column:
+    """Whether a value is shown as a rise; zero is."""
+    return x >= 0
+
+
+def bar_width(part: Column, total: Column) -> Column:
+    """Whole per cent of a bar, ties upwards; 0 where there is nothing."""
+    return F.coalesce(round_up_half(F.try_divide(part * 100.0, F.when(total != 0, total))), F.lit(0)).cast("long")
+
+
+def meter(value: Column, full: Column) -> Column:
+    """Per cent of a meter, from 0 to 100."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value / full * 100.0))
+
+
 def age_label(then: Column, now: Column) -> Column:
     """Minutes, hours or days between two timestamps."""
     minutes = F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60))
@@ -72,9 +111,9 @@ def age_label(then: Column, now: Column) -> Column:
     )
 
 
-def price_text(x: Column) -> Column:
+def price_text(x: Column, decimals: int = 2) -> Column:
     """A price with two decimals and Indian digit groups: 12,34,567.89."""
-    plain = F.format_string("%.2f", F.abs(x))
+    plain = F.format_string(f"%.{decimals}f", F.abs(x))
     digits, cents = F.substring_index(plain, ".", 1), F.substring_index(plain, ".", -1)
     head, tail = F.regexp_extract(digits, r"^(\d*?)(\d{1,3})$", 1), F.regexp_extract(digits, r"^(\d*?)(\d{1,3})$", 2)
     grouped = F.regexp_replace(head, r"(?<=\d)(?=(?:\d\d)+$)", ",")
@@ -83,12 +122,11 @@ def price_text(x: Column) -> Column:
 
 
 def amount_text(x: Column) -> Column:
-    """An amount in crores or lakhs where it is that large."""
-    return (
-        F.when(F.abs(x) >= 1e7, F.concat(F.format_string("%.2f", x / 1e7), F.lit(" Cr")))
-        .when(F.abs(x) >= 1e5, F.concat(F.format_string("%.2f", x / 1e5), F.lit(" L")))
-        .otherwise(price_text(x))
-    )
+    """An amount in rupees, in crores or lakhs where it is that large, without needless decimals."""
+    short = lambda y: F.regexp_replace(F.format_string("%.2f", y), r"\.00$", "")
+    plain = F.regexp_replace(price_text(x, 3), r"\.?0+$", "")
+    text = F.when(x >= 1e7, F.concat(short(x / 1e7), F.lit(" Cr"))).when(x >= 1e5, F.concat(short(x / 1e5), F.lit(" L"))).otherwise(plain)
+    return F.concat(F.lit("₹"), text)
 
 
 def clean_symbol(raw: Column) -> Column:

@@ -59,5 +59,10 @@ def cross_check(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...] = FI
     return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
+def recent_log(log: DataFrame, rows: int = 25) -> DataFrame:
+    """The newest log rows."""
+    return log.orderBy(F.desc("ts"), "job").limit(rows)
+
+
 def raw_tail(bars: DataFrame, symbol: str, n: int = 8) -> DataFrame:
     return bars.where(F.col("symbol") == symbol).orderBy(F.desc("date")).limit(n)

@@ -12,9 +12,9 @@ from barloom.operators.indicators import PERIODS, WEEK, with_emas, with_grid
 HISTORY = 120
 
 
-def with_indicators(bars: DataFrame) -> DataFrame:
-    """Bars on the session axis with grid columns and averages."""
-    return with_emas(with_grid(bars))
+def with_indicators(bars: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Bars on the session axis with grid columns and averages; ``most_rows`` as for ``with_emas``."""
+    return with_emas(with_grid(bars), most_rows=most_rows)
 
 
 def breadth_counters(indicators: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CANDLES = 500
+# Display names of the indices and the names that their file has.
+INDEX_NAMES = {
+    "NIFTY 50": "NIFTY 50", "NIFTY BANK": "NIFTY BANK", "NIFTY MIDCAP 100": "NIFTY MIDCAP 100",
+    "NIFTY SMLCAP 100": "NIFTY SMALLCAP 100", "NIFTY IT": "NIFTY IT", "INDIA VIX": "INDIA VIX",
+}
 
 
 def tail_rows(bars: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",), order: str = "date") -> DataFrame:
@@ -40,11 +45,27 @@ def candle_tail(payload: DataFrame, symbol: str, n: int | None = None) -> DataFr
 
 
 def index_series(index_bars: DataFrame) -> DataFrame:
-    """Rows (index_name, dates, closes): every index as arrays in date order."""
-    rows = index_bars.groupBy("index_name").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("_b"))
-    return rows.select(
-        "index_name", F.transform("_b", lambda x: x["date"].cast("string")).alias("dates"), F.transform("_b", lambda x: x["close"]).alias("closes")
-    )
+    """Rows (index_name, dates, opens, highs, lows, closes): every index as arrays in date order."""
+    fields = [c for c in ("open", "high", "low", "close") if c in index_bars.columns]
+    rows = index_bars.groupBy("index_name").agg(F.sort_array(F.collect_list(F.struct("date", *fields))).alias("_b"))
+    part = lambda name: F.transform("_b", lambda x: x[name])
+    gathered = [part(c).alias(f"{c}s") for c in fields]
+    return rows.select("index_name", F.transform("_b", lambda x: x["date"].cast("string")).alias("dates"), *gathered)
+
+
+def served_candles(payload: DataFrame, index_bars: DataFrame, symbol: str, n: int | None = None, names: dict[str, str] = INDEX_NAMES) -> DataFrame:
+    """One row (sym, known, candles): the last ``n`` candles (180, at most 500) of a symbol or of an index by its display name.
+
+    Candles of an index have volume 0.  A symbol without a payload is not ``known`` and has none.
+    """
+    symbol, n = symbol.upper(), max(0, min(CANDLES, 180 if n is None else n))
+    if symbol in names:
+        rows = index_bars.where(F.col("index_name") == names[symbol]).orderBy(F.desc("date")).limit(n)
+        candle = F.struct(F.col("date").cast("string").alias("d"), *[F.col(c).alias(c[0]) for c in ("open", "high", "low", "close")], F.lit(0).cast("long").alias("v"))
+        return rows.agg(F.sort_array(F.collect_list(candle)).alias("candles")).select(F.lit(symbol).alias("sym"), F.lit(True).alias("known"), "candles")
+    zipped = F.arrays_zip("d", "o", "h", "l", "c", "v")
+    own = payload.where(F.col("symbol") == symbol).select(F.slice(zipped, F.greatest(F.lit(1), F.size(zipped) - n + 1), F.lit(n)).alias("candles"))
+    return own.agg(F.first("candles").alias("candles")).select(F.lit(symbol).alias("sym"), F.col("candles").isNotNull().alias("known"), "candles")
 
 
 def index_strip(index_bars: DataFrame, names: DataFrame, points: int = 32) -> DataFrame:
@@ -73,5 +94,10 @@ def position_plan(bars: DataFrame, capital: float = 1e6, risk_pct: float = 1.0)
     )
 
 
+def above_averages(last: Column, averages: dict[str, Column]) -> dict[str, Column]:
+    """Whether the last close is at or above each average."""
+    return {name: last >= average for name, average in averages.items()}
+
+
 def day_change(last: Column, before: Column) -> Column:
     return F.when(before > 0, F.try_divide(last - before, before) * 100).otherwise(F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,28 +12,55 @@ from barloom.operators.sessions import along, lag_of
 
 PERIODS = (10, 20, 50, 200)
 YEAR, MONTH, WEEK, QUARTER = 252, 20, 5, 63
-#: Bars of a symbol up to which the closed form of the average stays inside a double.
-CLOSED_FORM = 3000
+#: Most rows of a block of the averages' closed form.
+BLOCK = 2000
+
+
+def _keep(period: int) -> float:
+    return 1.0 - 2.0 / (period + 1)
 
 
-def _weighted(column: str, keep: float) -> Column:
-    return F.when(F.col("_i") == 0, F.col(column)).otherwise(F.col(column) * (1 - keep) * F.pow(F.lit(keep), -F.col("_i")))
+def _block_rows(periods: tuple[int, ...]) -> int:
+    """Rows of a block such that the weights of the shortest period stay inside a double."""
+    keep = min(_keep(p) for p in periods)
+    return BLOCK if keep <= 0 else max(1, min(BLOCK, int(250 * math.log(10) / -math.log(keep))))
 
 
-def with_emas(bars: DataFrame, periods: tuple[int, ...] = PERIODS, column: str = "close", order: str = "sess") -> DataFrame:
+def with_emas(
+    bars: DataFrame, periods: tuple[int, ...] = PERIODS, column: str = "close", order: str = "sess", most_rows: int | None = None
+) -> DataFrame:
     """Add ``e<period>`` columns.  A session without a bar carries the average on.
 
-    At most ``CLOSED_FORM`` rows a symbol are taken (the window plans pass 520): beyond it the
-    weights of short periods leave the range of a double.
+    The average is a closed form over a running sum.  Its weights grow with the rows, so long
+    histories are cut into blocks: a block's average is its own closed form plus the faded
+    averages at the ends of the blocks before, as many as are above the precision of a double.
+    ``most_rows`` is the number of rows that no symbol exceeds, if known: one block needs no
+    more than the running sum.
     """
     rows = W.partitionBy("symbol").orderBy(order)
+    size = _block_rows(periods)
+    one = most_rows is not None and most_rows <= size
     out = bars.withColumn("_i", F.row_number().over(rows) - 1)
-    running = rows.rowsBetween(W.unboundedPreceding, 0)
-    found = {}
+    out = out.withColumns({"_block": F.lit(0) if one else F.floor(F.col("_i") / size).cast("int"), "_at": F.col("_i") % size})
+    running = (rows if one else W.partitionBy("symbol", "_block").orderBy(order)).rowsBetween(W.unboundedPreceding, 0)
+    own = {}
     for p in periods:
-        keep = 1.0 - 2.0 / (p + 1)
-        found[f"e{p}"] = F.pow(F.lit(keep), F.col("_i")) * F.sum(_weighted(column, keep)).over(running)
-    return out.withColumns(found).drop("_i")
+        keep = _keep(p)
+        weighted = F.when(F.col("_i") == 0, F.col(column)).otherwise(F.col(column) * (1 - keep) * F.pow(F.lit(keep), -F.col("_at")))
+        own[f"e{p}"] = F.pow(F.lit(keep), F.col("_at")) * F.sum(weighted).over(running)
+    out = out.withColumns(own)
+    if not one:
+        blocks = W.partitionBy("symbol").orderBy("_block")
+        carried = {}
+        for p in periods:
+            keep, total = _keep(p), F.col(f"e{p}")
+            back = 1 if keep <= 0 else max(1, math.ceil(18 * math.log(10) / (-math.log(keep) * size)))
+            for m in range(1, back + 1):
+                end = F.max(F.when(F.col("_at") == size - 1, F.col(f"e{p}"))).over(blocks.rangeBetween(-m, -m))
+                total = total + F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1 + size * (m - 1))
+            carried[f"e{p}"] = total
+        out = out.withColumns(carried)
+    return out.drop("_i", "_block", "_at")
 
 
 def with_grid(bars: DataFrame) -> DataFrame:

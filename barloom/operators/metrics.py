@@ -71,9 +71,10 @@ def sector_scores(metrics: DataFrame) -> DataFrame:
 
 
 def sector_members(metrics: DataFrame) -> DataFrame:
-    """Rows (sector, advancing, declining, members): members as sorted structs of symbol and change."""
+    """Rows (sector, advancing, declining, members): members as structs of their figures, by symbol."""
+    figures = F.struct("sym", "price", "chg1d", "chg1w", "dist_ath", "is_ath", "is52", "wk_break")
     return metrics.groupBy("sector").agg(
         F.count_if(F.col("chg1d") >= 0).alias("advancing"),
         F.count_if(F.col("chg1d") < 0).alias("declining"),
-        F.sort_array(F.collect_list("sym")).alias("members"),
+        F.sort_array(F.collect_list(figures)).alias("members"),
     )

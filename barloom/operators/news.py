@@ -35,3 +35,10 @@ def sentiment_counts(news: DataFrame) -> DataFrame:
 
 def with_sector(news: DataFrame, sectors: DataFrame) -> DataFrame:
     return news.join(sectors, "symbol", "left")
+
+
+def symbol_counts(news: DataFrame, watch: DataFrame) -> DataFrame:
+    """Rows (symbol, articles): how many articles there are, as ``all``, and of each watched symbol, none included."""
+    counts = news.groupBy("symbol").agg(F.count("*").alias("articles"))
+    each = watch.select("symbol").distinct().join(counts, "symbol", "left").na.fill(0, ["articles"])
+    return each.unionByName(news.agg(F.count("*").alias("articles")).select(F.lit("all").alias("symbol"), "articles"))

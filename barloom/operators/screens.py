@@ -75,6 +75,37 @@ def import_symbols(raw: DataFrame, held: DataFrame, cap: int = 200) -> DataFrame
     return asked.orderBy("pos").limit(room).join(held, "symbol", "left_anti").select("symbol", "pos")
 
 
+#: Sort keys of the tables, each with its expression and, where it is not the rule, the direction of a first click.
+SORTS: dict[str, dict[str, tuple[str, str | None]]] = {
+    "stocks": {
+        "sym": ("sym", "asc"), "sector": ("sector", "asc"), "price": ("price", None), "chg1d": ("chg1d", None), "chg1w": ("chg1w", None),
+        "dist_ath": ("dist_ath", "asc"), "tag": ("tag_rank", None),
+    },
+    "drawdowns": {
+        "sym": ("sym", "asc"), "sector": ("sector", "asc"), "price": ("price", None), "chg1d": ("chg1d", None), "dist_ath": ("dist_ath", None), "status": ("dist_ath", None),
+    },
+    "sectors": {
+        "name": ("sector", "asc"), "count": ("count", None), "adv": ("adv / greatest(1, count)", None), "dma_pct": ("dma_pct", None), "new_highs": ("new_highs", None),
+        "wk": ("wk", None), "score": ("score", None),
+    },
+}
+SORTS["members"] = {k: v for k, v in SORTS["stocks"].items() if k != "sector"}
+
+
+def first_direction(rows: DataFrame, table: str, key: str) -> str:
+    """The direction of a first click on a column: that of the table, else ``asc`` for text and ``desc`` for numbers."""
+    expression, first = SORTS[table][key]
+    return first or ("asc" if dict(rows.select(F.expr(expression).alias("x")).dtypes)["x"] == "string" else "desc")
+
+
+def sort_table(rows: DataFrame, table: str, key: str, direction: str | None = None) -> DataFrame:
+    """Rows sorted by a column of a table; ties by name.  Text sorts by code point.  An unknown key leaves the rows as they are."""
+    if key not in SORTS[table]:
+        return rows
+    direction = direction or first_direction(rows, table, key)
+    return order_by(rows, F.expr(SORTS[table][key][0]), direction == "desc", ("sector",) if table == "sectors" else ("sym",))
+
+
 def order_by(rows: DataFrame, key: str | Column, descending: bool = False, ties: tuple[str, ...] = ("sym",)) -> DataFrame:
     """Rows sorted by a key, ties by name."""
     key = F.col(key) if isinstance(key, str) else key

@@ -45,8 +45,24 @@ def window_start(bars: DataFrame, sessions: int = 520) -> DataFrame:
 
 
 def last_sessions(bars: DataFrame, sessions: int) -> DataFrame:
-    """Bars of the last ``sessions`` trading days; the start reaches the scan as one small row."""
-    return bars.join(F.broadcast(window_start(bars, sessions)), F.col("date") >= F.col("start")).drop("start")
+    """Bars of the last ``sessions`` trading days."""
+    return since(bars, window_start(bars, sessions))
+
+
+def since(bars: DataFrame, start: DataFrame) -> DataFrame:
+    """Bars from the one date of ``start`` on.
+
+    The date is a scalar subquery, so the filter reaches the scan and, where the bars have a
+    ``year``, prunes its folders.
+    """
+    first = start.scalar()
+    rows = bars.where(F.col("date") >= first)
+    return rows.where(F.col("year") >= F.year(first)) if "year" in bars.columns else rows
+
+
+def latest(rows: DataFrame, date: str = "date") -> DataFrame:
+    """The rows of the last date in the table."""
+    return rows.where(F.col(date) == rows.agg(F.max(date)).scalar())
 
 
 def calendar(dates: DataFrame, start: Column, end: Column) -> DataFrame:

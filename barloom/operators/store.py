@@ -17,12 +17,14 @@ def write_years(bars: DataFrame, root: str, key: str = "symbol", force: bool = T
     """One directory a year, rows by (date, key), zstd; only the years of ``bars`` are replaced.
 
     A year may outgrow one task, so it is cut by range of date and key.  With ``force`` off,
-    years that are already stored stay as they are.
+    years that are already stored stay as they are, but for the last year of ``bars``, which
+    is still growing.
     """
     rows = bars.withColumn("year", F.year("date"))
     if not force:
         try:
             held = bars.sparkSession.read.parquet(root).select("year").distinct()
+            held = held.where(F.col("year") < rows.agg(F.max("year")).scalar())
             rows = rows.join(F.broadcast(held), "year", "left_anti")  # one row a year
         except AnalysisException:
             pass  # nothing is stored yet
@@ -76,21 +78,44 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path, path of the rows that were replaced last)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".old"))
+    return target.getFileSystem(conf), target, old
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put the old rows back where a publication was broken off between its two renames."""
+    files, target, old = _files(spark, path)
+    if files.exists(old):
+        if files.exists(target):
+            files.delete(old, True)
+        else:
+            files.rename(old, target)
+
+
 def publish(rows: DataFrame, path: str) -> None:
-    """Replace a table by rows that may be read from it: written beside it, then swapped in."""
+    """Replace a table by rows that may be read from it: written beside it, then swapped in.
+
+    A publication that was broken off before is made good first, so a table is never lost.
+    """
     spark = rows.sparkSession
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows.write.parquet(aside)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    files = target.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(aside + ".old")
-    had = files.exists(target)
-    if had:
+    recover(spark, path)
+    files, target, old = _files(spark, path)
+    if files.exists(target):
         files.rename(target, old)
-    files.rename(fresh, target)
-    if had:
-        files.delete(old, True)
+    files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), target)
+    files.delete(old, True)
+
+
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The rows of a key."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
 
 
 def with_payload(rows: DataFrame, keys: list[str]) -> DataFrame:

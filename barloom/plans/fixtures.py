@@ -46,12 +46,13 @@ from {{supplier}} cross join (values (0), (1), (2)) t(g)""",
     ),
     "index_bars": (
         ("lineitem", "supplier", "nation", "region"),
-        f"""select coalesce(r_name, 'ALL') as index_name, date, cast(ext as double) / cast(qty as double) as close
+        f"""select index_name, date, close * 0.99e0 as open, close * 1.02e0 as high, close * 0.97e0 as low, close
+from (select coalesce(r_name, 'ALL') as index_name, date, cast(ext as double) / cast(qty as double) as close
 from (select r_name, date, sum(ext) as ext, sum(qty) as qty from (
         select r_name, {_WEEK} as date, cast(l_extendedprice as decimal(18,2)) as ext, cast(l_quantity as decimal(18,2)) as qty
         from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey
         join {{nation}} on s_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey)
-      group by grouping sets ((r_name, date), (date)))""",
+      group by grouping sets ((r_name, date), (date))))""",
     ),
     "flows": (
         ("orders",),
@@ -62,6 +63,23 @@ from (select r_name, date, sum(ext) as ext, sum(qty) as qty from (
        cast(sum(case when o_orderkey % 2 = 0 then cast(o_totalprice as decimal(18,2)) else -cast(o_totalprice as decimal(18,2)) end) as <string>) as net
 from {orders} where o_orderstatus in ('F', 'O') group by 1, 2""",
     ),
+    "trend": (
+        ("lineitem", "supplier"),
+        f"""select symbol, date, close * 0.995e0 as open, close * 1.001e0 as high, close * 0.98e0 as low, close, cast(1000 + n % 7 as bigint) as volume,
+       close * 1000e0 as traded_value, cast(1 as bigint) as trades
+from (select {_SYMBOL.format("s_suppkey")} as symbol, date, n, cast(case s_suppkey % 4 when 0 then 100 + n * 2 when 1 then case when n < 60 then 1500 - n else 100 + n * 3 end
+         when 2 then case when n = 346 then 520 when n > 351 then 480 + (n - 352) * 7 else 480 end else 1000 - n end as double) as close
+      from (select date, cast(row_number() over (order by date) - 1 as int) as n from (select distinct {_WEEK} as date from {{lineitem}})) cross join {{supplier}})""",
+    ),
+    "series": (
+        ("lineitem",),
+        """select concat('L', cast(l_suppkey % 3 as <string>)) as symbol, cast(row_number() over (partition by l_suppkey % 3
+       order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) as bigint) as n, l_extendedprice / l_quantity as close from {lineitem}""",
+    ),
+    "log": (
+        ("events",),
+        """select ts, event_type as job, cast(ts as date) as date, case when value > 50 then 'ok' else 'empty' end as status, cast(event_id as <string>) as detail from {events}""",
+    ),
     "watch": (("supplier",), f"select {_SYMBOL.format('s_suppkey')} as symbol from {{supplier}} where s_suppkey % 7 = 3"),
     "news": (
         ("events",),

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.categories import pad_left
+from barloom.functions.categories import market_open, pad_left
 from barloom.operators import actions as act
-from barloom.operators import adjust, breadth, candles, indicators, metrics, screens, sessions
+from barloom.operators import adjust, audit, breadth, candles, indicators, metrics, screens, sessions
 
-WINDOW, HISTORY = 520, 120
+WINDOW, HISTORY, SERIES = 520, 120, 45
+#: Sessions that index bars are read for.
+INDEX_SESSIONS = 260
 BENCHMARKS = ("ALL",)
 
 
@@ -26,6 +28,7 @@ class Snapshot:
     sectors: DataFrame
     history: DataFrame
     candles: DataFrame
+    indices: DataFrame
 
 
 def corporate_actions(filings: DataFrame, bars: DataFrame, order: tuple[str, ...] = ("source_ex_date", "subject")) -> DataFrame:
@@ -38,20 +41,25 @@ def snapshot(
 ) -> Snapshot:
     """The whole nightly computation; nothing runs until a relation is written or collected."""
     adjusted = adjust.adjusted_bars(sessions.one_bar_a_day(bars), actions)
-    # the window's start is found on the raw dates, before the heavy join
-    recent = adjust.adjusted_bars(sessions.last_sessions(sessions.one_bar_a_day(bars), window), actions)
+    # the start is found on the raw dates; its filter passes the adjustment and reaches the scan
+    recent = sessions.since(adjusted, sessions.window_start(bars.where("close > 0"), window))
     axis = sessions.session_axis(recent)
-    with_all = breadth.with_indicators(sessions.on_axis(recent, axis))
-    # index closes count from 260 sessions before the last, as far as they are needed
-    bench = indicators.benchmark_ratio(index_bars, benchmarks)
+    with_all = breadth.with_indicators(sessions.on_axis(recent, axis), window)
+    indices = sessions.since(index_bars, axis.orderBy(F.desc("sess")).limit(INDEX_SESSIONS).agg(F.min("date").alias("start")))
+    bench = indicators.benchmark_ratio(indices, benchmarks)
     stocks = metrics.stock_metrics(with_all, adjust.all_time_highs(adjusted), metrics.sector_of(constituents), bench, delivery)
-    active = recent.join(stocks.select(F.col("sym").alias("symbol")), "symbol", "left_semi")
+    # symbols of the last session, which need no indicators
+    active = recent.join(sessions.latest(recent).select("symbol").distinct(), "symbol", "left_semi")
     return Snapshot(
         adjusted, axis, with_all, stocks, metrics.sector_scores(stocks), breadth.breadth_history(with_all, axis, history),
-        candles.candle_payload(active),
+        candles.candle_payload(active), candles.index_series(indices),
     )
 
 
+def _tail(values: Column, n: int) -> Column:
+    return F.slice(values, F.greatest(F.lit(1), F.size(values) - n + 1), F.lit(n))
+
+
 def summary(shot: Snapshot, strip: DataFrame, flows: DataFrame) -> DataFrame:
     """One row with the nested payload that the dashboard reads.
 
@@ -71,7 +79,10 @@ def summary(shot: Snapshot, strip: DataFrame, flows: DataFrame) -> DataFrame:
         F.struct(*[gather(f"pct{p}").alias(f"e{p}") for p in (20, 50, 200)]).alias("ema_hist"),
         pad_left(gather("ad").cast("array<double>"), 90).alias("ad_daily"),
         pad_left(gather("nh").cast("array<double>"), 90).alias("nh_daily"),
-        F.struct(*[F.slice(F.reverse(gather(c)), 1, 45).alias(c) for c in series]).alias("series_back"),
+        F.struct(*[_tail(gather(c), SERIES).alias(c) for c in series]).alias("series"),
+        last("vol_up4").alias("vol_up"),
+        last("vol_dn4").alias("vol_dn"),
+        gather("date").cast("array<string>").alias("dates"),
         F.when(total > 0, F.try_divide((last("advances") - last("declines")).cast("double"), total)).otherwise(F.lit(0.0)).alias("avg_bias"),
     )
     served = ("sym", "sector", "price", "chg1d", "chg1w", "dist_ath", "is_ath", "is52", "wk_break", "ath_since")
@@ -85,5 +96,20 @@ def summary(shot: Snapshot, strip: DataFrame, flows: DataFrame) -> DataFrame:
     of = lambda side: F.transform(
         F.sort_array(F.collect_list(F.when(F.col("category") == side, F.struct("date", "net")))), lambda x: x["net"]
     )
-    money = tail.agg(F.struct(pad_left(of("FII"), 20).alias("fii"), pad_left(of("DII"), 20).alias("dii")).alias("flows"))
+    days = F.transform(F.sort_array(F.collect_list(F.when(F.col("category") == "FII", F.col("date")))), lambda x: x.cast("string"))
+    money = tail.agg(F.struct(pad_left(of("FII"), 20).alias("fii"), pad_left(of("DII"), 20).alias("dii")).alias("flows"), _tail(days, 20).alias("flow_dates"))
+    # no published session, no row
+    part = part.where("date is not null")
     return part.crossJoin(stocks).crossJoin(sectors).crossJoin(indices).crossJoin(money)  # one row each
+
+
+def status(stocks: DataFrame, meta: DataFrame, log: DataFrame, now: Column, rows: int = 25) -> DataFrame:
+    """One row: whether the market is open, the stored marks, what is served, and the newest log rows.
+
+    ``meta`` has (key, value), ``log`` (ts, job, date, status, detail).
+    """
+    mark = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    marks = meta.agg(mark("last_ingested_session").alias("last_ingested_session"), mark("last_analytics_date").alias("last_analytics_date"))
+    served = stocks.agg(F.count("*").alias("rows"), F.count_distinct("date").alias("sessions"))
+    newest = audit.recent_log(log, rows).agg(F.reverse(F.sort_array(F.collect_list(F.struct("ts", "job", "date", "status", "detail")))).alias("recent_log"))
+    return marks.crossJoin(served).crossJoin(newest).withColumn("market_open", market_open(now))  # one row each

@@ -172,6 +172,10 @@ class Inputs:
 
     def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        for other in [k for k in _STORED if k[:2] != key[:2]]:
+            gone = _STORED.pop(other)  # of another folder: made again when asked for
+            if other[0] == key[0]:
+                gone.unpersist()
         if key not in _STORED:
             _STORED[key] = make().persist()  # memory and disk; lost parts are made again
         return _STORED[key]
@@ -345,10 +349,11 @@ def sector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "select sector, count(*) filter (chg1d >= 0) as advancing, count(*) filter (chg1d < 0) as declining, "
-    "string_agg(sym, ',' order by sym) as members from flagged group by sector"
+    "string_agg(sym || ':' || cast(cast(floor(chg1d * 100 + 0.5) as bigint) as varchar), ',' order by sym) as members from flagged group by sector"
 )
 def sector_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.sector_members(Inputs(spark, sf_dir).stocks()).withColumn("members", F.array_join("members", ","))
+    named = F.transform("members", lambda x: F.concat_ws(":", x["sym"], F.floor(x["chg1d"] * 100 + 0.5).cast("string")))
+    return metrics.sector_members(Inputs(spark, sf_dir).stocks()).withColumn("members", F.array_join(named, ","))
 
 
 def _screen(mode: str, flag: str) -> None:
@@ -753,8 +758,11 @@ def market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import barloom.more_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: _with(sql) for name, sql in _ORACLES.items()}

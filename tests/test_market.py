@@ -71,7 +71,14 @@ def test_categories(spark):
     assert [one(spark, cat.drawdown_bucket(F.col("x")), x=x) for x in (2.9, 3.0, 19.9, 39.0, 40.0)] == ["high", "dip", "corr", "bear", "deep"]
     assert one(spark, cat.price_text(F.col("x")), x=1234567.891) == "12,34,567.89"
     assert one(spark, cat.price_text(F.col("x")), x=-999.5) == "-999.50"
-    assert one(spark, cat.amount_text(F.col("x")), x=2.5e7) == "2.50 Cr"
+    assert one(spark, cat.amount_text(F.col("x")), x=2.5e7) == "₹2.50 Cr"
+    assert [one(spark, cat.amount_text(F.col("x")), x=x) for x in (3e7, 123456.0, 99999.5, -2e7, 1000.0)] == ["₹3 Cr", "₹1.23 L", "₹99,999.5", "₹-2,00,00,000", "₹1,000"]
+    assert [one(spark, cat.percent_text(F.col("x")), x=x) for x in (1.25, -0.5, 0.0)] in (["+1.3%", "-0.5%", "+0.0%"], ["+1.2%", "-0.5%", "+0.0%"])
+    assert [one(spark, cat.bar_width(F.col("a"), F.col("b")), a=a, b=b) for a, b in ((1, 8), (0, 0), (5, 5))] == [13, 0, 100]
+    assert [one(spark, cat.meter(F.col("x"), F.lit(60.0)), x=x) for x in (30.0, 90.0, -1.0)] == [50.0, 100.0, 0.0]
+    days = F.array(*[F.lit(dt.date(2026, 3, 12) + dt.timedelta(days=7 * i)) for i in range(5)])
+    note = lambda n: one(spark, cat.window_note(days, F.col("n")), n=n)
+    assert note(45) == "45 sessions · ~2 months · 12 Mar → 9 Apr" and note(2) == "2 sessions · ~1 week · 2 Apr → 9 Apr"
     assert one(spark, cat.clean_symbol(F.col("x")), x=" m&m-x ") == "M&M-X"
     assert one(spark, cat.clean_symbol(F.col("x")), x="a b") is None
     assert one(spark, cat.with_suffix(F.col("x")), x="ABC") == "ABC.NS" and one(spark, cat.without_suffix(F.col("x")), x="ABC.NS") == "ABC"
@@ -84,7 +91,7 @@ def test_categories(spark):
         assert one(spark, cat.market_open(F.col("t")), t=at) == next(x for h, m, x in opens if (h, m) == (hour, minute))
     assert one(spark, cat.market_open(F.col("t")), t=dt.datetime(2024, 1, 6, 5, 0)) is False
     assert one(spark, cat.age_label(F.col("a"), F.col("b")), a=dt.datetime(2024, 1, 1), b=dt.datetime(2024, 1, 1, 5, 10)) == "5h ago"
-    assert one(spark, cat.span_label(F.col("n")), n=21) == "a month"
+    assert one(spark, cat.span_label(F.col("n")), n=21) == "~1 month" and one(spark, cat.span_label(F.col("n")), n=300) == "14 months"
 
 
 def test_lags_count_sessions_not_rows(spark):
@@ -168,9 +175,11 @@ def test_yearly_files(spark, tmp_path):
     store.write_years(bars.where("year(date) = 2025").withColumn("close", F.lit(7.0)), f"{tmp_path}/lake")
     found = store.read_years(spark, f"{tmp_path}/lake", "2025-01-01")
     assert {r["close"] for r in found.collect()} == {7.0} and store.read_years(spark, f"{tmp_path}/lake").count() == 8
-    store.write_years(bars, f"{tmp_path}/lake", force=False)
-    assert {r["close"] for r in store.read_years(spark, f"{tmp_path}/lake", "2025-01-01").collect()} == {7.0}
-    assert curated.daily(spark, f"{tmp_path}/lake", "2025-01-01").count() == found.count()
+    # without force only the open year is written again
+    store.write_years(bars.withColumn("close", F.lit(9.0)), f"{tmp_path}/lake", force=False)
+    again = store.read_years(spark, f"{tmp_path}/lake").collect()
+    assert {r["close"] for r in again if r["year"] == 2025} == {9.0} and 9.0 not in {r["close"] for r in again if r["year"] == 2024} and len(again) == 8
+    assert curated.daily(spark, f"{tmp_path}/lake", "2025-01-01").count() == sum(r["year"] == 2025 for r in again)
 
 
 def test_raw_files(spark, tmp_path):
@@ -207,3 +216,48 @@ def test_watchlist_import(spark):
     held = spark.createDataFrame([("HELD",)], "symbol string")
     assert [r["symbol"] for r in screens.import_symbols(asked, held).orderBy("pos").collect()] == ["ABC", "NEW"]
     assert [r["symbol"] for r in screens.import_symbols(asked, held, cap=3).collect()] == ["ABC"]
+
+
+@pytest.mark.parametrize("most", [None, 60])
+def test_averages_of_any_length(spark, monkeypatch, most):
+    monkeypatch.setattr(indicators, "BLOCK", 7 if most is None else 2000)
+    values = [100 + (i * 37 % 23) for i in range(60)]
+    rows = spark.createDataFrame([("A", i, float(x)) for i, x in enumerate(values)] + [("B", 0, 5.0)], "symbol string, sess int, close double")
+    periods = (2, 10) if most is None else (2, 10, 200)  # short blocks carry long averages over hundreds of them
+    found = indicators.with_emas(rows, periods, most_rows=most).where("symbol = 'A'").orderBy("sess").collect()
+    for p in periods:
+        want, e = [], None
+        for x in values:
+            e = x if e is None else e + (x - e) * 2 / (p + 1)
+            want.append(e)
+        assert [r[f"e{p}"] for r in found] == pytest.approx(want, rel=1e-9)
+    assert set(found[0].asDict()) == {"symbol", "sess", "close", *[f"e{p}" for p in periods]}
+
+
+def test_broken_off_publication(spark, tmp_path):
+    old, path = spark.createDataFrame([(1,)], "id long"), f"{tmp_path}/table"
+    store.publish(old, path)
+    (tmp_path / "table").rename(tmp_path / "table.old")  # as after the first of the two renames
+    store.recover(spark, path)
+    assert spark.read.parquet(path).count() == 1
+    (tmp_path / "table").rename(tmp_path / "table.old")
+    store.publish(spark.createDataFrame([(2,), (3,)], "id long"), path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "table.old").exists()
+
+
+def test_window_filter_reaches_the_scan(spark, tmp_path):
+    bars = bars_of(spark, {"A": {d: 1.0 + d for d in range(0, 800, 10)}})
+    store.write_years(bars, f"{tmp_path}/lake")
+    rows = sessions.last_sessions(store.read_years(spark, f"{tmp_path}/lake"), 5)
+    assert rows.count() == 5
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("Scan parquet") if "PartitionFilters" in x]
+    assert "NestedLoop" not in plan and any("year" in x.split("PartitionFilters: [")[1].split("]")[0] and "subquery" in x for x in scans)
+
+
+def test_sorts_and_first_clicks(spark):
+    rows = spark.createDataFrame([("B", "x", 2.0, 3), ("A", "y", 1.0, 1), ("C", "x", 2.0, 2)], "sym string, sector string, price double, tag_rank int")
+    names = lambda df: [r["sym"] for r in df.collect()]
+    assert names(screens.sort_table(rows, "stocks", "sym")) == ["A", "B", "C"] and names(screens.sort_table(rows, "stocks", "price")) == ["B", "C", "A"]
+    assert names(screens.sort_table(rows, "stocks", "price", "asc")) == ["A", "B", "C"] and names(screens.sort_table(rows, "stocks", "tag")) == ["B", "C", "A"]
+    assert screens.first_direction(rows, "members", "sym") == "asc" and names(screens.sort_table(rows, "stocks", "none")) == ["B", "A", "C"]
