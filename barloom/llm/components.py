@@ -1,8 +1,9 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components: unions inside tasks, then alternating large-star and small-star rounds.
 
-Each round is two grouped minima and two joins over the edges, so a component of any size
-is spread over the cluster; the driver only sees two numbers a round, which tell whether
-the edges still change.
+Each task first unites the links that it holds, a bounded number at a time, which leaves
+stars.  Rounds of grouped minima and joins over the edges then bring the stars of different
+tasks together, so a component of any size is spread over the cluster.  Once no more than
+``RUN`` links are left, one task can unite them.  The driver only sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width
+from barloom.llm.common import settle
 
 
 def _apart(least: DataFrame) -> DataFrame:
     """The minima dealt out by another hash, so that Spark shuffles both sides of the join and may split a large star."""
-    return least.repartition(shuffle_width(least.sparkSession), F.xxhash64("u"))
+    return least.repartition(F.xxhash64("u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,30 +44,31 @@ def _forest(batches: Iterator) -> Iterator:
     """Links (u, v) to those of each node of a run of links with the smallest that the run connects it with."""
     import pyarrow as pa
 
-    def united(links: list[tuple[int, int]]):
-        root: dict[int, int] = {}
+    root: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root[up]
-            return x
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
 
-        for a, b in links:
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+    def stars():
         pairs = [(x, find(x)) for x in list(root)]
+        root.clear()
         columns = list(zip(*[p for p in pairs if p[0] != p[1]], strict=True)) or [[], []]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["u", "v"])
 
-    held: list[tuple[int, int]] = []
+    held = 0
     for batch in batches:
-        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        if len(held) >= RUN:
-            yield united(held)
-            held = []
+        if held and held + batch.num_rows > RUN:
+            yield stars()
+            held = 0
+        held += batch.num_rows
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
     if held:
-        yield united(held)
+        yield stars()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -82,10 +84,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = settle(links.mapInArrow(_forest, "u long, v long").distinct())
     mark = None
     for _ in range(rounds):
-        now = settle(_small_star(_large_star(now)))
         # decimal keeps the sum of hashes from overflowing
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(seen) == mark or not seen[0]:
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if seen[0] <= RUN:
+            now = settle(now.repartition(1).mapInArrow(_forest, "u long, v long"))
+        if seen[0] <= RUN or seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(seen)
+        mark = seen
+        now = settle(_small_star(_large_star(now)))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

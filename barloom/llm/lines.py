@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import Sieve, settle, sieve, stored
-from barloom.llm.verify import BINS, grouped, linked, packed
+from barloom.llm.verify import BINS, Hashes, grouped, linked, packed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 23
 #: Lines of a band that are compared in one block.
-BLOCK = 256
-CHUNK = 1 << 17
+BLOCK = 1024
+CHUNK = 1 << 16
 _EMPTY = 0xFFFFFFFF
 
 
@@ -35,6 +35,21 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))))
 
 
+def _runs(codes, k: int):
+    """Hashes of all runs of ``k`` numbers."""
+    import numpy as np
+
+    count = max(0, len(codes) - k + 1)
+    hashed = codes[:count] + np.uint64(1)
+    for i in range(1, k):
+        hashed *= np.uint64(0x9E3779B97F4A7C15)
+        hashed += codes[i : i + count]
+    hashed ^= hashed >> np.uint64(31)
+    hashed *= np.uint64(0xBF58476D1CE4E5B9)
+    hashed ^= hashed >> np.uint64(29)
+    return hashed
+
+
 class Signer:
     """Band hashes and sketches of lines; the same in every process."""
 
@@ -57,33 +72,24 @@ class Signer:
         padded = "".join([x + "\0" * max(1, k - len(x)) for x in lines])
         codes = np.frombuffer(padded.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         sizes = np.array([len(x) + max(1, k - len(x)) for x in lines])
-        count = max(0, len(codes) - k + 1)
-        hashed = np.zeros(count, np.uint64)
-        for i in range(k):
-            hashed *= np.uint64(0x9E3779B97F4A7C15)
-            hashed += codes[i : i + count]
-            hashed += np.uint64(1)
-        # the zero that closes a line belongs to no shingle, nor do runs over the end of a line
-        inside = np.ones(len(codes), bool)
+        hashed = _runs(codes, k)
         last = np.cumsum(sizes)
+        at = np.repeat(np.arange(len(lines)) * self.fine, sizes)[: len(hashed)]
+        at += ((hashed >> np.uint64(32)) * np.uint64(self.fine) >> np.uint64(32)).view(np.int64)
+        # the zero that closes a line belongs to no shingle, nor do runs over the end of a line
         for i in range(1, k + 1):
-            inside[last - np.minimum(i, sizes - 1)] = False
-        inside = inside[:count]
-        owner = np.repeat(np.arange(len(lines)) * self.fine, sizes)[:count][inside]
-        hashed = hashed[inside]
-        hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashed ^= hashed >> np.uint64(29)
-        place = (hashed >> np.uint64(32)) * np.uint64(self.fine) >> np.uint64(32)
-        table = np.full(len(lines) * self.fine, _EMPTY, np.uint64)
-        np.minimum.at(table, owner + place.astype(np.int64), hashed & np.uint64(_EMPTY))
-        return table.reshape(len(lines), self.fine)
+            outside = last - np.minimum(i, sizes - 1)
+            at[outside[outside < len(at)]] = len(lines) * self.fine
+        table = np.full(len(lines) * self.fine + 1, _EMPTY, np.uint64)
+        np.minimum.at(table, at, hashed & np.uint64(_EMPTY))
+        return table[:-1].reshape(len(lines), self.fine)
 
     def signatures(self, lines: list[str]):
         """(bands, sketches) of the lines."""
         import numpy as np
 
         fine = self.minima(lines)
-        table = fine.reshape(len(lines), self.bins, -1).min(2)
+        table = fine.reshape(len(lines), -1, self.bins).min(1)
         own = table.copy()
         row, column = np.nonzero(table == _EMPTY)
         for turn in range(self.bins - 1):
@@ -95,7 +101,7 @@ class Signer:
             row, column = row[still], column[still]
         mixed = (table.reshape(len(lines), BANDS, ROWS) * self.mixers).sum(2) + np.arange(BANDS, dtype=np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        least = fine.reshape(len(lines), BINS, -1).min(2)
+        least = fine.reshape(len(lines), -1, BINS).min(1)
         return (mixed ^ (mixed >> np.uint64(31))).view(np.int64), packed(least, least != _EMPTY)
 
 
@@ -155,8 +161,12 @@ def _picked(batches: Iterator, wanted: Sieve) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), pa.array([lines[i] for i in keep], pa.string())], ["id", "line"])
 
 
-def shingles(line: str, k: int = SHINGLE) -> frozenset[str]:
-    return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
+def shingles(line: str, k: int = SHINGLE) -> Hashes:
+    """The set of ``k``-character runs of a line; a shorter line is one run."""
+    import numpy as np
+
+    codes = np.frombuffer((line + "\0" * (k - len(line))).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    return Hashes.of(_runs(codes, k))
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -32,9 +32,30 @@ RUN, PART = 1 << 19, 1 << 20
 BINS = 128
 
 
-def jaccard(a, b) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+class Hashes:
+    """A set of 64-bit hashes as a sorted array."""
+
+    def __init__(self, values) -> None:
+        self.values = values
+
+    @classmethod
+    def of(cls, values) -> Hashes:
+        import numpy as np
+
+        values = np.sort(values)
+        return cls(values[np.append(True, values[1:] != values[:-1])[: len(values)]])
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+
+def jaccard(a: Hashes, b: Hashes) -> float:
+    import numpy as np
+
+    every = np.concatenate((a.values, b.values))
+    every.sort()
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
+    return both / max(1, len(every) - both)
 
 
 # --- sketches -----------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, components, decontaminate, embeddings, langid, licenses, lines, mixing, secret_scan, sharding, simhash, verify
+from barloom.llm import chat, components, decontaminate, embeddings, langid, licenses, lines, mixing, secret_scan, sharding, simhash
 from barloom.llm.common import word_count
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -47,7 +47,9 @@ def components_of(nodes, links):
     return {x: find(x) for x in nodes}
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("run", [1 << 18, 40])
+def test_components_match_union_find(spark, monkeypatch, run):
+    monkeypatch.setattr(components, "RUN", run)  # one task, and rounds over the cluster
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
     got = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -128,8 +130,8 @@ def brute_lines(rows, similarity=0.8):
             line = line.replace("\t", " ").replace("\r", " ").strip(" ").lower()
             if line:
                 places.setdefault(line, (doc, n, pos))
-    sets = {x: lines.shingles(x) for x in places}
-    links = [(a, b) for a, b in itertools.combinations(places, 2) if verify.jaccard(sets[a], sets[b]) >= similarity]
+    sets = {x: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in places}
+    links = [(a, b) for a, b in itertools.combinations(places, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
     root = components_of(places, links)
     first = {}
     for x, r in root.items():
