@@ -129,20 +129,28 @@ def _mapped(mapping: Mapping, schema: T.StructType) -> Column | None:
     return F.array_compact(F.array(*turns))
 
 
+def _free(records: DataFrame, name: str) -> str:
+    """A column name that the records do not have."""
+    while name in records.columns:
+        name += "_"
+    return name
+
+
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Add ``layout`` (the mapping's name) and ``turns`` to records of any known layouts.
+    """Add ``layout`` (the mapping's name) and ``turns`` to records of any known layouts; columns of these names are replaced.
 
     Paths that no mapping knows are ignored.  A record whose paths fit no mapping gets a
     null layout and no turns.  Null texts are empty.
     """
-    held = records.withColumn("_fp", fingerprint(records, mappings))
+    fp, made = _free(records, "fp"), _free(records, "made")
+    held = records.withColumn(fp, fingerprint(records, mappings))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for mapping in mappings:
         if (mapped := _mapped(mapping, records.schema)) is not None:
-            mine = F.col("_fp").isin(mapping.fingerprints())
+            mine = F.col(fp).isin(mapping.fingerprints())
             layout, turns = F.when(mine, F.lit(mapping.name)).otherwise(layout), F.when(mine, mapped).otherwise(turns)
-    named = held.withColumns({"layout": layout, "_turns": F.coalesce(turns, F.array().cast(TURNS))})
-    return named.drop("_fp", "turns").withColumnRenamed("_turns", "turns")
+    named = held.withColumns({"layout": layout, made: F.coalesce(turns, F.array().cast(TURNS))})
+    return named.drop(fp, "turns").withColumnRenamed(made, "turns")
 
 
 def rows_to_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -171,7 +179,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(records: DataFrame) -> DataFrame:
-    """Add ``formatted`` and ``loss_spans`` to records with ``turns``.
+    """Add ``formatted`` and ``loss_spans`` to records with ``turns``; columns of these names are replaced.
 
     A turn is ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed.
     ``loss_spans`` are (start, length) in characters of the assistant texts, escapes
@@ -187,16 +195,17 @@ def format_turns(records: DataFrame) -> DataFrame:
             (turn["role"] == "assistant").alias("loss"),
         )
 
-    cut = records.withColumn("_pieces", F.transform("turns", piece))
+    pieces = _free(records, "pieces")
+    cut = records.withColumn(pieces, F.transform("turns", piece))
     tail = len(CLOSE) + 1
     size = lambda x: (x["head"] + x["body"] + tail).cast("long")
-    before = lambda i: F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + size(x))
+    before = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + size(x))
     spans = F.transform(
-        "_pieces", lambda x, i: F.when(x["loss"], F.struct((before(i) + x["head"]).alias("start"), x["body"].cast("long").alias("length")))
+        pieces, lambda x, i: F.when(x["loss"], F.struct((before(i) + x["head"]).alias("start"), x["body"].cast("long").alias("length")))
     )
     return cut.withColumns(
-        {"formatted": F.array_join(F.transform("_pieces", lambda x: x["whole"]), ""), "loss_spans": F.array_compact(spans)}
-    ).drop("_pieces")
+        {"formatted": F.array_join(F.transform(pieces, lambda x: x["whole"]), ""), "loss_spans": F.array_compact(spans)}
+    ).drop(pieces)
 
 
 def read_back(formatted: Column) -> Column:

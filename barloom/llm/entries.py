@@ -12,6 +12,7 @@ from barloom.llm.common import read
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
@@ -21,6 +22,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the lines of every document that fuzzy deduplication keeps."""
     found = lines.kept_lines(read(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
@@ -31,6 +33,7 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, fitted on those that are not held out."""
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     found = langid.identify(docs, train=~held, held=held)
@@ -38,6 +41,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
     found = embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
     return found.select(
         F.col("id").alias("vec_id"),
@@ -48,10 +52,12 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license texts and notices that documents hold."""
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
     marks = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -77,6 +83,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     found = mixing.mix(read(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
@@ -84,6 +91,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets that documents hold, without their values."""
     found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"), secret_scan.example_findings(spark))
     # the values themselves stay out of the report
     return found.select(
@@ -92,6 +100,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
     found = sharding.shard(read(spark, sf_dir, "documents"), shards=40)
     return found.select(
         F.col("id").alias("doc_id"),
@@ -105,6 +114,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
     found = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
 

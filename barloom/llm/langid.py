@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 DIM = 1024
 SEED = 7
-#: Rows that the prototypes are fitted on, at most about; all rows are classified.  There are
-#: never more prototypes than that, so their table is bounded too.
+#: Different texts that the prototypes are fitted on, at most about; all rows are classified.
 MAX_TRAIN = 20_000
+#: Languages at most, so that the table of prototypes, which every task gets, stays below 16 MB.
+MAX_LANGUAGES = 4_000
 CHUNK = 1 << 19
 UNKNOWN = "und"
 #: Letters below this code point keep it as their number; those above share the slots behind it.
@@ -166,14 +167,17 @@ def prototypes(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return sums.groupBy("lang").applyInPandas(bundle, "lang string, vector array<double>")
 
 
-def _classified(texts: list[str | None], names: list[str], matrix, dim: int) -> tuple[list[str | None], object]:
-    """The best language and its cosine for each text; none where there is nothing to compare."""
+def _classified(texts: list[str | None], names: list[str], matrix, dim: int) -> tuple[list[str | None], object, object]:
+    """The best language, its cosine, and whether there are letters, for each text; none where there is nothing to compare."""
     import numpy as np
 
     encoder = _encoder(dim)
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    best, score, letters = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
     for rows, text, code, count in encoder.chunks(texts):
-        if not len(code) or not len(names):
+        if not len(code):
+            continue
+        letters[np.array(rows)[np.unique(text)]] = True
+        if not len(names):
             continue
         seen, column = np.unique(code, return_inverse=True)
         vectors = np.zeros((len(rows), dim), np.float32)
@@ -190,22 +194,30 @@ def _classified(texts: list[str | None], names: list[str], matrix, dim: int) ->
         rows = np.array(rows)[some]
         best[rows] = cosine[some].argmax(1)
         score[rows] = cosine[some].max(1)
-    return [names[i] if i >= 0 else None for i in best.tolist()], np.clip(score, 0, 1)
+    return [names[i] if i >= 0 else None for i in best.tolist()], np.clip(score, 0, 1), letters
 
 
 def language(
     docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, max_train: int = MAX_TRAIN
 ) -> Column:
-    """A column (lang, score) for the texts of ``docs``, from prototypes fitted on its ``train`` rows."""
+    """A column (lang, score, letters) for the texts of ``docs``, from prototypes fitted on its ``train`` rows.
+
+    Where the different texts of those rows are more than about ``max_train``, the prototypes
+    are fitted on the ones with the smallest hashes; copies count once.
+    """
     import numpy as np
     import pandas as pd
 
     fit = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    part = max_train / max(1, fit.count())
+    fit = fit.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    fit = fit.withColumn("hash", F.xxhash64("text"))
+    part = max_train / max(1, fit.agg(F.approx_count_distinct("hash")).first()[0])
     if part < 1:
-        spread = F.pmod(F.xxhash64(F.substring(F.col(text_col).cast("string"), 1, 1000), F.octet_length(F.col(text_col).cast("string"))), F.lit(1 << 20))
-        fit = fit.where(spread < int(part * (1 << 20)))
-    table = prototypes(fit, text_col, lang_col, dim).orderBy("lang").collect()  # one row a language
+        fit = fit.where(F.pmod("hash", F.lit(1 << 20)) < int(part * (1 << 20)))
+    fit = fit.groupBy("hash", "lang").agg(F.first("text").alias("text"))
+    table = prototypes(fit, dim=dim).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()  # one row a language
+    if len(table) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     matrix = np.array([x["vector"] for x in table]).reshape(len(table), dim)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     names = [x["lang"] for x in table]
@@ -213,10 +225,10 @@ def language(
 
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            lang, score = _classified(texts.tolist(), names, shared.value, dim)
-            yield pd.DataFrame({"lang": [x or UNKNOWN for x in lang], "score": score})
+            lang, score, letters = _classified(texts.tolist(), names, shared.value, dim)
+            yield pd.DataFrame({"lang": [x or UNKNOWN for x in lang], "score": score, "letters": letters})
 
-    return F.pandas_udf(classify, "lang string, score double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string"))
+    return F.pandas_udf(classify, "lang string, score double, letters boolean", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string"))
 
 
 def identify(
@@ -232,8 +244,8 @@ def identify(
     """Rows (id, held, lang_pred, score): a language for every row of ``docs``.
 
     The prototypes are fitted on rows where ``train`` holds and text and language are not
-    null; where there are more than about ``max_train`` of them, on those with the smallest
-    hashes of the text.  Whole texts are classified.  ``score`` is the cosine with the best
+    null; where their different texts are more than about ``max_train``, on those with the
+    smallest hashes of the text.  Whole texts are classified.  ``score`` is the cosine with the best
     prototype, at least 0; ties go to the language that sorts first.  Null texts, texts
     without a letter, and all texts if nothing can be trained on, get ``und`` and 0.
     Repeated rows and null ids come back as given; ``held`` is passed on.

@@ -93,7 +93,7 @@ def _root(rows: list[dict]) -> Iterator[dict]:
         p, size, rest = row["p"], row["size"], rows[i + 1 :]
         fits = [min((1 - x["p"]) * x["size"] / p, x["p"] * x["size"] / (1 - p)) / size if EDGE < p < 1 - EDGE else 0.0 for x in rest]
         part = 1 / max(1.0, sum(fits))
-        up = _uniform(row["id"], size, p) < p if rest else p > 0.5
+        up = _uniform(row["id"], row["order"], size, p) < p
         for x, fit in zip(rest, fits, strict=True):
             moved = (p - up) * size * fit * part
             x["p"] = min(1.0, max(0.0, x["p"] + moved / x["size"]))
@@ -158,6 +158,8 @@ def mix(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
+        # rows of one id are told apart by their texts, and null ids spread over the blocks
+        F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).alias("order"),
         *([keep.alias("kept")] if keep is not None else []),
     )
     sized = settle(sized)
@@ -171,7 +173,6 @@ def mix(
         {
             "open": (F.col("size") > 0) & (F.col("p") > 1e-9),
             "grade": F.floor(F.log2(F.col("size") + 1) * 2).cast("int"),
-            "order": F.xxhash64("id"),
         }
     )
     # blocks of similar sizes; their number follows the exact count, so no block is large
