@@ -16,10 +16,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Sieve, settle, sieve, stored
+from barloom.llm.common import Sieve, settle, sieve, sieved, stored
 from barloom.llm.verify import BINS, Hashes, grouped, linked, packed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -30,11 +30,6 @@ CHUNK = 1 << 16
 _EMPTY = 0xFFFFFFFF
 
 
-def normal(line: Column) -> Column:
-    """The form in which lines are compared."""
-    return F.lower(F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))))
-
-
 def _runs(codes, k: int):
     """Hashes of all runs of ``k`` numbers."""
     import numpy as np
@@ -113,40 +108,56 @@ def _cut(text: str) -> list[str]:
 def _hash(line: str) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"))
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - 2**63
 
 
 def _signed(batches: Iterator, shingle: int) -> Iterator:
-    """(doc, hash of the text, text) to (id, doc, hash, pos, bands, sketch), each line once a batch, where it comes first."""
+    """(doc, hash of the text, text) to (doc, hash, id, pos, bands, sketch, n_lines, blank).
+
+    Each line comes once a batch, where it comes first; a row without ``id`` tells of each
+    text how many lines it has and which are blank.
+    """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     signer = Signer(shingle)
+    names = ["doc", "thash", "id", "pos", "bands", "sketch", "n_lines", "blank"]
+
+    def lines_out(batch, lines: list[str], places: list[tuple[int, int, int]]):
+        bands, sketches = signer.signatures(lines)
+        rows, ids, pos = zip(*places, strict=True)
+        n, rows = len(lines), pa.array(rows)
+        lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
+        columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(ids), pa.array(pos, pa.int32()), lists, pa.array([x.tobytes() for x in sketches], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
+
     for batch in batches:
         order = pc.sort_indices(batch, [("doc", "ascending"), ("thash", "ascending")], null_placement="at_start")
         batch = batch.take(order)
-        first: dict[str, tuple[int, int]] = {}
-        for row, text in enumerate(batch.column(2).to_pylist()):
-            for pos, line in enumerate(_cut(text) if text else ()):
-                if line and line not in first:
-                    first[line] = (row, pos)
-        lines, at = list(first), 0
-        while at < len(lines):
-            end, size = at, 0
-            while end < len(lines) and (end == at or size + len(lines[end]) < CHUNK):
-                size += len(lines[end]) + shingle
-                end += 1
-            part = lines[at:end]
-            bands, sketches = signer.signatures(part)
-            rows, places = zip(*(first[x] for x in part), strict=True)
-            rows = pa.array(rows)
-            ids = np.fromiter((_hash(x) for x in part), np.uint64, len(part)).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
-            blobs = pa.array([x.tobytes() for x in sketches], pa.binary())
-            columns = [pa.array(ids), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()), lists, blobs]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "thash", "pos", "bands", "sketch"])
-            at = end
+        seen: set[int] = set()
+        counts, blanks = [], []
+        lines, places, size = [], [], 0
+        for at in range(0, batch.num_rows, 512):
+            for row, text in enumerate(batch.column(2).slice(at, 512).to_pylist(), at):
+                cut = _cut(text) if text is not None else []
+                counts.append(len(cut))
+                blanks.append([pos for pos, line in enumerate(cut) if not line])
+                for pos, line in enumerate(cut):
+                    if not line or (name := _hash(line)) in seen:
+                        continue
+                    seen.add(name)
+                    lines.append(line)
+                    places.append((row, name, pos))
+                    size += len(line) + shingle
+                    if size >= CHUNK:
+                        yield lines_out(batch, lines, places)
+                        lines, places, size = [], [], 0
+        if lines:
+            yield lines_out(batch, lines, places)
+        n = batch.num_rows
+        nothing = [pa.nulls(n, x) for x in (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *nothing, pa.array(counts, pa.int64()), pa.array(blanks, pa.list_(pa.int32()))], names)
 
 
 def _picked(batches: Iterator, wanted: Sieve) -> Iterator:
@@ -155,10 +166,12 @@ def _picked(batches: Iterator, wanted: Sieve) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        lines = list({line for text in batch.column(0).to_pylist() if text for line in _cut(text) if line})
-        ids = np.fromiter((_hash(x) for x in lines), np.uint64, len(lines))
-        keep = np.nonzero(wanted(ids))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), pa.array([lines[i] for i in keep], pa.string())], ["id", "line"])
+        seen: set[int] = set()
+        for at in range(0, batch.num_rows, 512):
+            lines = [line for text in batch.column(0).slice(at, 512).to_pylist() if text for line in _cut(text) if line]
+            ids = np.fromiter(map(_hash, lines), np.int64, len(lines))
+            keep = [i for i in np.nonzero(wanted(ids.view(np.uint64)))[0].tolist() if ids[i] not in seen and not seen.add(ids[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([lines[i] for i in keep], pa.string())], ["id", "line"])
 
 
 def shingles(line: str, k: int = SHINGLE) -> Hashes:
@@ -174,26 +187,33 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("thash"), text.alias("text"))
 
 
-def components(slim: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(id, first) of every different line of (doc, thash, text), and (node, root) of the lines with near-copies."""
+def _signatures(slim: DataFrame, shingle: int) -> DataFrame:
     kind = slim.schema["doc"].dataType.simpleString()
-    signed = stored(slim.mapInArrow(lambda it: _signed(it, shingle), f"id long, doc {kind}, thash long, pos int, bands array<long>, sketch binary"))
-    # a line that comes in several batches is there as often, which only the first two tables have to mind
-    firsts = stored(signed.groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first")))
-    sketches = signed.select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch"))
+    schema = f"doc {kind}, thash long, id long, pos int, bands array<long>, sketch binary, n_lines long, blank array<int>"
+    return stored(slim.mapInArrow(lambda it: _signed(it, shingle), schema))
+
+
+def components(slim: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, first) of every different line of (doc, thash, text), and (node, root) of the lines with near-copies."""
+    lines = signed.where("id is not null")
+    # a line that comes in several batches is there as often, which only these two tables have to mind
+    firsts = stored(lines.groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first")))
+
+    def sketches(ids: DataFrame) -> DataFrame:
+        return sieved(lines.select("id", "sketch"), "id", ids).groupBy("id").agg(F.first("sketch").alias("sketch"))
 
     def texts(ids: DataFrame) -> DataFrame:
         shared = slim.sparkSession.sparkContext.broadcast(sieve(ids))
-        lines = slim.select("text").mapInArrow(lambda it: _picked(it, shared.value), "id long, line string")
-        return lines.groupBy("id").agg(F.first("line").alias("line"))
+        rows = slim.select("text").mapInArrow(lambda it: _picked(it, shared.value), "id long, line string")
+        return rows.groupBy("id").agg(F.first("line").alias("line"))
 
-    members = grouped(signed.select("id", "bands"), BANDS)
+    members = grouped(lines.select("id", "bands"), BANDS)
     return firsts, linked(members, sketches, texts, lambda x: shingles(x, shingle), similarity, BLOCK)
 
 
-def _kept(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _kept(slim: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Rows (doc, thash, places): where the lines that stay come first."""
-    firsts, roots = components(slim, shingle, similarity)
+    firsts, roots = components(slim, signed, shingle, similarity)
     everyone = roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))
     best = everyone.join(firsts, F.col("node") == F.col("id")).groupBy("root").agg(F.min_by("node", "first").alias("winner"))
     gone = settle(everyone.join(best, "root").where("node != winner").select(F.col("node").alias("id")))
@@ -212,11 +232,6 @@ def _with_places(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.withColumn("places", F.coalesce(places, F.array().cast("array<int>")))
 
 
-def _blank(text: Column) -> Column:
-    blank = F.array_compact(F.transform(F.split(text, "\n"), lambda x, i: F.when(normal(x) == "", i)))
-    return F.coalesce(blank, F.array().cast("array<int>"))
-
-
 def kept_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -232,9 +247,9 @@ def kept_lines(
     ignored.  An empty table gives an empty result.
     """
     slim = _slim(docs, id_col, text_col)
-    size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    rows = slim.select("doc", "thash", F.greatest(size, F.lit(0)).cast("long").alias("n_lines"), _blank(F.col("text")).alias("blank"))
-    placed = _with_places(rows, _kept(slim, shingle, similarity))
+    signed = _signatures(slim, shingle)
+    rows = signed.where("id is null").select("doc", "thash", "n_lines", "blank")
+    placed = _with_places(rows, _kept(slim, signed, shingle, similarity))
     return placed.select(F.col("doc").alias("id"), "n_lines", F.array_sort(F.concat("blank", "places")).alias("kept"))
 
 
@@ -242,11 +257,13 @@ def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
     """``docs`` with repeated lines removed from the text; other columns, of any names, are passed on."""
-    kept = _kept(_slim(docs, id_col, text_col), shingle, similarity)
+    slim = _slim(docs, id_col, text_col)
+    kept = _kept(slim, _signatures(slim, shingle), shingle, similarity)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("thash"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
     cut = F.split("text", "\n")
-    stay = F.array_sort(F.concat(_blank(F.col("text")), "places"))
+    blank = F.array_compact(F.transform(cut, lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) == "", i)))
+    stay = F.array_sort(F.concat(F.coalesce(blank, F.array().cast("array<int>")), "places"))
     clean = _with_places(rows, kept).withColumn("clean", F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
     out = [F.when(F.col("text").isNotNull(), F.col("clean")).alias(c) if c == text_col else F.col("given")[c].alias(c) for c in docs.columns]
     return clean.select(*out)

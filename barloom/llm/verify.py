@@ -1,8 +1,8 @@
 """Verification of candidates that share a band, and their links.
 
 (id, band) pairs are packed into blocks of bytes, one a target part, so the shuffle moves 16
-bytes a pair.  Bands that many texts of a run share get a centre in that run, and only the centre
-goes on to the shuffle, so a band of any size is spread over the tasks.  All others of a band
+bytes a pair.  Bands that many texts of a run share get a centre in that run, and only two of them
+go on to the shuffle, so a band of any size is spread over the tasks.  All others of a band
 meet in its part, and the first in a hashed order is their centre.
 
 Each text is compared with its centres.  Sketches of the shingle sets sort out most pairs
@@ -126,9 +126,9 @@ def _packed_pairs(batches: Iterator, parts: int) -> Iterator:
         bands, ids, start, size = _sorted_pairs(np.concatenate(bands), np.concatenate(ids))
         crowded = np.repeat(size >= CROWD, size)
         centre = np.repeat(ids[start], size)
-        first = np.zeros(len(ids), bool)
-        first[start] = True
-        stay = ~crowded | first
+        # two of a crowd go on, so that their band counts as open wherever a third text meets them
+        stay = ~crowded
+        stay[start] = stay[start[size > 1] + 1] = True
         out = rows((bands[stay].view(np.uint64) % np.uint64(parts)).astype(np.int64), [bands[stay], ids[stay]], False)
         spread = (ids[crowded].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(parts)
         return out + rows(spread.astype(np.int64), [bands[crowded], ids[crowded], centre[crowded]], True)
@@ -148,18 +148,20 @@ def _packed_pairs(batches: Iterator, parts: int) -> Iterator:
 
 
 def _met(batches: Iterator) -> Iterator:
-    """Rows of ``_packed_pairs`` by part to the (band, id, centre) of bands with several ids."""
+    """Rows of ``_packed_pairs`` by part to the (band, id, centre, open) of bands with several ids."""
     import numpy as np
     import pyarrow as pa
 
-    def out(bands, ids, centre):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (bands, ids, centre)], ["band", "id", "centre"])
+    def out(bands, ids, centre, size=None):
+        several = pa.array([True] * len(ids) if size is None else size > 2, pa.bool_())
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in (bands, ids, centre)], several], ["band", "id", "centre", "open"])
 
     def of_part(blobs: list[bytes]):
         table = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
         bands, ids, start, size = _sorted_pairs(table[:, 0], table[:, 1])
         several = np.repeat(size > 1, size)
-        return out(bands[several], ids[several], np.repeat(ids[start], size)[several])
+        centre = np.repeat(ids[start], size)
+        return out(bands[several], ids[several], centre[several], np.repeat(size, size)[several])
 
     part, blobs = None, []
     for batch in batches:
@@ -177,12 +179,15 @@ def _met(batches: Iterator) -> Iterator:
 
 
 def grouped(signed: DataFrame, per_id: int) -> DataFrame:
-    """Rows (band, id, centre) of the (id, bands) that share a band with other ids; repeated rows are harmless."""
+    """Rows (band, id, centre, open) of the (id, bands) that share a band with other ids; repeated rows are harmless.
+
+    Only a band that is ``open`` may have pairs without its centre.
+    """
     width = shuffle_width(signed.sparkSession)
     parts = max(width, math.ceil(signed.count() * per_id / PART))
     dealt = signed.mapInArrow(lambda it: _packed_pairs(it, parts), "part int, crowd boolean, pairs binary")
     laid = dealt.repartition(width, "part").sortWithinPartitions("part")
-    return stored(laid.mapInArrow(_met, "band long, id long, centre long"))
+    return stored(laid.mapInArrow(_met, "band long, id long, centre long, open boolean"))
 
 
 # --- pairs --------------------------------------------------------------------------------
@@ -292,7 +297,7 @@ def _joined(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
 
 def _dealt(members: DataFrame, roots: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
     """The rows of ``_BLOCK`` of bands of three texts or more that still hold several components."""
-    labelled = members.select("band", "id").distinct().join(roots, F.col("id") == F.col("node"), "left")
+    labelled = members.where("open").select("band", "id").distinct().join(roots, F.col("id") == F.col("node"), "left")
     labelled = stored(labelled.select("band", "id", F.coalesce("root", "id").alias("root")))
     by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"))
     bands = by_root.groupBy("band").agg(
@@ -314,11 +319,13 @@ def _dealt(members: DataFrame, roots: DataFrame, sketches: DataFrame, block: int
     return dealt.join(sketches, "id").select(*[x.split()[0] for x in _BLOCK.split(", ")])
 
 
-def linked(members: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, block: int) -> DataFrame:
-    """(node, root) of the candidates (band, id, centre) that are near copies.
+def linked(
+    members: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, block: int
+) -> DataFrame:
+    """(node, root) of the candidates (band, id, centre, open) that are near copies.
 
-    ``sketches`` has (id, sketch), each id once.  ``texts`` gives (id, line) for a table of
-    ids, and may give more; ``cut`` the set of shingles of a text.
+    ``sketches_of`` and ``texts`` give (id, sketch) and (id, line) for a table of ids, each id
+    once, and may give more; ``cut`` the set of shingles of a text.
     """
     width = shuffle_width(members.sparkSession)
 
@@ -327,6 +334,7 @@ def linked(members: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame],
         right = table.select(F.col("id").alias("b"), F.col(value).alias("right"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
+    sketches = stored(sketches_of(members.select("id").distinct()))
     stars = members.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     likely = stored(both(stars, sketches, "sketch").mapInArrow(lambda it: _sorted_out(it, similarity), "a long, b long"))
     lines = stored(texts(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
