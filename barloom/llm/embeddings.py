@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import settle, shuffle_width, stored
 from barloom.llm.components import connected_components
+from barloom.llm.verify import pairs_within, whole_blocks
 
 WIDTH, RECALL, FAR, SEED = 2.5, 0.995, 20, 11
 LEAST_PROJECTIONS = 14
 #: Vectors of a cell that are compared in one block; larger cells become pairs of blocks.
 BLOCK = 2048
-STRIP = 512
+#: Rows of such a product at once, and vectors of a block from which on it is one.
+STRIP, MATRIX = 512, 128
 
 
 def agreement(cosine: float, width: float = WIDTH) -> float:
@@ -157,31 +159,41 @@ def _near(unit, side, threshold: float):
     return i, j
 
 
-def _within(rows: list[dict], threshold: float, of: Plan, kind: str) -> Iterator[tuple[int, int, int]]:
-    """(class, root, links) of one block of a cell; a pair counts in the first table where it meets."""
+def _links(rows, starts, threshold: float, of: Plan, kind: str):
+    """(a, b, links) of whole blocks of cells; a pair counts in the first table where it meets."""
     import numpy as np
+    import pyarrow as pa
 
-    if len(rows) < 2:
-        return
-    pools = {x["pool"] for x in rows}
-    if len(pools) > 1:  # cell numbers that happen to be equal
-        for pool in sorted(pools):
-            yield from _within([x for x in rows if x["pool"] == pool], threshold, of, kind)
-        return
-    unit = _units([x["raw"] for x in rows], kind)
-    i, j = _near(unit, np.array([x["side"] for x in rows]), threshold)
-    table = rows[0]["table"]
-    if len(i) and table:
+    raws = rows.column("raw").to_pylist()
+    ids, pool, side, low, high, table, weight = (rows.column(x).to_numpy() for x in ("id", "pool", "side", "low", "high", "table", "n"))
+    unit, size = _units(raws, kind), np.diff(np.append(starts, len(ids)))
+    left, right = [], []
+    for start, n in zip(starts[size > MATRIX].tolist(), size[size > MATRIX].tolist(), strict=True):
+        i, j = _near(unit[start : start + n], side[start : start + n], threshold)
+        left.append(i + start)
+        right.append(j + start)
+    # small blocks are compared together, pair by pair
+    small = np.repeat(size <= MATRIX, size)
+    where = np.nonzero(small)[0]
+    for i, j in pairs_within(np.concatenate([[0], np.cumsum(size[size <= MATRIX])[:-1]]) if len(where) else np.zeros(0, np.int64), len(where)):
+        i, j = where[i], where[j]
+        # cell numbers may happen to be equal; pairs inside one of two blocks are dealt with elsewhere
+        near = (pool[i] == pool[j]) & ((low[i] == high[i]) | (side[i] != side[j]))
+        i, j = i[near], j[near]
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+        left.append(i[near])
+        right.append(j[near])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    i, j = i[pool[i] == pool[j]], j[pool[i] == pool[j]]
+    if len(i) and table[i].max():
         used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        cells, a, b = _tables(unit.shape[1], of).cells(unit[used], table), place[: len(i)], place[len(i) :]
-        for earlier in range(table):  # pairs that met before go; few tables leave few of them
-            new = cells[a, earlier] != cells[b, earlier]
+        last = int(table[i].max())
+        cells, a, b = _tables(unit.shape[1], of).cells(unit[used], last), place[: len(i)], place[len(i) :]
+        for earlier in range(last):  # pairs that met before go; few tables leave few of them
+            new = (earlier >= table[i]) | (cells[a, earlier] != cells[b, earlier])
             i, j, a, b = i[new], j[new], a[new], b[new]
-    if not len(i):
-        return
-    weight = np.array([x["n"] for x in rows])
-    links = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
-    root = np.arange(len(rows))
+    links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+    root = np.arange(len(ids))
     while True:  # smallest row number that a row is linked with, through any number of links
         least = root.copy()
         np.minimum.at(least, i, root[j])
@@ -190,30 +202,24 @@ def _within(rows: list[dict], threshold: float, of: Plan, kind: str) -> Iterator
         if (least == root).all():
             break
         root = least
-    for x in np.nonzero(links)[0]:
-        yield rows[x]["id"], rows[root[x]]["id"], int(links[x])
+    some = np.nonzero(links)[0]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], ids[root[some]], links[some].astype(np.int64))], ["a", "b", "links"])
 
 
 def _compared(batches: Iterator, threshold: float, of: Plan, kind: str) -> Iterator:
     """Rows that come sorted by cell and block, whole in a partition, to (a, b, links)."""
+    import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-    held: list[dict] = []
-    for batch in batches:
-        out: list[tuple] = []
-        key = list(zip(*(batch.column(k).to_pylist() for k in ("cell", "low", "high")), strict=True))
-        starts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
-        for a, b in zip(starts, starts[1:], strict=False):
-            part = batch.slice(a, b - a).to_pylist()
-            if held and key[a] == (held[0]["cell"], held[0]["low"], held[0]["high"]):
-                held += part
-                continue
-            out += _within(held, threshold, of, kind)
-            held = part
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
-    rest = [dict(zip(schema.names, x, strict=True)) for x in _within(held, threshold, of, kind)]
-    yield pa.RecordBatch.from_pylist(rest, schema=schema)
+    keys = ("cell", "low", "high")
+    for rows, starts in whole_blocks(batches, keys):
+        size = np.array([len(x) for x in rows.column("raw").to_pylist()])
+        for length in sorted(set(size.tolist())):  # one, but for cell numbers that happen to be equal
+            part = rows if (size == length).all() else rows.filter(pa.array(size == length))
+            if part is not rows:
+                key = [part.column(x).to_numpy() for x in keys]
+                starts = np.nonzero(np.append(True, np.any([x[1:] != x[:-1] for x in key], 0)))[0]
+            yield _links(part, starts, threshold, of, kind)
 
 
 def near_duplicates(

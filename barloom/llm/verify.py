@@ -213,8 +213,8 @@ def _verified(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _whole_blocks(batches: Iterator) -> Iterator:
-    """(rows, starts): rows that come sorted by (band, low, high), cut so that every block is whole."""
+def whole_blocks(batches: Iterator, keys: tuple[str, ...] = ("band", "low", "high")) -> Iterator:
+    """(rows, starts): rows that come sorted by the keys, cut so that every block is whole."""
     import numpy as np
     import pyarrow as pa
 
@@ -224,7 +224,7 @@ def _whole_blocks(batches: Iterator) -> Iterator:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
-        key = [batch.column(x).to_numpy() for x in ("band", "low", "high")]
+        key = [batch.column(x).to_numpy() for x in keys]
         start = np.nonzero(np.append(True, np.any([x[1:] != x[:-1] for x in key], 0)))[0]
         held = batch.slice(int(start[-1]))
         if len(start) > 1:
@@ -233,26 +233,31 @@ def _whole_blocks(batches: Iterator) -> Iterator:
         yield held, np.zeros(1, np.int64)
 
 
-def _near(rows, starts, similarity: float) -> Iterator:
-    """Pairs of rows of one block that may be linked: other components, alike sketches, not dealt with in another block."""
+def pairs_within(starts, rows: int, most: int = 1 << 18) -> Iterator:
+    """All pairs (left, right) of rows of one block, about ``most`` at once."""
     import numpy as np
 
-    size = np.diff(np.append(starts, rows.num_rows))
-    count = np.repeat(starts + size, size) - np.arange(rows.num_rows) - 1
+    size = np.diff(np.append(starts, rows))
+    count = np.repeat(starts + size, size) - np.arange(rows) - 1
     sums = np.cumsum(count)
-    root, side, low, high = (rows.column(x).to_numpy() for x in ("root", "side", "low", "high"))
-    sketch = _sketches(rows.column("sketch"))
     at = 0
-    while at < rows.num_rows:
-        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 18), "right")))
+    while at < rows:
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
         own = count[at:end]
         left = np.repeat(np.arange(at, end), own)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        at = end
+
+
+def _near(rows, starts, similarity: float) -> Iterator:
+    """Pairs of rows of one block that may be linked: other components, alike sketches, not dealt with in another block."""
+    root, side, low, high = (rows.column(x).to_numpy() for x in ("root", "side", "low", "high"))
+    sketch = _sketches(rows.column("sketch"))
+    for left, right in pairs_within(starts, rows.num_rows):
         open_ = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
         left, right = left[open_], right[open_]
         keep = alike(sketch[left], sketch[right], similarity)
         yield left[keep], right[keep]
-        at = end
 
 
 _BLOCK = "band long, low int, high int, side int, id long, root long, sketch binary"
@@ -263,7 +268,7 @@ def _involved(batches: Iterator, similarity: float) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    for rows, starts in _whole_blocks(batches):
+    for rows, starts in whole_blocks(batches):
         used = np.zeros(rows.num_rows, bool)
         for left, right in _near(rows, starts, similarity):
             used[left] = used[right] = True
@@ -274,7 +279,7 @@ def _joined(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
     """Links between components of a block, at most one for each two that get joined; rows of ``_BLOCK`` with the line."""
     import pyarrow as pa
 
-    for rows, starts in _whole_blocks(batches):
+    for rows, starts in whole_blocks(batches):
         ids, roots, lines = (rows.column(x).to_pylist() for x in ("id", "root", "line"))
         parent: dict[int, int] = {}
         cut_once = functools.cache(lambda i: cut(lines[i]))  # noqa: B023

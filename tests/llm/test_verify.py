@@ -55,7 +55,7 @@ def test_blocks_stay_whole():
     keys = sorted(rng.randrange(9) for _ in range(200))
     table = pa.RecordBatch.from_pydict({"band": keys, "low": [0] * 200, "high": [0] * 200, "x": list(range(200))})
     cuts = [0, 1, 50, 51, 130, 200]
-    parts = list(verify._whole_blocks(iter([table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)])))
+    parts = list(verify.whole_blocks(iter([table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)])))
     assert [x for rows, _ in parts for x in rows.column("x").to_pylist()] == list(range(200))
     found = [tuple(rows.column("band").to_pylist()[a:b]) for rows, s in parts for a, b in zip(s, np.append(s[1:], rows.num_rows), strict=True)]
     assert all(len(set(x)) == 1 for x in found) and len(found) == len(set(keys))
