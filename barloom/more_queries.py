@@ -36,7 +36,8 @@ CTES["trend_flags"] = """select *, (ath - price) / ath * 100 < 0.4 as is_ath, (h
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = Inputs(spark, sf_dir)
-    return snapshot(given("trend"), given.actions().where(F.lit(False)), given("sectors"), given("index_bars")).stocks
+    nothing = given.actions().where(F.lit(False))
+    return given.stored("trend_stocks", lambda: snapshot(given("trend"), nothing, given("sectors"), given("index_bars")).stocks)
 
 
 @query("select count(*) filter (is_ath) as ath, count(*) filter (is52) as w52, count(*) filter (wk_break) as wk from trend_flags")

@@ -167,10 +167,10 @@ class Inputs:
 
     def __call__(self, name: str) -> DataFrame:
         if name == "bars":
-            return self._stored(name, lambda: fixtures.load(self.spark, self.sf_dir, name))
+            return self.stored(name, lambda: fixtures.load(self.spark, self.sf_dir, name))
         return fixtures.load(self.spark, self.sf_dir, name)
 
-    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         for other in [k for k in _STORED if k[:2] != key[:2]]:
             gone = _STORED.pop(other)  # of another folder: made again when asked for
@@ -187,7 +187,7 @@ class Inputs:
         return act.verify_actions(self("filings"), self("bars"))
 
     def actions(self) -> DataFrame:
-        return self._stored("actions", lambda: corporate_actions(self("filings"), self("bars"), ("source_ex_date", "subject", "g")))
+        return self.stored("actions", lambda: corporate_actions(self("filings"), self("bars"), ("source_ex_date", "subject", "g")))
 
     def adjusted(self) -> DataFrame:
         return adjust.adjusted_bars(self("bars"), self.actions())

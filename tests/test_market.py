@@ -261,3 +261,24 @@ def test_sorts_and_first_clicks(spark):
     assert names(screens.sort_table(rows, "stocks", "sym")) == ["A", "B", "C"] and names(screens.sort_table(rows, "stocks", "price")) == ["B", "C", "A"]
     assert names(screens.sort_table(rows, "stocks", "price", "asc")) == ["A", "B", "C"] and names(screens.sort_table(rows, "stocks", "tag")) == ["B", "C", "A"]
     assert screens.first_direction(rows, "members", "sym") == "asc" and names(screens.sort_table(rows, "stocks", "none")) == ["B", "A", "C"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from barloom import __main__ as command
+
+    root = f"{tmp_path}/lake"
+    head = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,ISIN\n"
+    for d in range(3):
+        (tmp_path / f"{d}.csv").write_text(head + f"ABC,EQ,10,{12 + d},9,{10 + d},10,100,1000,X\n")
+    files = [raw.daily_bars(raw.csv_rows(spark, f"{tmp_path}/{d}.csv"), F.lit(day(d)).cast("date")) for d in range(2)]
+    store.write_years(files[0].withColumn("date", F.lit(dt.date(2023, 12, 28))).unionByName(files[1].withColumn("date", F.lit(dt.date(2023, 12, 29)))), f"{root}/daily")
+    spark.createDataFrame([("NIFTY 50", day(0), 1.0, 1.0, 1.0, 1.0)], "index_name string, date date, open double, high double, low double, close double").withColumn("year", F.year("date")).write.partitionBy("year").parquet(f"{root}/index_daily")
+    (tmp_path / "f.json").write_text(json.dumps([{"symbol": "ABC", "subject": "Bonus 1:1", "exDate": "05-Jan-2020"}]))
+    (tmp_path / "c.csv").write_text("Company Name,Industry,Symbol,ISIN Code\nAbc Ltd,Steel,ABC,X\n")
+    command.main(["reference", root, "--list", f"TOP={tmp_path}/c.csv"])
+    command.main(["actions", root, "--files", f"{tmp_path}/f.json"])
+    command.main(["eod", root, "--files", f"{tmp_path}/2.csv", "--date", "2023-12-30"])
+    command.main(["summary", root])
+    stocks = spark.read.parquet(f"{root}/published/stock_metrics").collect()
+    assert [(r["sym"], r["sector"], r["price"]) for r in stocks] == [("ABC", "Steel", 12.0)] and "|1   |" in capsys.readouterr().out
+    assert spark.read.parquet(f"{root}/published/stock_candles").count() == 1
