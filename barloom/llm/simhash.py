@@ -113,12 +113,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(lambda it: _fingerprints(it, shingle), f"id {kind}, fp long")
 
 
-def _coordinates(fp: Column) -> Column:
-    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in pivots()])
+def _near(x: Column, y: Column) -> Column:
+    """Whether no distance to a pivot differs by more than the radius."""
+    references = F.array(*[F.lit(_signed(p)) for p in pivots()])
+    return F.forall(references, lambda p: F.abs(F.bit_count(x.bitwiseXOR(p)) - F.bit_count(y.bitwiseXOR(p))) <= RADIUS)
 
 
 def _split(keyed: DataFrame, width: int) -> DataFrame:
-    """Rows (key, fp, d, one, two) to those of the next level, whose keys hold two blocks more.
+    """Rows (key, fp, one, two) to those of the next level, whose keys hold two blocks more.
 
     ``one`` and ``two`` are the first bits of the open blocks, each twice ``width`` wide; at
     the first level, 0 and 32.
@@ -136,20 +138,18 @@ def _split(keyed: DataFrame, width: int) -> DataFrame:
         key = F.xxhash64("key", F.lit(n), F.col("c")[a], F.col("c")[b])
         choices.append(F.struct(key.alias("key"), left[0].cast("int").alias("one"), left[1].cast("int").alias("two")))
     held = keyed.withColumn("c", F.array(*[coordinates(x) for x in starts]))
-    return held.select("fp", "d", F.inline(F.array(*choices)))
+    return held.select("fp", F.inline(F.array(*choices)))
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The pairs (a, b) of fingerprints (column ``fp``, distinct) within 2 bits; a pair may come more than once."""
-    near = F.expr(f"forall(zip_with(x.d, y.d, (p, q) -> abs(p - q) <= {RADIUS}), ok -> ok)")
-
     def pairs(rows: DataFrame) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near)
+        x, y = rows.select("key", "fp").alias("x"), rows.select("key", "fp").alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near(F.col("x.fp"), F.col("y.fp")))
         met = met.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
         return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
-    keyed = prints.select("fp", _coordinates(F.col("fp")).alias("d"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("one"), F.lit(32).alias("two"))
+    keyed = prints.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("one"), F.lit(32).alias("two"))
     found = None
     for width in WIDTHS:
         keyed = settle(_split(keyed, width))
