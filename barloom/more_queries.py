@@ -172,7 +172,7 @@ def candle_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "select s.rows, s.sessions, '2001-10-29' as last_ingested_session, isodow(timestamp '2024-01-03 10:00:00') <= 5 and 930 >= 10 * 60 + 330 - 0 and 10 * 60 + 330 <= 930 as market_open, "
-    "(select string_agg(detail || ' ' || status, ',' order by ts desc, job desc, date desc, status desc, detail desc) from (select * from log order by ts desc, job limit 25)) as newest from (select count(*) as rows, count(distinct date) as sessions from flagged) s"
+    "(select string_agg(detail || ' ' || status, ',' order by ts desc, job desc, date desc, status desc, detail desc) from (select * from log order by ts desc, job, detail limit 25)) as newest from (select count(*) as rows, count(distinct date) as sessions from flagged) s"
 )
 def status_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = Inputs(spark, sf_dir)

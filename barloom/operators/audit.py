@@ -61,7 +61,7 @@ def cross_check(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...] = FI
 
 def recent_log(log: DataFrame, rows: int = 25) -> DataFrame:
     """The newest log rows."""
-    return log.orderBy(F.desc("ts"), "job").limit(rows)
+    return log.orderBy(F.desc("ts"), "job", "detail").limit(rows)
 
 
 def raw_tail(bars: DataFrame, symbol: str, n: int = 8) -> DataFrame:
