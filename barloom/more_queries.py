@@ -108,6 +108,9 @@ def _sort_sql(table: str, relation: str, name: str) -> str:
 
 
 def _sorted_tops(rows: DataFrame, table: str, name: str) -> DataFrame:
+    path = scratch(rows.sparkSession)  # the rows of one session are made once, not once a sort
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
     out = None
     for key in _KEYS[table]:
         top = screens.sort_table(rows, table, key).limit(5).agg(F.collect_list(name).alias("names"))
@@ -118,12 +121,12 @@ def _sorted_tops(rows: DataFrame, table: str, name: str) -> DataFrame:
 
 @query(_sort_sql("stocks", "flagged", "sym"))
 def sorted_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sorted_tops(screens.with_tags(Inputs(spark, sf_dir).stocks()).persist(), "stocks", "sym")
+    return _sorted_tops(screens.with_tags(Inputs(spark, sf_dir).stocks()), "stocks", "sym")
 
 
 @query(_sort_sql("sectors", "scores", "sector"))
 def sorted_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sorted_tops(metrics.sector_scores(Inputs(spark, sf_dir).stocks()).persist(), "sectors", "sector")
+    return _sorted_tops(metrics.sector_scores(Inputs(spark, sf_dir).stocks()), "sectors", "sector")
 
 
 # --- served entries ---------------------------------------------------------------------------
