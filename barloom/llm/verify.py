@@ -29,7 +29,7 @@ CROWD = 8
 #: Pairs that are packed at once, and that a part holds, about.
 RUN, PART = 1 << 19, 1 << 20
 #: Bins of a sketch, half a byte each.
-BINS = 128
+BINS = 160
 
 
 class Hashes:
@@ -62,7 +62,7 @@ def jaccard(a: Hashes, b: Hashes) -> float:
 
 
 def packed(minima, filled):
-    """Sketches of 64 bytes from the smallest hash of each of the 128 bins: 0 for an empty bin, else 1 to 15."""
+    """Sketches of half a byte a bin from its smallest hash: 0 for an empty bin, else 1 to 15."""
     import numpy as np
 
     halves = np.where(filled, minima % np.uint64(15) + np.uint64(1), 0).astype(np.uint8)
