@@ -228,7 +228,9 @@ def language(
             lang, score, letters = _classified(texts.tolist(), names, shared.value, dim)
             yield pd.DataFrame({"lang": [x or UNKNOWN for x in lang], "score": score, "letters": letters})
 
-    return F.pandas_udf(classify, "lang string, score double, letters boolean", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string"))
+    scan = F.pandas_udf(classify, "lang string, score double, letters boolean", F.PandasUDFType.SCALAR_ITER)
+    # so marked, a filter on the result does not make Spark classify every text twice
+    return scan.asNondeterministic()(F.col(text_col).cast("string"))
 
 
 def identify(
