@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, embeddings, langid, licenses, lines, mixing, secret_scan, sharding, simhash
+from barloom.llm import chat, decontaminate, embeddings, fill_middle, langid, licenses, lines, mixing, secret_scan, sharding, simhash, whitening
 from barloom.llm.common import read
 
 
@@ -119,9 +119,40 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened coordinates of every vector, one a row."""
+    rows, fit, error = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    shares = F.lit(fit.explained if fit else []).cast("array<double>")
+    each = rows.select(F.col("id").alias("vec_id"), "n", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and digests of every document cut for infilling, and of the text made from it again."""
+    found = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_simhash, op2_lines, op3_langid, op4_embeddings, op5_licenses, op6_chat, op7_mixing, op8_secrets, op9_sharding, op10_decontaminate,
+        op11_whitening, op13_fill_middle,
     )
     return {f.__name__: f for f in every}
 
