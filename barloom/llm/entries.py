@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, embeddings, fill_middle, langid, licenses, lines, mixing, secret_scan, sharding, simhash, whitening
+from barloom.llm import chat, decontaminate, embeddings, fill_middle, langid, licenses, lines, mixing, secret_scan, sharding, simhash, toxicity, whitening
 from barloom.llm.common import read
 
 
@@ -135,6 +135,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labelled ones that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = toxicity.score_toxicity(docs, labels, train=~held)
+    return found.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and digests of every document cut for infilling, and of the text made from it again."""
     found = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
@@ -152,7 +162,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_simhash, op2_lines, op3_langid, op4_embeddings, op5_licenses, op6_chat, op7_mixing, op8_secrets, op9_sharding, op10_decontaminate,
-        op11_whitening, op13_fill_middle,
+        op11_whitening, op12_toxicity, op13_fill_middle,
     )
     return {f.__name__: f for f in every}
 
