@@ -29,11 +29,15 @@ GRAMS = (3, 4, 5)
 MAX_TRAIN = 1000
 #: Words and n-grams with a vector of their own, at most; those of most training documents.
 MAX_WORDS, MAX_GRAMS = 20_000, 40_000
+#: Share of the training documents that a word or n-gram with a vector must be in (and in two at least): rarer ones are learnt by heart.
+LEAST_IN = 1 / 200
 #: Characters of a word; longer runs without a blank are cut.
 LONG = 32
 #: Characters that are cut into words at once, words of texts read together, words whose inputs a task keeps, windows in a step.
 SLICE, GROUP, KEPT, STEP = 1 << 20, 1 << 17, 3 << 16, 512
-WARM, EPOCHS, BATCH, RATE, DECAY, SEED = 2, 6, 32, 0.01, 0.01, 12
+#: Steps of the training, about, in at least and at most so many passes over the sample, a quarter of which treat all windows alike.
+STEPS, LEAST_PASSES, MOST_PASSES = 400, 8, 20
+BATCH, RATE, DECAY, SEED = 32, 0.01, 0.01, 12
 THRESHOLD = 0.3
 _TRIM = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
@@ -346,9 +350,10 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = SEED) -
         bare = {w.strip(_TRIM) for piece in _slices(text) for w in _words(piece) if len(w) <= LONG} - {""}
         seen.update(bare)
         parts.append(np.unique(_grams(sorted(bare))[0]))
-    words = [w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if c > 1]
+    least = max(2, math.ceil(LEAST_IN * len(texts)))
+    words = [w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if c >= least]
     grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-    network = Network(words, grams[np.argsort(-counts, kind="stable")][: min(MAX_GRAMS, np.count_nonzero(counts > 1))], seed)
+    network = Network(words, grams[np.argsort(-counts, kind="stable")][: min(MAX_GRAMS, np.count_nonzero(counts >= least))], seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     label = np.array(labels, np.float32)
     names: dict[str, int] = {}
@@ -359,12 +364,13 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = SEED) -
     whole = network.features(list(names))
     every, begins = np.concatenate(held), np.cumsum([0, *map(len, held)])
     step = 0
-    for epoch in range(WARM + EPOCHS):
+    passes = min(MOST_PASSES, max(LEAST_PASSES, -(-STEPS * BATCH // len(texts))))
+    for epoch in range(passes):
         top = None
-        if epoch >= WARM:
+        if epoch >= passes // 4:
             logits = network.logits(every, network.projected(whole))
             top = [int(logits[a:b].argmax()) for a, b in zip(begins, begins[1:], strict=False)]
-        rate = RATE if epoch < WARM + EPOCHS // 2 else RATE / 3
+        rate = RATE if epoch < passes * 5 // 8 else RATE / 3
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows, targets, weights = [], [], []
