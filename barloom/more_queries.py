@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import categories as cat
-from barloom.operators import candles, indicators, metrics, news, screens, sessions, store, watchlist
+from barloom.operators import actions as act
+from barloom.operators import candles, carried, indicators, metrics, news, screens, sessions, store, watchlist
 from barloom.plans.snapshot import snapshot, status, summary
 from barloom.queries import CTES, Inputs, _r, _rounded, query
 from barloom.sources import curated, raw
@@ -92,6 +93,53 @@ def ema_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "n", _r("e10"), _r("e200"))
 
 
+# --- state that is carried on -----------------------------------------------------------------
+
+
+def _lake(given: Inputs) -> DataFrame:
+    """The bars in yearly folders, as a deployment stores them."""
+    path = scratch(given.spark)
+    store.write_years(given("bars"), path)
+    return store.read_years(given.spark, path)
+
+
+@query("select symbol, " + ", ".join(f"round(arg_max(e{p}, sess), 4) as e{p}" for p in indicators.PERIODS) + " from emas group by symbol")
+def ema_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages at each symbol's last bar: a state without the last session and some of the actions, which then come."""
+    given = Inputs(spark, sf_dir)
+    bars, actions, path = _lake(given), given.actions(), scratch(spark)
+    last = bars.agg(F.max("date")).first()[0]
+    carried.averages_state(bars.where(F.col("date") < last), actions.where("g < 2 or symbol like '%7'")).write.parquet(path)
+    session = bars.where((F.col("date") == last) & (F.col("year") == last.year))
+    state = carried.carried_averages(spark.read.parquet(path), session, bars, actions)
+    return carried.current_averages(state, actions).select("symbol", *[_r(f"e{p}") for p in indicators.PERIODS])
+
+
+@query("select symbol, round(ath, 4) as ath, ath_date, since from highs")
+def ath_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-time highs from yearly ones: made before the last year and some of the actions, which then come."""
+    given = Inputs(spark, sf_dir)
+    bars, actions, path = _lake(given), given.actions(), scratch(spark)
+    year = bars.agg(F.max("year")).first()[0]
+    carried.yearly_highs(bars.where(F.col("year") < year), actions.where("g < 2 or symbol like '%7'")).write.parquet(path)
+    highs = carried.carried_highs(spark.read.parquet(path), bars, actions, year)
+    return carried.merged_highs(highs).select("symbol", _r("ath"), "ath_date", "since")
+
+
+@query(
+    "select symbol, ex_date, factor, kind, status, round(implied, 6) as implied, subject, source_ex_date, applied, g from verified"
+)
+def reverify_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings verified without the last 96 sessions, and again where these come near."""
+    given = Inputs(spark, sf_dir)
+    bars, path = _lake(given), scratch(spark)
+    cut = sessions.window_start(bars, 96).first()[0]
+    act.verify_actions(given("filings"), bars.where(F.col("date") < cut)).write.parquet(path)
+    keys = ("symbol", "source_ex_date", "subject", "g")
+    found = act.reverify(spark.read.parquet(path), given("filings"), bars, F.lit(cut), keys)
+    return found.select("symbol", "ex_date", "factor", "kind", "status", _r("implied", 6), "subject", "source_ex_date", "applied", "g")
+
+
 # --- sorts ------------------------------------------------------------------------------------
 
 _KEYS = {"stocks": ("sym", "sector", "price", "chg1d", "chg1w", "dist_ath", "tag"), "sectors": ("name", "count", "adv", "dma_pct", "new_highs", "wk", "score")}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.labels import parse_factor
+from barloom.functions.labels import with_factor
 from barloom.operators.adjust import LEAST_FACTOR, MOST_FACTOR
 
 TOLERANCE, SLACK_DAYS, HOLE_DAYS = 0.25, 3, 15
@@ -14,8 +14,7 @@ TOLERANCE, SLACK_DAYS, HOLE_DAYS = 0.25, 3, 15
 
 def parse_filings(filings: DataFrame) -> DataFrame:
     """Add (factor, kind) to rows (symbol, ex, subject)."""
-    factor, kind = parse_factor(F.trim("subject"))
-    return filings.withColumns({"factor": factor, "kind": kind})
+    return with_factor(filings, F.trim("subject"))
 
 
 def price_gaps(bars: DataFrame) -> DataFrame:
@@ -63,6 +62,28 @@ def verify_actions(filings: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def reverify(
+    old: DataFrame, filings: DataFrame, bars: DataFrame, cut: Column, keys: tuple[str, ...] = ("symbol", "source_ex_date", "subject")
+) -> DataFrame:
+    """``verify_actions`` of all filings and bars, from an ``old`` one that saw the bars before ``cut``.
+
+    Verified anew are filings that ``old`` does not have, and those that bars from ``cut`` on
+    are near enough to; read for them are the bars of their symbols from the days that the
+    first of them may be moved to.  ``keys`` name a filing in ``old``.
+    """
+    settled = old.where(F.col("source_ex_date") < F.date_sub(cut, SLACK_DAYS)).select(*[F.col(c).alias("ex" if c == "source_ex_date" else c) for c in keys])
+    known = parse_filings(filings).where("factor is not null").select(*filings.columns)
+    touched = known.join(settled, settled.columns, "left_anti").select(*filings.columns)
+    start = touched.agg(F.date_sub(F.min("ex"), SLACK_DAYS + HOLE_DAYS)).scalar()
+    near = bars.where(F.col("date") >= start)
+    near = near.where(F.col("year") >= F.year(start)) if "year" in bars.columns else near
+    near = near.join(F.broadcast(touched.select("symbol").distinct()), "symbol", "left_semi")  # a symbol has a few filings; symbols are some thousands
+    fresh = verify_actions(touched, near)
+    names = {c: "ex" if c == "source_ex_date" else c for c in keys}
+    kept = old.join(settled.select(*[F.col(n).alias(c) for c, n in names.items()]), list(keys), "left_semi")
+    return kept.select(*old.columns).unionByName(fresh.select(*old.columns))
+
+
 def dedup_actions(verified: DataFrame, order: tuple[str, ...] = ("source_ex_date", "subject")) -> DataFrame:
     """One action for each symbol and ex-date: applied ones first, then by ``order``."""
     rows = W.partitionBy("symbol", "ex_date").orderBy(F.desc("applied"), *order)

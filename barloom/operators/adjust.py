@@ -1,13 +1,14 @@
 """Split and bonus adjustment of bars.
 
-A bar is divided by the product of the factors whose ex-date lies after it.  A symbol has a
-handful of actions, so they travel as one short array a symbol; the join is on the symbol,
-by which the bars are dealt out for every later window anyway.
+A bar is divided by the product of the factors whose ex-date lies after it.  Bars and actions
+go through one stream a symbol, from the last date to the first, and a running product is
+carried from the actions to the bars: an as-of join by one sort, whose cost does not depend on
+the number of actions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,18 +30,21 @@ def running_factors(actions: DataFrame) -> DataFrame:
     return applied(actions).select("symbol", "ex_date", F.exp(F.sum(F.log("factor")).over(order)).alias("running"))
 
 
-def later_factor(acts: Column, date: Column) -> Column:
-    """Product of the factors of ``acts`` with an ex-date after ``date``; 1 where there are none."""
-    later = F.filter(acts, lambda a: a["ex_date"] > date)
-    return F.coalesce(F.aggregate(later, F.lit(1.0), lambda x, a: x * a["factor"]), F.lit(1.0))
+def with_later_factor(rows: DataFrame, actions: DataFrame, date: str = "date") -> DataFrame:
+    """Add ``k``: the product of a symbol's applied factors with an ex-date after the row's date; 1 where there are none."""
+    marks = applied(actions).select("symbol", F.col("ex_date").alias(date), F.col("factor").alias("_factor"), F.lit(True).alias("_mark"))
+    stream = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    # an action counts for the rows of earlier dates only, so of one date it comes behind them
+    later = W.partitionBy("symbol").orderBy(F.desc(date), "_mark").rowsBetween(W.unboundedPreceding, 0)
+    carried = stream.withColumn("k", F.coalesce(F.product("_factor").over(later), F.lit(1.0)))
+    return carried.where(~F.col("_mark")).select(*rows.columns, "k")
 
 
 def adjusted_bars(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """Bars with prices divided and volume multiplied by ``k``; traded value stays."""
-    acts = applied(actions).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ex_date", "factor"))).alias("_acts"))
-    joined = bars.where("close > 0").join(acts, "symbol", "left").withColumn("k", later_factor(F.col("_acts"), F.col("date")))
+    rows = with_later_factor(bars.where("close > 0"), actions)
     prices = {c: F.col(c) / F.col("k") for c in ("open", "high", "low", "close")}
-    return joined.withColumns(prices | {"volume": F.col("volume") * F.col("k")}).drop("_acts")
+    return rows.withColumns(prices | {"volume": F.col("volume") * F.col("k")})
 
 
 def all_time_highs(adjusted: DataFrame) -> DataFrame:

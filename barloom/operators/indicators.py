@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.operators.sessions import along, lag_of
+from barloom.operators.sessions import along
 
 PERIODS = (10, 20, 50, 200)
 YEAR, MONTH, WEEK, QUARTER = 252, 20, 5, 63
@@ -63,20 +63,54 @@ def with_emas(
     return out.drop("_i", "_block", "_at")
 
 
+def with_fillers(bars: DataFrame) -> DataFrame:
+    """Add a row (symbol, sess) for each session without a bar between two bars of a symbol; ``_bar`` tells them apart."""
+    until = F.coalesce(F.lead("sess").over(along()), F.col("sess") + 1)
+    every = bars.withColumn("_until", until).withColumn("_s", F.explode(F.sequence("sess", F.col("_until") - 1)))
+    mine = F.col("_s") == F.col("sess")
+    kept = [F.when(mine, F.col(c)).alias(c) for c in bars.columns if c not in ("symbol", "sess")]
+    return every.select("symbol", F.col("_s").alias("sess"), *kept, mine.alias("_bar"))
+
+
+def with_extremes(filled: DataFrame, width: int = YEAR) -> DataFrame:
+    """Add the highest high and lowest low of the last ``width`` sessions to rows without holes.
+
+    Sessions are cut into blocks of the width.  A window then is the end of one block and the
+    begin of the next, so the extremes run once forwards and once backwards through each
+    block, and a row looks up two of them: the cost does not depend on the width.
+    """
+    block = W.partitionBy("symbol", "_block")
+    back = block.orderBy(F.desc("sess")).rowsBetween(W.unboundedPreceding, 0)
+    ahead = block.orderBy("sess").rowsBetween(W.unboundedPreceding, 0)
+    rows = W.partitionBy("symbol").orderBy("_block", "sess")
+    out = filled.withColumn("_block", F.floor(F.col("sess") / width))
+    out = out.withColumns({"_back_hi": F.max("high").over(back), "_back_lo": F.min("low").over(back)})
+    out = out.withColumns({"hi52": F.max("high").over(ahead), "lo52": F.min("low").over(ahead)})
+    # before a symbol has that many sessions, the window begins with its first one; one block holds it by itself
+    begun = F.first("_block").over(rows) < F.col("_block")
+    found = {}
+    for mine, c, best in (("hi52", "_back_hi", F.greatest), ("lo52", "_back_lo", F.least)):
+        first = F.when(begun, F.first(c).over(rows))
+        found[mine] = best(F.col(mine), F.when(F.row_number().over(rows) >= width, F.lag(c, width - 1).over(rows)).otherwise(first))
+    return out.withColumns(found).drop("_back_hi", "_back_lo")
+
+
 def with_grid(bars: DataFrame) -> DataFrame:
-    """Add the lags, 52-week extremes and volume mean; all share one partitioning and sort."""
-    year = along().rangeBetween(-(YEAR - 1), 0)
-    before = along().rangeBetween(-MONTH, -1)
-    return bars.withColumns(
+    """Add the lags, 52-week extremes and volume mean; all share one partitioning.
+
+    Sessions without a bar are filled in for the while, so that a lag of sessions is one of rows.
+    """
+    rows = W.partitionBy("symbol").orderBy("_block", "sess")
+    out = with_extremes(with_fillers(bars)).withColumns(
         {
-            "prev": lag_of("close", 1),
-            "close5": lag_of("close", WEEK),
-            "close63": lag_of("close", QUARTER),
-            "hi52": F.max("high").over(year),
-            "lo52": F.min("low").over(year),
-            "vol20": F.when(F.col("sess") >= MONTH, F.avg("volume").over(before)),
+            "prev": F.lag("close", 1).over(rows),
+            "close5": F.lag("close", WEEK).over(rows),
+            "close63": F.lag("close", QUARTER).over(rows),
+            "vol20": F.when(F.col("sess") >= MONTH, F.avg("volume").over(rows.rowsBetween(-MONTH, -1))),
         }
-    ).withColumn("chg", F.try_divide(F.col("close") - F.col("prev"), F.col("prev")) * 100.0)
+    )
+    change = F.try_divide(F.col("close") - F.col("prev"), F.col("prev")) * 100.0
+    return out.where("_bar").withColumn("chg", change).drop("_bar", "_block")
 
 
 def relative_strength(price: Column, base: Column, bench: Column) -> Column:

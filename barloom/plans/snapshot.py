@@ -40,9 +40,10 @@ def snapshot(
     delivery: DataFrame | None = None, benchmarks: tuple[str, ...] = BENCHMARKS, window: int = WINDOW, history: int = HISTORY,
 ) -> Snapshot:
     """The whole nightly computation; nothing runs until a relation is written or collected."""
-    adjusted = adjust.adjusted_bars(sessions.one_bar_a_day(bars), actions)
-    # the start is found on the raw dates; its filter passes the adjustment and reaches the scan
-    recent = sessions.since(adjusted, sessions.window_start(bars.where("close > 0"), window))
+    daily = sessions.one_bar_a_day(bars)
+    adjusted = adjust.adjusted_bars(daily, actions)
+    # the start is found on the raw dates; actions before it do not matter to the bars behind it
+    recent = adjust.adjusted_bars(sessions.since(daily, sessions.window_start(bars.where("close > 0"), window)), actions)
     axis = sessions.session_axis(recent)
     with_all = breadth.with_indicators(sessions.on_axis(recent, axis), window)
     indices = sessions.since(index_bars, axis.orderBy(F.desc("sess")).limit(INDEX_SESSIONS).agg(F.min("date").alias("start")))

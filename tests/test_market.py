@@ -44,8 +44,7 @@ def one(spark, column, **values):
 
 def test_factor_labels(spark):
     rows = spark.createDataFrame([(s,) for s, _, _ in GOLDEN], "subject string")
-    factor, kind = labels.parse_factor(F.col("subject"))
-    found = {r[0]: (r[1], r[2]) for r in rows.select("subject", factor, kind).collect()}
+    found = {r[0]: (r[1], r[2]) for r in labels.with_factor(rows, F.col("subject")).collect()}
     for subject, want, name in GOLDEN:
         assert found[subject][1] == name, subject
         assert found[subject][0] == (pytest.approx(want) if want else None), subject
