@@ -6,11 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import categories as cat
 from barloom.operators import actions as act
-from barloom.operators import candles, carried, indicators, metrics, news, screens, sessions, store, watchlist
+from barloom.operators import candles, carried, indicators, metrics, news, screens, serving, sessions, store, watchlist
 from barloom.plans.snapshot import snapshot, status, summary
 from barloom.queries import CTES, Inputs, _r, _rounded, query
 from barloom.sources import curated, raw
@@ -355,11 +356,11 @@ def _csv(rows: DataFrame) -> str:
 
 
 @query(
-    "select symbol, date, 'EQ' as series, round(open, 4) as open, round(close, 4) as close, volume, trades from bars where date >= date '2001-09-01' and symbol not like '%4'"
+    "select symbol, date, 'EQ' as series, round(open, 4) as open, round(close, 4) as close, volume, trades from bars where symbol not like '%4'"
 )
 def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily files of both layouts; one date stands in for the change of layouts by an offset."""
-    bars = Inputs(spark, sf_dir)("bars").where("date >= date'2001-09-01'")
+    bars = Inputs(spark, sf_dir)("bars")
     series = F.when(F.col("symbol").like("%4"), "GB").otherwise("EQ")
     out = None
     for days, layout, where in ((0, "old", "date < date'2001-10-01'"), (10_000, "new", "date >= date'2001-10-01'")):
@@ -373,9 +374,9 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "date", "series", _r("open"), _r("close"), "volume", "trades")
 
 
-@query("select index_name, date, round(close, 4) as close, round(high, 4) as high from index_bars where date >= date '2001-01-01'")
+@query("select index_name, date, round(close, 4) as close, round(high, 4) as high from index_bars")
 def raw_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Inputs(spark, sf_dir)("index_bars").where("date >= date'2001-01-01'")
+    rows = Inputs(spark, sf_dir)("index_bars")
     names = {"open": "Open Index Value", "high": "High Index Value", "low": "Low Index Value", "close": "Closing Index Value"}
     path = _csv(rows.select(F.initcap("index_name").alias("Index Name"), *[F.col(k).cast("string").alias(v) for k, v in names.items()], F.col("date").cast("string").alias("Day")))
     found = raw.index_bars(raw.csv_rows(spark, path), F.try_element_at(F.col("row"), F.lit("day")).cast("date"))
@@ -436,3 +437,111 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.range(60).select(F.concat(F.lit("S"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("symbol"))
     return news.entity_rows(raw.articles(spark, _json(rows.coalesce(1))), wanted).select("uuid", "symbol")
 
+
+
+@query("select symbol, date, round(close, 4) as close, volume, trades from bars where date >= date '1995-06-01' and symbol not like '%4'")
+def archived_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zip a session, in both layouts, read back by the archive source, which opens none before the first date.
+
+    Dates stand in for those of the two layouts by an offset.
+    """
+    from barloom.sources.archives import DailyArchives, local
+
+    bars, days = Inputs(spark, sf_dir)("bars"), 9000
+    folder = local(scratch(spark))
+
+    def pack(part):
+        import io
+        import os
+        import zipfile
+
+        import pandas as pd
+
+        date = part.file_date.iloc[0]
+        names = raw.LAYOUTS["new" if str(date) >= raw.NEW_LAYOUT else "old"]
+        part = part.assign(series=part.symbol.str[-1:].map(lambda x: "GB" if x == "4" else "EQ"), isin="X", prev_close=0)
+        text = part.rename(columns=names)[list(names.values())].to_csv(index=False)
+        os.makedirs(folder, exist_ok=True)
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("readme.txt", "none")
+            archive.writestr("bars.csv", text)
+        with open(os.path.join(folder, f"bars_{date}.zip"), "wb") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame({"rows": [len(part)]})
+
+    # a session has a row a symbol
+    bars.withColumn("file_date", F.date_add("date", days)).groupBy("file_date").applyInPandas(pack, "rows long").agg(F.sum("rows")).first()
+    spark.dataSource.register(DailyArchives)
+    rows = spark.read.format("daily_archives").option("since", "2020-01-22").load(folder)
+    found = raw.daily_bars(rows.select("path", "row", "date"), F.col("date")).withColumn("date", F.date_sub("date", days))
+    return found.select("symbol", "date", _r("close"), "volume", "trades")
+
+
+# --- served tables ----------------------------------------------------------------------------
+
+
+def _night(given: Inputs, served: serving.Served, until: str | None = None) -> serving.Served:
+    """A publication of the session before a date, or of the last one."""
+    bars, indices = given("bars"), given("index_bars")
+    if until:
+        bars, indices = bars.where(F.col("date") < until), indices.where(F.col("date") < until)
+    shot = snapshot(bars, given.actions(), given("sectors"), indices)
+    day = bars.agg(F.max("date")).scalar()
+    serving.publish_session(
+        served, shot.stocks, shot.sectors.withColumn("date", day), shot.history.drop("sess"), shot.candles, indices, given("log") if not until else given("log").limit(0)
+    )
+    return served
+
+
+@query(
+    "select 'stock' as what, sym as name, date, round(price, 4) as value from flagged where sym = 'S0003' "
+    "union all select 'sector', sector, (select max(date) from adj), score from scores "
+    "union all select 'index', index_name, date, round(close, 4) from (select * from index_bars where index_name = 'ALL' order by date desc limit 5) "
+    "union all select 'breadth', 'advances', date, advances from history where date >= date '2001-06-01' "
+    "union all select 'candles', symbol, max(date), count(*) from adj where symbol = 'S0003' and date in (select date from axis) group by 2 "
+    "union all select 'log', 'click', max(date), least(25, count(*)) from log where job = 'click' and status = 'ok'"
+)
+def asked_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with parameters after two publications, and one that broke off before its last step."""
+    given = Inputs(spark, sf_dir)
+    served = serving.Served(spark, scratch(spark))
+    last = given("bars").agg(F.max("date")).first()[0]
+    _night(given, served, str(last))
+    served.write({"index_bars": given("index_bars").limit(0), "stock_metrics": served.table("stock_metrics").limit(0)})
+    _night(given, served)
+    served.clean()
+    ask = lambda read, /, **params: served.ask(serving.READS[read], **params)
+    value = lambda x: _rounded(F.col(x)).alias("value")
+    row = lambda what, df, name, date, v: df.select(F.lit(what).alias("what"), name.alias("name"), F.col(date).alias("date"), v)
+    candles_of = ask("candles", symbol="S0003")
+    parts = [
+        row("stock", ask("stock", symbol="S0003"), F.col("sym"), "date", value("price")),
+        row("stock", ask("stock", symbol="S0003' or '1' = '1"), F.col("sym"), "date", value("price")),
+        row("sector", ask("sectors_of", date=str(last)), F.col("sector"), "date", value("score")),
+        row("index", ask("index_tail", name="ALL", rows=5), F.col("index_name"), "date", value("close")),
+        row("breadth", ask("breadth_since", date="2001-06-01"), F.lit("advances"), "date", value("advances")),
+        row("log", ask("log_of", job="click", status="ok", rows=25).agg(F.count("*").alias("n"), F.max("date").alias("date")), F.lit("click"), "date", value("n")),
+        row("candles", candles_of.select("symbol", F.element_at("d", -1).cast("date").alias("date"), F.size("c").alias("n")), F.col("symbol"), "date", value("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+CTES["spelt"] = """select concat(case s_suppkey % 5 when 0 then 'eclair' when 1 then 'Eclair' when 2 then 'éclair' when 3 then 'Zebra' else 'apple' end, ' ', lpad(cast(s_suppkey // 5 as varchar), 5, '0')) as sym from supplier"""
+
+
+@query(
+    "select sym, cast(row_number() over (order by strip_accents(lower(sym)), lower(sym), ascii(sym) desc) as bigint) as place from spelt"
+)
+def sorted_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that differ in case and accents, in the order of the Unicode collation."""
+    key = F.col("s_suppkey")
+    word = F.element_at(F.array(*map(F.lit, ("eclair", "Eclair", "éclair", "Zebra", "apple"))), (key % 5).cast("int") + 1)
+    rows = Inputs(spark, sf_dir).table("supplier").select(F.concat(word, F.lit(" "), F.lpad(F.floor(key / 5).cast("string"), 5, "0")).alias("sym"))
+    path = scratch(spark)
+    screens.sort_table(rows, "stocks", "sym", collation="UNICODE").coalesce(1).write.parquet(path)  # one sorted file: a few thousand names
+    placed = spark.read.parquet(path).withColumn("_at", F.monotonically_increasing_id())
+    return placed.select("sym", (F.rank().over(W.orderBy("_at"))).cast("long").alias("place"))

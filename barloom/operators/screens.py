@@ -98,12 +98,20 @@ def first_direction(rows: DataFrame, table: str, key: str) -> str:
     return first or ("asc" if dict(rows.select(F.expr(expression).alias("x")).dtypes)["x"] == "string" else "desc")
 
 
-def sort_table(rows: DataFrame, table: str, key: str, direction: str | None = None) -> DataFrame:
-    """Rows sorted by a column of a table; ties by name.  Text sorts by code point.  An unknown key leaves the rows as they are."""
+def sort_table(rows: DataFrame, table: str, key: str, direction: str | None = None, collation: str | None = None) -> DataFrame:
+    """Rows sorted by a column of a table; ties by name.  An unknown key leaves the rows as they are.
+
+    Text sorts by code point, or by the rules of a ``collation`` such as ``UNICODE`` or ``de``:
+    then letters come together whatever their case and accents, which decide among equals.
+    """
     if key not in SORTS[table]:
         return rows
     direction = direction or first_direction(rows, table, key)
-    return order_by(rows, F.expr(SORTS[table][key][0]), direction == "desc", ("sector",) if table == "sectors" else ("sym",))
+    by, ties = F.expr(SORTS[table][key][0]), F.col("sector" if table == "sectors" else "sym")
+    if collation:
+        text = dict(rows.select(by.alias("x")).dtypes)["x"] == "string"
+        by, ties = F.collate(by, collation) if text else by, F.collate(ties, collation)
+    return rows.orderBy(by.desc() if direction == "desc" else by.asc(), ties)
 
 
 def order_by(rows: DataFrame, key: str | Column, descending: bool = False, ties: tuple[str, ...] = ("sym",)) -> DataFrame:

@@ -40,17 +40,19 @@ def snapshot(
     delivery: DataFrame | None = None, benchmarks: tuple[str, ...] = BENCHMARKS, window: int = WINDOW, history: int = HISTORY,
 ) -> Snapshot:
     """The whole nightly computation; nothing runs until a relation is written or collected."""
-    daily = sessions.one_bar_a_day(bars)
+    daily = sessions.one_bar_a_day(bars).where("close > 0")
     adjusted = adjust.adjusted_bars(daily, actions)
-    # the start is found on the raw dates; actions before it do not matter to the bars behind it
-    recent = adjust.adjusted_bars(sessions.since(daily, sessions.window_start(bars.where("close > 0"), window)), actions)
-    axis = sessions.session_axis(recent)
+    # start and axis are found on the raw dates; actions before the start do not matter to the bars behind it
+    traded = bars.where("close > 0")
+    start = sessions.window_start(traded, window)
+    recent = adjust.adjusted_bars(sessions.since(daily, start), actions)
+    axis = sessions.session_axis(sessions.since(traded, start))
     with_all = breadth.with_indicators(sessions.on_axis(recent, axis), window)
     indices = sessions.since(index_bars, axis.orderBy(F.desc("sess")).limit(INDEX_SESSIONS).agg(F.min("date").alias("start")))
     bench = indicators.benchmark_ratio(indices, benchmarks)
     stocks = metrics.stock_metrics(with_all, adjust.all_time_highs(adjusted), metrics.sector_of(constituents), bench, delivery)
     # symbols of the last session, which need no indicators
-    active = recent.join(sessions.latest(recent).select("symbol").distinct(), "symbol", "left_semi")
+    active = recent.join(sessions.latest(traded).select("symbol").distinct(), "symbol", "left_semi")
     return Snapshot(
         adjusted, axis, with_all, stocks, metrics.sector_scores(stocks), breadth.breadth_history(with_all, axis, history),
         candles.candle_payload(active), candles.index_series(indices),

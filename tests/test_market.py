@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import categories as cat
 from barloom.functions import labels, numbers
-from barloom.operators import actions, adjust, breadth, candles, indicators, news, screens, sessions, store
+from barloom.operators import actions, adjust, breadth, candles, carried, indicators, news, screens, serving, sessions, store
 from barloom.sources import curated, raw
 
 DAY = dt.date(2024, 1, 1)
@@ -254,6 +254,144 @@ def test_window_filter_reaches_the_scan(spark, tmp_path):
     assert "NestedLoop" not in plan and any("year" in x.split("PartitionFilters: [")[1].split("]")[0] and "subquery" in x for x in scans)
 
 
+def test_adjustment_has_no_arrays_and_no_wide_frames(spark):
+    bars = bars_of(spark, {"A": {0: 10.0, 1: 10.0, 2: 5.0}, "B": {0: 3.0}})
+    acts = [("A", day(1), 2.0, True), ("A", day(2), 1.5, True), ("A", day(9), 4.0, True), ("A", day(2), 3.0, False), ("C", day(1), 2.0, True), ("B", day(1), 100.0, True)]
+    rows = adjust.adjusted_bars(bars, spark.createDataFrame(acts, "symbol string, ex_date date, factor double, applied boolean"))
+    assert {(r.symbol, r.date): r.k for r in rows.collect()} == {("A", day(0)): 12.0, ("A", day(1)): 6.0, ("A", day(2)): 4.0, ("B", day(0)): 1.0}
+    plan = indicators.with_grid(sessions.on_axis(rows))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("lambda", "collect_list", "RangeFrame, -"))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 252])
+def test_extremes_by_blocks(spark, width):
+    import random
+
+    rng = random.Random(width)
+    held = {s: sorted(rng.sample(range(40), rng.randint(1, 30))) for s in "ABCDE"}
+    rows = [(s, d, float(rng.randint(1, 50)), float(rng.randint(1, 50))) for s, days in held.items() for d in days]
+    df = spark.createDataFrame(rows, "symbol string, sess int, high double, low double")
+    got = {(r.symbol, r.sess): (r.hi52, r.lo52) for r in indicators.with_extremes(indicators.with_fillers(df), width).where("_bar").collect()}
+    for s, d, _, _ in rows:
+        near = [r for r in rows if r[0] == s and d - width < r[1] <= d]
+        assert got[s, d] == (max(r[2] for r in near), min(r[3] for r in near))
+
+
+def test_no_interpreted_code(spark):
+    """The plans around filings compile: each pattern is in them once."""
+    rows = spark.createDataFrame([("A", day(2), s) for s, _, _ in GOLDEN], "symbol string, ex date, subject string")
+    bars = bars_of(spark, {"A": {0: 10.0, 1: 10.0, 2: 5.0}})
+    held = {k: spark.conf.get(k) for k in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode")}
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+        found = actions.verify_actions(rows, bars)
+        assert found.count() == sum(1 for _, f, _ in GOLDEN if f)
+        assert actions.dedup_actions(found).count() == 2  # of factors near 1 and near 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    plan = actions.verify_actions(rows, bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("debenture") <= 3
+
+
+def test_carried_state_reads_what_it_must(spark, tmp_path):
+    closes = {"A": {d: 10.0 + d for d in range(0, 900, 9)}, "B": {d: 50.0 for d in range(0, 850, 9)}, "N": {891: 7.0}}
+    store.write_years(bars_of(spark, closes), f"{tmp_path}/lake")
+    bars = store.read_years(spark, f"{tmp_path}/lake")
+    acts = spark.createDataFrame([("A", day(891), 2.0, True), ("B", day(100), 5.0, True)], "symbol string, ex_date date, factor double, applied boolean")
+    known = acts.where("symbol = 'A'")  # that of B comes late
+    last = day(891)
+    state = carried.averages_state(bars.where(F.col("date") < last), known.limit(0))
+    now = carried.carried_averages(state, bars.where(F.col("date") == last), bars, acts)
+    got = {r.symbol: r for r in carried.current_averages(now, acts).collect()}
+    want = {r.symbol: r for r in carried.current_averages(carried.averages_state(bars, acts), acts).collect()}
+    assert set(got) == {"A", "B", "N"}
+    for s in got:
+        assert got[s].date == want[s].date and [got[s][f"e{p}"] for p in indicators.PERIODS] == pytest.approx([want[s][f"e{p}"] for p in indicators.PERIODS])
+    year = last.year
+    highs = carried.yearly_highs(bars.where(F.col("year") < year), known.limit(0))
+    found = {r.symbol: tuple(r) for r in carried.merged_highs(carried.carried_highs(highs, bars, acts, year)).collect()}
+    assert found == {r.symbol: tuple(r) for r in adjust.all_time_highs(adjust.adjusted_bars(bars, acts)).collect()}
+    plan = carried.yearly_highs(bars.where(F.col("year") >= year), acts)._jdf.queryExecution().executedPlan().toString()
+    assert "(year#" in plan and f">= {year})" in plan.split("PartitionFilters")[1][:120]
+
+
+def test_publication_breaks_off_anywhere(spark, tmp_path, monkeypatch):
+    one = lambda n: spark.createDataFrame([(n,)], "n long")
+    served = serving.Served(spark, f"{tmp_path}/served")
+    state = lambda: {t: served.table(t).first().n for t in served.names()}
+    assert state() == {} and served.pointer()["version"] == 0
+    assert served.publish({"a": one(1), "b": one(1)}) == 1
+    calls = {"n": 0}
+
+    def broken(at):
+        def step(real):
+            def run(*args, **kwargs):
+                calls["n"] += 1
+                if calls["n"] > at:
+                    raise OSError("lost")
+                return real(*args, **kwargs)
+            return run
+        return step
+
+    for at in range(4):  # before the first table, after it, before the pointer is written, before it is renamed
+        calls["n"] = 0
+        with monkeypatch.context() as m:
+            m.setattr(serving.Served, "point", broken(2)(serving.Served.point) if at == 2 else serving.Served.point)
+            m.setattr(serving.Served, "_files", broken(1)(serving.Served._files) if at == 3 else serving.Served._files)
+            rows = {"a": one(2), "b": one(2) if at > 1 else one(2).withColumn("n", F.raise_error(F.lit("lost")).cast("long"))}
+            if at == 0:
+                rows = {"b": rows["b"], "a": rows["a"]}
+            if at == 2:
+                calls["n"] = 9
+            with pytest.raises(Exception, match="lost"):
+                served.publish(rows)
+        assert state() == {"a": 1, "b": 1}
+    version = served.pointer()["version"]
+    held = served.table("a")
+    assert served.publish({"a": served.table("a").unionByName(one(5)), "c": one(3)}) == version + 1
+    assert state()["b"] == 1 and state()["c"] == 3 and held.count() == 1  # a reader of the version before goes on
+    with pytest.raises(RuntimeError, match="published after"):
+        served.point(served.write({"a": one(9)}), version)
+    served.clean()
+    assert served.table("a").count() == 2 and held.count() == 1 and len(list((tmp_path / "served/tables/a").iterdir())) == 2
+    assert served.ask("select n from {a} where cast(n as string) = :x", x="1' or '1' = '1").count() == 0
+
+
+def test_archives_are_pruned_unopened(spark, tmp_path):
+    import zipfile
+
+    from barloom.sources.archives import DailyArchives, date_in
+
+    assert date_in("cm05JAN2024bhav.csv.zip") == dt.date(2024, 1, 5) == date_in("x_20240105.zip") and date_in("none.zip") is None
+    for d in (1, 2, 3):
+        with zipfile.ZipFile(tmp_path / f"bars_2024-01-0{d}.zip", "w") as archive:
+            archive.writestr("a.csv", f"Symbol, Close \nA,{d}\n\nB,{d}\n")
+            archive.writestr("b.CSV", "\ufeffSymbol,Close\nC,\n")
+    (tmp_path / "bars_2024-01-09.zip").write_bytes(b"broken")
+    spark.dataSource.register(DailyArchives)
+    rows = spark.read.format("daily_archives").option("until", "2024-01-03").load(f"file:{tmp_path}")
+    assert rows.rdd.getNumPartitions() == 3
+    got = sorted((r.date.day, r.row["symbol"], r.row["close"]) for r in rows.collect())
+    assert got == sorted([(d, s, str(d)) for d in (1, 2, 3) for s in "AB"] + [(d, "C", "") for d in (1, 2, 3)])
+    assert spark.read.format("daily_archives").option("since", "2025-01-01").load(str(tmp_path)).count() == 0
+    held = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    try:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        pushed = spark.read.format("daily_archives").option("push", "true").load(str(tmp_path)).where("date >= date'2024-01-02' and date < date'2024-01-04' and row['symbol'] = 'A'")
+        assert sorted(r.date.day for r in pushed.collect()) == [2, 3]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", held)
+
+
+def test_locale_order(spark):
+    rows = spark.createDataFrame([(s,) for s in ("b", "B", "a", "á", "A", "z", "Á")], "sym string")
+    names = lambda **k: [r.sym for r in screens.sort_table(rows, "stocks", "sym", **k).collect()]
+    assert names(collation="UNICODE") == ["a", "A", "á", "Á", "b", "B", "z"] and names() == ["A", "B", "a", "b", "z", "Á", "á"]
+    assert names(direction="desc", collation="UNICODE")[0] == "z"
+
+
 def test_sorts_and_first_clicks(spark):
     rows = spark.createDataFrame([("B", "x", 2.0, 3), ("A", "y", 1.0, 1), ("C", "x", 2.0, 2)], "sym string, sector string, price double, tag_rank int")
     names = lambda df: [r["sym"] for r in df.collect()]
