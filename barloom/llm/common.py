@@ -71,6 +71,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.when(plain == "", 0).otherwise(gaps + 1), F.lit(0)).cast("long")
 
 
+def least_hashes(hashed: Column, part: float) -> Column:
+    """Whether a 64-bit hash is among that share of all: whole longs are compared, so no share is too small to hold any."""
+    return hashed <= F.lit(max(-(2**63), min(2**63 - 1, int(part * 2**64) - 2**63)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import Sieve, settle, shuffle_width, sieve
 
 SIMILARITY, RECALL = 0.8, 0.99
-SAMPLES, MOST_REPEATS, SEED = 2, 1024, 5
+SAMPLES, FIRST_REPEATS, MOST_REPEATS, SEED = 2, 256, 1 << 14, 5
 CHUNK = 1 << 18
 ROW = "row long, id {id}, class int, base long, words array<long>, keys array<long>"
 FOUND = "item_id {item}, edits int, words int, similarity double, first_word long, last_word long"
@@ -147,7 +147,7 @@ class Walks:
         # walks over n words last about 2 n steps: only steps that nearly all of them reach are sampled
         steps = max(1, int(2 * shortest - 2 * math.sqrt(2 * shortest)))
         rng = np.random.default_rng([SEED, number])
-        places = np.sort(rng.integers(0, steps, (MOST_REPEATS, SAMPLES)), axis=1)[:repeats]
+        places = np.sort(rng.integers(0, steps, (max(repeats, 4 * FIRST_REPEATS), SAMPLES)), axis=1)[:repeats]
         order = np.argsort(-places[:, -1], kind="stable")  # repeats that end early come last
         self.places, self.names = places[order], order.astype(np.uint64)
         self.salts = _mixed(np.arange(steps, dtype=np.uint64)[:, None] << np.uint64(20) | self.names, number)
@@ -196,7 +196,8 @@ def _repeats_needed(number: int, shortest: int, longest: int, similarity: float,
             copies += [*copy, *rng.integers(0, 2**64, longest, dtype=np.uint64).tolist()]
             bounds.append(len(copies))
         start, begin = np.arange(pairs) * n, np.array(bounds[:-1])
-        for tried in (MOST_REPEATS // 4, MOST_REPEATS):
+        tried = FIRST_REPEATS
+        while True:
             walks = Walks(number, shortest, tried)
             ours = walks.keys(np.concatenate(items), start, start + n)
             theirs = walks.keys(np.array(copies, np.uint64), begin, begin + longest)
@@ -204,8 +205,11 @@ def _repeats_needed(number: int, shortest: int, longest: int, similarity: float,
             first = np.sort(np.where(agree.any(1), agree.argmax(1), tried))[math.ceil(recall * pairs) - 1]
             if first < tried:
                 break
+            tried *= 4
+            if tried > MOST_REPEATS:
+                raise ValueError(f"a recall of {recall} of items of {shortest} words takes more than {MOST_REPEATS} walks: ask for a higher similarity or a lower recall")
         most = max(most, int(first) + 1)
-    return min(most, MOST_REPEATS)
+    return most
 
 
 @dataclass(frozen=True)

@@ -13,12 +13,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import least_hashes
+
 DIM = 1024
 SEED = 7
 #: Different texts that the prototypes are fitted on, at most about; all rows are classified.
 MAX_TRAIN = 20_000
-#: Languages at most, so that the table of prototypes, which every task gets, stays below 16 MB.
-MAX_LANGUAGES = 4_000
+#: Languages whose prototypes a task compares at once; with more there are several passes of the comparison.
+LANGUAGES = 4_096
 CHUNK = 1 << 19
 UNKNOWN = "und"
 #: Letters below this code point keep it as their number; those above share the slots behind it.
@@ -188,12 +190,19 @@ def _classified(texts: list[str | None], names: list[str], matrix, dim: int) ->
             table[text[here], column[here] - at] = count[here]
             vectors += table @ bound
         length = np.linalg.norm(vectors.astype(float), axis=1)
-        cosine = (vectors.astype(float) @ matrix.T) / np.where(length > 0, length, 1)[:, None]
         some = np.zeros(len(rows), bool)
         some[text] = True
         rows = np.array(rows)[some]
-        best[rows] = cosine[some].argmax(1)
-        score[rows] = cosine[some].max(1)
+        unit = vectors.astype(float)[some] / np.where(length > 0, length, 1)[some, None]
+        top = np.full(len(rows), -np.inf)
+        for at in range(0, len(names), LANGUAGES):
+            cosine = unit @ matrix[at : at + LANGUAGES].T
+            found = cosine.argmax(1)
+            here = cosine[np.arange(len(rows)), found]
+            better = here > top
+            best[rows[better]] = at + found[better]
+            top = np.maximum(top, here)
+        score[rows] = top
     return [names[i] if i >= 0 else None for i in best.tolist()], np.clip(score, 0, 1), letters
 
 
@@ -213,11 +222,9 @@ def language(
     fit = fit.withColumn("hash", F.xxhash64("text"))
     part = max_train / max(1, fit.agg(F.approx_count_distinct("hash")).first()[0])
     if part < 1:
-        fit = fit.where(F.pmod("hash", F.lit(1 << 20)) < int(part * (1 << 20)))
+        fit = fit.where(least_hashes(F.col("hash"), part))
     fit = fit.groupBy("hash", "lang").agg(F.first("text").alias("text"))
-    table = prototypes(fit, dim=dim).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()  # one row a language
-    if len(table) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    table = prototypes(fit, dim=dim).orderBy("lang").collect()  # one row a language; the sample bounds their number
     matrix = np.array([x["vector"] for x in table]).reshape(len(table), dim)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     names = [x["lang"] for x in table]

@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.common import least_hashes
+
 #: Labelled findings that the forest is fitted on, at most about; every text is scanned.
 MAX_TRAIN = 50_000
 TREES, DEPTH, SEED = 40, 8, 17
@@ -193,7 +195,7 @@ def train(findings: DataFrame, dictionary: tuple[str, ...] = (), max_train: int
     known = findings.select("text", "first_char", "secret").dropna()
     part = max_train / max(1, known.count())
     if part < 1:
-        known = known.where(F.pmod(F.xxhash64("text", "first_char"), F.lit(1 << 20)) < int(part * (1 << 20)))
+        known = known.where(least_hashes(F.xxhash64("text", "first_char"), part))
     rows = _described(known, "text", dictionary).select("first_char", "secret", F.explode("held").alias("x")).where("x.first_char = first_char")
     rows = rows.select(F.col("secret").cast("double").alias("label"), F.col("x.features").alias("features"))
     # a bounded table: one partition in a fixed order, so that reruns draw the same bootstrap samples

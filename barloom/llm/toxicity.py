@@ -365,12 +365,14 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = SEED) -
     every, begins = np.concatenate(held), np.cumsum([0, *map(len, held)])
     step = 0
     passes = min(MOST_PASSES, max(LEAST_PASSES, -(-STEPS * BATCH // len(texts))))
+    total = passes * -(-len(texts) // BATCH)
+    mean = {k: np.zeros_like(v) for k, v in network.p.items()}
+    averaged = 0
     for epoch in range(passes):
         top = None
         if epoch >= passes // 4:
             logits = network.logits(every, network.projected(whole))
             top = [int(logits[a:b].argmax()) for a, b in zip(begins, begins[1:], strict=False)]
-        rate = RATE if epoch < passes * 5 // 8 else RATE / 3
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows, targets, weights = [], [], []
@@ -390,12 +392,19 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = SEED) -
             features[0][rng.random(len(used)) < 0.2] = 0  # so that the characters learn too
             grads = network.gradients(local, features, np.array(targets), np.array(weights, np.float32) / BATCH)
             step += 1
+            rate = RATE * (0.05 + 0.95 * (1 + math.cos(math.pi * min(1, step / total))) / 2)
             for k, g in grads.items():
                 first, second = moments[k]
                 first += 0.1 * (g - first)
                 second += 0.001 * (g * g - second)
                 network.p[k] *= 1 - DECAY if k in ("words", "grams") else 1
                 network.p[k] -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+            if 3 * step > 2 * total:  # the parameters of the last third are averaged
+                averaged += 1
+                for k, v in network.p.items():
+                    mean[k] += (v - mean[k]) / averaged
+    if averaged:
+        network.p = mean
     toxic = float(label.mean())
     odds = lambda p: math.log(p / (1 - p))
     network.shift = odds(min(max(share, 1e-6), 1 - 1e-6)) - odds(toxic)

@@ -65,8 +65,9 @@ def test_learns_words_and_begins(spark):
     rows = invented(random.Random(4), 500)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("train", F.lit(0))
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
-    far = "la " * 30_000 + "zorq vex zorq " + "no " * 500
-    odd = [(900, None), (901, ""), (902, " \n\t"), (None, "la zorq vex quaxla"), (903, far), (903, far), (904, "x" * 100_000), (905, "la " * 30_000)]
+    plain = " ".join(r[1] for r in invented(random.Random(5), 200, 0.0))
+    far = plain + " zorq vex zorq " + plain
+    odd = [(900, None), (901, ""), (902, " \n\t"), (None, "la zorq vex quaxla"), (903, far), (903, far), (904, "x" * 100_000), (905, plain)]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     held = F.col("doc_id") % 4 == 2
     got = score_toxicity(more, labels, train=~held).collect()
