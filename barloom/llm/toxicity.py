@@ -37,7 +37,7 @@ LONG = 32
 SLICE, GROUP, KEPT, STEP = 1 << 20, 1 << 17, 3 << 16, 512
 #: Steps of the training, about, in at least and at most so many passes over the sample, a quarter of which treat all windows alike.
 STEPS, LEAST_PASSES, MOST_PASSES = 400, 8, 20
-BATCH, RATE, DECAY, SEED = 32, 0.01, 0.01, 12
+BATCH, RATE, DECAY, SEED = 32, 0.01, 0.003, 12
 THRESHOLD = 0.3
 _TRIM = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 

@@ -62,12 +62,12 @@ def invented(rng, n, toxic_share=0.3):
 
 
 def test_learns_words_and_begins(spark):
-    rows = invented(random.Random(4), 500)
+    rows = invented(random.Random(4), 1200)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("train", F.lit(0))
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
     plain = " ".join(r[1] for r in invented(random.Random(5), 200, 0.0))
     far = plain + " zorq vex zorq " + plain
-    odd = [(900, None), (901, ""), (902, " \n\t"), (None, "la zorq vex quaxla"), (903, far), (903, far), (904, "x" * 100_000), (905, plain)]
+    odd = [(9000, None), (9001, ""), (9002, " \n\t"), (None, "la zorq vex quaxla"), (9003, far), (9003, far), (9004, "x" * 100_000), (9005, plain)]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     held = F.col("doc_id") % 4 == 2
     got = score_toxicity(more, labels, train=~held).collect()
@@ -75,8 +75,8 @@ def test_learns_words_and_begins(spark):
     by = {r.id: r.score for r in got}
     right = [(by[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in rows if i % 4 == 2]
     assert np.mean(right) > 0.93
-    assert by[900] == by[901] == by[902] == 0
-    assert by[None] > 0.5 and by[903] > 0.5 and by[905] < 0.3
+    assert by[9000] == by[9001] == by[9002] == 0
+    assert by[None] > 0.5 and by[9003] > 0.5 and by[9005] < 0.3
 
 
 def test_whole_texts_are_read_alike():
