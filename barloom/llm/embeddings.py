@@ -2,13 +2,17 @@
 
 Vectors are normalised, so cosine ``c`` is Euclidean distance ``sqrt(2 - 2c)``.  A table
 hashes a vector by Gaussian projections, shifted and cut into cells of width ``WIDTH``;
-vectors that meet in a cell of any table are compared by exact cosine.
+vectors that meet in a cell of any table are compared.
+
+To the tables go ids and signatures: the signs of 192 further projections.  Two vectors whose
+signatures differ in more bits than all but ``MISS`` of the pairs at the threshold do are set
+aside; only vectors that have a partner left in a cell are fetched and compared by exact cosine.
 
 How many projections a table has and how many tables there are follows from the number of
 vectors of the largest label, so that a vector meets about ``FAR`` unrelated ones (cosine 0) a
 table, and from the recall at the threshold.  At cosine 0.93 one projection agrees with
-probability 0.881; 14 projections and 29 tables find such a pair with 0.995 and serve up to
-57,000 vectors a label.  From there on the tables grow as the vectors to the power 0.22.
+probability 0.881; 6 projections and 9 tables find such a pair with 0.995 and serve up to
+60,000 vectors a label.  From there on the tables grow about as the vectors to the power 0.25.
 """
 
 from __future__ import annotations
@@ -20,16 +24,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width, stored
+from barloom.llm.common import settle, shuffle_width, sieve, stored
 from barloom.llm.components import connected_components
 from barloom.llm.verify import pairs_within, whole_blocks
 
-WIDTH, RECALL, FAR, SEED = 2.5, 0.995, 20, 11
-LEAST_PROJECTIONS = 14
+#: Many strangers a cell are cheap, since signatures sort them out; tables are not, since each gets all vectors' signatures.
+WIDTH, RECALL, FAR, SEED = 2.5, 0.995, 2000, 11
+LEAST_PROJECTIONS = 6
+#: Share of the pairs at the threshold that each of the two tests of signatures may lose.
+MISS = 1e-6
 #: Vectors of a cell that are compared in one block; larger cells become pairs of blocks.
-BLOCK = 2048
+BLOCK = 8192
 #: Rows of such a product at once, and vectors of a block from which on it is one.
 STRIP, MATRIX = 512, 128
+#: Rows whose signatures are compared with a block's at once, few enough to stay in a processor's cache.
+SIGNED_STRIP = 32
 
 
 def agreement(cosine: float, width: float = WIDTH) -> float:
@@ -56,6 +65,16 @@ def plan(vectors: int, threshold: float, recall: float = RECALL) -> Plan:
     return Plan(projections, math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet < 1 else 1)
 
 
+def most_apart(bits: int, threshold: float, miss: float = MISS) -> int:
+    """The number of sign bits of which a pair at the threshold differs in more with probability ``miss`` at most."""
+    part = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    left, at = 1.0, -1
+    while left > miss and at < bits:
+        at += 1
+        left -= math.comb(bits, at) * part**at * (1 - part) ** (bits - at)
+    return at
+
+
 class Tables:
     """The random projections for vectors of one length; the same in every process."""
 
@@ -67,6 +86,7 @@ class Tables:
         self.directions = rng.standard_normal((dim, total))
         self.shifts = rng.uniform(0, WIDTH, total)
         self.mixers = rng.integers(1, 2**63, (of.tables, of.projections), dtype=np.int64) | 1
+        self.signs = np.random.default_rng([SEED, dim, 1]).standard_normal((dim, 192))
 
     def cells(self, unit, tables: int):
         """One 64-bit cell number for each vector and each of the first ``tables`` tables."""
@@ -78,6 +98,13 @@ class Tables:
         return (mixed ^ (mixed >> 29)) * np.int64(-7046029254386353131) + np.arange(tables)
 
 
+    def signatures(self, unit):
+        """Three longs of signs for each vector."""
+        import numpy as np
+
+        return np.packbits(unit @ self.signs > 0, axis=1).view(np.int64)
+
+
 _TABLES: dict[tuple[int, Plan], Tables] = {}
 
 
@@ -123,8 +150,8 @@ def _units(raws: list[bytes], kind: str):
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _hashed(batches: Iterator, of: Plan, kind: str) -> Iterator:
-    """(id, pool, raw) to one row a table: (id, table, cell)."""
+def _hashed(batches: Iterator, of: Plan, kind: str, keep) -> Iterator:
+    """(id, pool, raw) to one row a table whose cell passes ``keep``: (id, table, cell, one, two, three), the last three the signature."""
     import numpy as np
     import pyarrow as pa
 
@@ -137,10 +164,42 @@ def _hashed(batches: Iterator, of: Plan, kind: str) -> Iterator:
             for at in range(0, len(rows), 1024):
                 part = rows[at : at + 1024]
                 unit = _units([raws[i] for i in part], kind)
-                cells = _tables(unit.shape[1], of).cells(unit, of.tables)
-                cells = (cells ^ pools[part, None]) * np.int64(-4658895280553007687)
-                columns = [np.repeat(ids[part], of.tables), np.tile(table, len(part)), cells.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "table", "cell"])
+                drawn = _tables(unit.shape[1], of)
+                cells = (drawn.cells(unit, of.tables) ^ pools[part, None]) * np.int64(-4658895280553007687)
+                signs = np.repeat(drawn.signatures(unit), of.tables, 0)
+                columns = [np.repeat(ids[part], of.tables), np.tile(table, len(part)), cells.ravel(), *signs.T]
+                kept = keep(columns[2])
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in columns], ["id", "table", "cell", "one", "two", "three"])
+
+
+def _partnered(batches: Iterator, limits: tuple[int, int]) -> Iterator:
+    """Of rows that come sorted by cell and block, those with another of their block within the limits of the signatures."""
+    import numpy as np
+    import pyarrow as pa
+
+    for rows, starts in whole_blocks(batches, ("cell", "low", "high")):
+        one, two, three = (rows.column(x).to_numpy().view(np.uint64) for x in ("one", "two", "three"))
+        side, low, high = (rows.column(x).to_numpy() for x in ("side", "low", "high"))
+        size, stay = np.diff(np.append(starts, len(one))), np.zeros(len(one), bool)
+
+        def meet(i, j, one=one, two=two, three=three, side=side, low=low, high=high, stay=stay) -> None:
+            apart = np.bitwise_count(one[i] ^ one[j]) + np.bitwise_count(two[i] ^ two[j]) + np.bitwise_count(three[i] ^ three[j])
+            near = (apart <= limits[1]) & ((low[i] == high[i]) | (side[i] != side[j]))
+            stay[i[near]] = stay[j[near]] = True
+
+        for start, n in zip(starts[size > MATRIX].tolist(), size[size > MATRIX].tolist(), strict=True):
+            for at in range(start, start + n, SIGNED_STRIP):
+                i, j = np.nonzero(np.bitwise_count(one[at : at + SIGNED_STRIP, None] ^ one[None, at : start + n]) <= limits[0])
+                later = j > i
+                meet(i[later] + at, j[later] + at)
+        where = np.nonzero(np.repeat(size <= MATRIX, size))[0]
+        if len(where):
+            small = np.cumsum(np.append(0, size[size <= MATRIX]))[:-1]
+            for i, j in pairs_within(small, len(where)):
+                i, j = where[i], where[j]
+                near = np.bitwise_count(one[i] ^ one[j]) <= limits[0]
+                meet(i[near], j[near])
+        yield rows.filter(pa.array(stay)).select(["id", "table", "cell", "side", "low", "high"])
 
 
 def _near(unit, side, threshold: float):
@@ -222,6 +281,30 @@ def _compared(batches: Iterator, threshold: float, of: Plan, kind: str) -> Itera
             yield _links(part, starts, threshold, of, kind)
 
 
+def _dealt(slim: DataFrame, of: Plan, kind: str) -> DataFrame:
+    """Rows (id, table, cell, one, two, three, side, low, high): every vector in every table; crowded cells become pairs of blocks.
+
+    Which cells are crowded is told by a sieve, and exactly by a join for what passes it.
+    """
+    import numpy as np
+
+    schema = "id long, table int, cell long, one long, two long, three long"
+    cells = slim.mapInArrow(lambda it: _hashed(it, of, kind, lambda x: np.ones(len(x), bool)), schema)
+    sizes = cells.groupBy("cell").count().where(F.col("count") > BLOCK)
+    crowded = settle(sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    nil = F.lit(0)
+    if crowded.isEmpty():
+        return cells.withColumns({x: nil for x in ("side", "low", "high")})
+    marks = slim.sparkSession.sparkContext.broadcast(sieve(crowded.select("cell")))
+    plain = slim.mapInArrow(lambda it: _hashed(it, of, kind, lambda x: ~marks.value(x.view(np.uint64))), schema)
+    held = slim.mapInArrow(lambda it: _hashed(it, of, kind, lambda x: marks.value(x.view(np.uint64))), schema)
+    split = held.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("side", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(nil, F.col("blocks") - 1)))
+    split = split.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+    return plain.withColumns({x: nil for x in ("side", "low", "high")}).unionByName(split.drop("blocks", "other"))
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.93,
@@ -254,16 +337,12 @@ def near_duplicates(
     classes = stored(grouped.withColumn("class", F.xxhash64("key")))
     largest = classes.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
     of = plan(largest, threshold)
-    slim = classes.select(F.col("class").alias("id"), "pool", "raw").repartition(shuffle_width(spark), "id")
-    cells = stored(slim.mapInArrow(lambda it: _hashed(it, of, kind), "id long, table int, cell long"))
-    sizes = cells.groupBy("cell").count().where("count > 1")
-    shared = cells.join(sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "cell")
-    side = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = shared.select("cell", "table", "id", side.alias("side"), other)
-    dealt = dealt.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other")
+    slim = classes.select(F.col("class").alias("id"), "pool", "raw")
+    dealt = _dealt(slim, of, kind).repartition(shuffle_width(spark), "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "id")
+    limits = (most_apart(64, threshold), most_apart(192, threshold))
+    partnered = stored(dealt.mapInArrow(lambda it: _partnered(it, limits), "id long, table int, cell long, side int, low int, high int"))
     units = classes.select(F.col("class").alias("id"), "pool", "n", "raw")
-    laid = dealt.join(units, "id").repartition(shuffle_width(spark), "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "id")
+    laid = partnered.join(units, "id").repartition(shuffle_width(spark), "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "id")
     found = settle(laid.mapInArrow(lambda it: _compared(it, threshold, of, kind), "a long, b long, links long"))
 
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))

@@ -21,14 +21,23 @@ def test_agreement_is_that_of_projections():
 
 def test_plans_follow_the_vectors():
     plans = [embeddings.plan(10**n, 0.93) for n in range(1, 10)]
-    assert plans[0] == plans[3] == embeddings.Plan(14, 29)
+    assert plans[0] == plans[3] == embeddings.Plan(6, 9)
     tables = [p.tables for p in plans]
-    assert tables == sorted(tables) and tables[-1] < 29 * (10**9 / 57_000) ** 0.25
+    assert tables == sorted(tables) and tables[-1] < 10 * (10**9 / 60_000) ** 0.25
     for n, p in enumerate(plans, 1):
         meet = embeddings.agreement(0.93) ** p.projections
         assert 1 - (1 - meet) ** p.tables >= 0.995 and 10**n * embeddings.agreement(0.0) ** p.projections <= embeddings.FAR
 
 
+def test_signatures_lose_next_to_nothing():
+    part = math.acos(0.93) / math.pi
+    for bits in (64, 192):
+        most = embeddings.most_apart(bits, 0.93)
+        tail = [sum(math.comb(bits, k) * part**k * (1 - part) ** (bits - k) for k in range(least, bits + 1)) for least in (most + 1, most)]
+        assert tail[0] <= embeddings.MISS < tail[1]
+    assert embeddings.most_apart(64, 1.0) == 0 and embeddings.most_apart(64, -1.0) == 64
+
+
 def planted(rng, pairs, dim, cosine):
     """Pairs of vectors of exactly that cosine, far from all others."""
     a = rng.standard_normal((pairs, dim))
