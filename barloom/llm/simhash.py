@@ -4,11 +4,15 @@ A fingerprint's Hamming distances to fixed reference fingerprints (pivots) are i
 coordinates.  By the triangle inequality two fingerprints within 2 bits differ by at most 2
 in every coordinate, so pairs with a larger difference are discarded before the exact test.
 
-The pivots are the zero fingerprint and, for each block of bits, patterns that are zero
-outside the block.  Less the distance to the zero pivot, the coordinates of a block's pivots
-depend on the bits of that block alone.  Of four blocks, two fingerprints within 2 bits agree
-on at least two, hence share the coordinates of two whole blocks: those are the keys of an
-equi-join that loses no pair.  A key that many fingerprints share is split: the two blocks
+``REFERENCES`` pivots are spread over all 64 bits; the distances to them are computed once a
+fingerprint, packed eight to a long, and stored.  Pairs that meet are discarded by them, and
+only what is left is tested exactly.
+
+Which pairs meet is told by further pivots: the zero fingerprint and, for each block of bits,
+patterns that are zero outside the block.  Less the distance to the zero pivot, the
+coordinates of a block's pivots depend on the bits of that block alone.  Of four blocks, two
+fingerprints within 2 bits agree on at least two, hence share the coordinates of two whole
+blocks: those are the keys of an equi-join that loses no pair.  A key that many fingerprints share is split: the two blocks
 it leaves open are cut into four, of which again two agree, and the coordinates of their own
 pivots go into the longer key.  After four such levels 4 bits are open, so a key is shared by
 16 fingerprints at most.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,9 @@ RADIUS = 2
 #: Bits of a block at each level, and random pivots of a block.
 WIDTHS = (16, 8, 4, 2)
 PIVOTS_PER_BLOCK = 12
+#: Pivots of the stored distance table, and its columns of eight distances each.
+REFERENCES = 32
+TABLE = tuple(f"far{i}" for i in range(REFERENCES // 8))
 #: Most fingerprints of one key that are compared in pairs; beyond it the key is split.
 BUCKET = 48
 
@@ -44,9 +52,17 @@ def patterns(width: int) -> list[int]:
     return sorted({int(x) for x in drawn} | {1 << i for i in range(width)})
 
 
-def pivots() -> list[int]:
-    """Reference fingerprints: zero, then those of every block of the first level."""
-    return [0] + [x << at for at in range(0, 64, WIDTHS[0]) for x in patterns(WIDTHS[0])]
+def references() -> list[int]:
+    """The pivots of the stored table: random fingerprints of 64 bits."""
+    import numpy as np
+
+    return np.random.default_rng([SEED, REFERENCES]).integers(0, 2**64, REFERENCES, dtype=np.uint64).tolist()
+
+
+def distances(fp: Column) -> list[Column]:
+    """The columns of the table: distances to the references, a byte each."""
+    far = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(x)))).cast("long") for x in references()]
+    return [reduce(Column.bitwiseOR, [F.shiftleft(far[at + i], 8 * i) for i in range(8)]).alias(name) for name, at in zip(TABLE, range(0, REFERENCES, 8), strict=True)]
 
 
 def _signed(x: int) -> int:
@@ -113,14 +129,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(lambda it: _fingerprints(it, shingle), f"id {kind}, fp long")
 
 
-def _near(x: Column, y: Column) -> Column:
-    """Whether no distance to a pivot differs by more than the radius."""
-    references = F.array(*[F.lit(_signed(p)) for p in pivots()])
-    return F.forall(references, lambda p: F.abs(F.bit_count(x.bitwiseXOR(p)) - F.bit_count(y.bitwiseXOR(p))) <= RADIUS)
+def near(x: str, y: str) -> Column:
+    """Whether no stored distance of the rows of those aliases differs by more than the radius."""
+    def byte(side: str, name: str, at: int) -> Column:
+        return F.shiftright(F.col(f"{side}.{name}"), at).bitwiseAND(F.lit(255))
+
+    return reduce(Column.__and__, [F.abs(byte(x, name, at) - byte(y, name, at)) <= RADIUS for at in range(0, 64, 8) for name in TABLE])
 
 
 def _split(keyed: DataFrame, width: int) -> DataFrame:
-    """Rows (key, fp, one, two) to those of the next level, whose keys hold two blocks more.
+    """Rows (key, fp, one, two) and the stored distances to those of the next level, whose keys hold two blocks more.
 
     ``one`` and ``two`` are the first bits of the open blocks, each twice ``width`` wide; at
     the first level, 0 and 32.
@@ -138,18 +156,19 @@ def _split(keyed: DataFrame, width: int) -> DataFrame:
         key = F.xxhash64("key", F.lit(n), F.col("c")[a], F.col("c")[b])
         choices.append(F.struct(key.alias("key"), left[0].cast("int").alias("one"), left[1].cast("int").alias("two")))
     held = keyed.withColumn("c", F.array(*[coordinates(x) for x in starts]))
-    return held.select("fp", F.inline(F.array(*choices)))
+    return held.select("fp", *TABLE, F.inline(F.array(*choices)))
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The pairs (a, b) of fingerprints (column ``fp``, distinct) within 2 bits; a pair may come more than once."""
     def pairs(rows: DataFrame) -> DataFrame:
-        x, y = rows.select("key", "fp").alias("x"), rows.select("key", "fp").alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near(F.col("x.fp"), F.col("y.fp")))
-        met = met.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
+        x, y = rows.select("key", "fp", *TABLE).alias("x"), rows.select("key", "fp", *TABLE).alias("y")
+        left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near("x", "y"))
+        met = left.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
         return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
-    keyed = prints.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("one"), F.lit(32).alias("two"))
+    table = settle(prints.select("fp", *distances(F.col("fp"))))
+    keyed = table.select("fp", *TABLE, F.lit(0).cast("long").alias("key"), F.lit(0).alias("one"), F.lit(32).alias("two"))
     found = None
     for width in WIDTHS:
         keyed = settle(_split(keyed, width))

@@ -108,6 +108,21 @@ def test_simhash_split_keys_find_the_same(spark):
     assert few == many == {x: r for x, r in brute.items() if x != r}
 
 
+def test_simhash_table_discards_far_pairs_only(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    close = [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base]
+    half = [x & 0xFFFFFFFF | rng.getrandbits(32) << 32 for x in base]  # these share a key with their bases
+    rows = [(i, x - 2**64 if x >= 2**63 else x, kind) for kind, xs in (("base", base), ("close", close), ("half", half)) for i, x in enumerate(xs)]
+    table = spark.createDataFrame(rows, "i int, fp long, kind string").withColumns(dict(zip(simhash.TABLE, simhash.distances(F.col("fp")), strict=True)))
+    stored = {(r["i"], r["kind"]): [r[c] >> at & 255 for c in simhash.TABLE for at in range(0, 64, 8)] for r in table.collect()}
+    assert stored[0, "base"] == [(base[0] ^ x).bit_count() for x in simhash.references()]
+    kept = table.where("kind = 'base'").alias("x").join(table.where("kind != 'base'").alias("y"), "i").where(simhash.near("x", "y"))
+    counts = dict(kept.groupBy("y.kind").count().collect())
+    far = sum((a ^ b).bit_count() > 2 for a, b in zip(base, half, strict=True))
+    assert counts["close"] == 300 and far > 290 and counts.get("half", 0) <= 300 - far + 6
+
+
 def test_simhash_awkward(spark):
     found = simhash.near_duplicates(awkward(spark)).collect()
     assert len(found) == len(AWKWARD)
