@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions import categories as cat
 from barloom.operators import actions as act
 from barloom.operators import candles, carried, indicators, metrics, news, screens, serving, sessions, store, watchlist
+from barloom.plans import nightly
 from barloom.plans.snapshot import snapshot, status, summary
 from barloom.queries import CTES, Inputs, _r, _rounded, query
 from barloom.sources import curated, raw
@@ -545,3 +546,97 @@ def sorted_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     screens.sort_table(rows, "stocks", "sym", collation="UNICODE").coalesce(1).write.parquet(path)  # one sorted file: a few thousand names
     placed = spark.read.parquet(path).withColumn("_at", F.monotonically_increasing_id())
     return placed.select("sym", (F.rank().over(W.orderBy("_at"))).cast("long").alias("place"))
+
+
+# --- what the lake holds, and the nightly run ---------------------------------------------------
+
+
+def _lake(given: Inputs) -> tuple[str, DataFrame]:
+    """The bars as a yearly table, and holdings that were made before its last year and carried into it."""
+    root = scratch(given.spark)
+    store.write_years(given("bars"), f"{root}/daily")
+    bars = given.spark.read.parquet(f"{root}/daily")
+    last = bars.agg(F.max("year")).first()[0]
+    carried.yearly_holdings(bars.where(F.col("year") < last)).write.parquet(f"{root}/before")
+    carried.carried_holdings(given.spark.read.parquet(f"{root}/before"), bars, last).write.parquet(f"{root}/held")
+    return f"{root}/daily", given.spark.read.parquet(f"{root}/held")
+
+
+@query("select count(*) as bars, count(distinct symbol) as symbols, count(distinct date) as sessions, min(date) as first_date, max(date) as last_date from bars")
+def lake_summary_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary from footers and carried bits: no column of the bars is read for it."""
+    daily, held = _lake(Inputs(spark, sf_dir))
+    counts = carried.footer_counts(spark, daily).first()  # one row, of a session of its own
+    summary = carried.held_summary(held)
+    return summary.select(F.lit(counts["bars"]).alias("bars"), "symbols", "sessions", F.lit(counts["first_date"]).alias("first_date"), F.lit(counts["last_date"]).alias("last_date"))
+
+
+@query("select symbol, count(distinct date) as sessions from bars group by 1")
+def symbol_coverage_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carried.held_coverage(_lake(Inputs(spark, sf_dir))[1])
+
+
+@query(
+    "select 'price' as what, sym as name, sector, round(price, 4) as value from flagged "
+    "union all select 'delivery', sym, sector, cast(volume::bigint % 100 as double) from "
+    "(select f.sym, f.sector, b.volume from flagged f join bars b on b.symbol = f.sym and b.date = f.date) "
+    "union all select 'below', sym, sector, round(dist_ath, 4) from flagged "
+    "union all select 'score', sector, sector, cast(score as double) from scores "
+    "union all select 'breadth', cast(date as varchar), '', cast(advances as double) from history "
+    "union all select 'stored', 'bars', '', cast(count(*) as double) from bars where close > 0 "
+    "union all select 'stored', 'actions', '', cast(count(*) as double) from actions "
+    "union all select 'log', 'publish', 'ok', 2.0 union all select 'log', 'reference', 'failed', 1.0"
+)
+def nightly_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last session comes in as vendor files: the run publishes it, then runs again, once without a list that can be read."""
+    given, root = Inputs(spark, sf_dir), scratch(spark)
+    bars = given("bars").where("close > 0")
+    last = bars.agg(F.max("date")).first()[0]
+    before, session = F.col("date") < F.lit(last), bars.where(F.col("date") == F.lit(last))
+    full = bars.select(
+        "symbol", "date", F.lit("EQ").alias("series"), F.lit(None).cast("string").alias("isin"), "open", "high", "low", "close",
+        F.lit(None).cast("double").alias("prev_close"), "volume", "traded_value", "trades",
+    )
+    store.write_years(full.where(before), f"{root}/daily")
+    store.write_years(given("index_bars").where(before), f"{root}/index_daily", key="index_name")
+
+    def filings(which: str) -> str:
+        return _json(given("filings").where(which).select("symbol", "subject", F.date_format("ex", "dd-MMM-yyyy").alias("exDate")))
+
+    nightly.refresh_actions(spark, root, filings("g < 2"))
+    names = {"open": "Open Index Value", "high": "High Index Value", "low": "Low Index Value", "close": "Closing Index Value"}
+    values = {**{c: F.col(c) for c in ("symbol", "open", "high", "low", "close", "volume", "traded_value", "trades")}, "series": F.lit("EQ"), "isin": F.lit(""), "prev_close": F.lit("")}
+    record = F.concat_ws(",", F.lit("20"), F.lit("1"), "symbol", F.lit("EQ"), "volume", "volume", F.col("volume") % 100)
+    delivery = scratch(spark)
+    session.select(record.alias("value")).write.text(delivery)
+    files = nightly.Files(
+        _csv(session.select(*[values[k].cast("string").alias(v.upper()) for k, v in raw.LAYOUTS["old"].items()])),
+        _csv(given("index_bars").where(F.col("date") == F.lit(last)).select(F.initcap("index_name").alias("Index Name"), *[F.col(k).cast("string").alias(v) for k, v in names.items()])),
+        {"all": _csv(given("sectors").select(F.col("name").alias("Company Name"), F.col("industry").alias("Industry"), F.col("symbol").alias("Symbol"), F.lit("").alias("ISIN Code")))},
+        filings("g = 2"), delivery,
+    )
+    nightly.run(spark, root, str(last), files, ("ALL",))
+    files.lists = {"all": f"{root}/none.csv"}
+    nightly.run(spark, root, str(last), files, ("ALL",))
+    served = serving.Served(spark, f"{root}/published")
+    stocks, log = served.table("stock_metrics"), served.table("ingest_log")
+    row = lambda df, what, name, sector, value: df.select(
+        F.lit(what).alias("what"), name.cast("string").alias("name"), sector.alias("sector"), value.cast("double").alias("value")
+    )
+    count = lambda path: spark.read.parquet(f"{root}/{path}").agg(F.count("*").alias("n"))
+    noted = log.where("job = 'publish' or status = 'failed'").groupBy("job", "status").agg(F.count("*").alias("n"))
+    nothing = F.lit("")
+    parts = [
+        row(stocks, "price", F.col("sym"), F.col("sector"), _rounded(F.col("price"))),
+        row(stocks.where("delivery_pct is not null"), "delivery", F.col("sym"), F.col("sector"), F.col("delivery_pct")),
+        row(stocks, "below", F.col("sym"), F.col("sector"), _rounded(F.col("dist_ath"))),
+        row(served.table("sector_scores"), "score", F.col("sector"), F.col("sector"), F.col("score")),
+        row(served.table("breadth_daily"), "breadth", F.col("date"), nothing, F.col("advances")),
+        row(count("daily"), "stored", F.lit("bars"), nothing, F.col("n")),
+        row(count("corporate_actions"), "stored", F.lit("actions"), nothing, F.col("n")),
+        row(noted, "log", F.col("job"), F.col("status"), F.col("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

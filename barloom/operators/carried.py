@@ -7,7 +7,7 @@ again from their bars, and no others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjusted_bars, applied, with_later_factor
@@ -114,3 +114,47 @@ def current_averages(state: DataFrame, actions: DataFrame, periods: tuple[int, .
     """Rows (symbol, date, e<period>...), by the prices of now."""
     rows = with_later_factor(state, actions).withColumn("value", F.col("value") / F.col("k"))
     return rows.groupBy("symbol", "date").agg(*[F.max(F.when(F.col("period") == p, F.col("value"))).alias(f"e{p}") for p in periods])
+
+
+# --- what the lake holds -----------------------------------------------------------------------
+
+
+def footer_counts(spark: SparkSession, root: str) -> DataFrame:
+    """One row (bars, first_date, last_date) of a yearly table, from the files' footers alone.
+
+    It is planned in a session of its own, whose reader takes counts and extremes from the
+    footers; in the caller's session nothing changes.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    rows = own.read.parquet(root)
+    return rows.agg(F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def yearly_holdings(bars: DataFrame) -> DataFrame:
+    """Rows (year, symbol, part, days): for each symbol and year the days that it has bars on, as bits.
+
+    A day is one bit of ``part``, a stretch of 32,768 days, so a row holds at most 4 kB.
+    """
+    day = F.unix_date("date")
+    by = bars.groupBy(F.year("date").alias("year"), "symbol", F.bitmap_bucket_number(day).alias("part"))
+    return by.agg(F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("days"))
+
+
+def carried_holdings(held: DataFrame, bars: DataFrame, year: int) -> DataFrame:
+    """The holdings once ``year`` has new bars; of ``bars``, which has a column ``year``, earlier years are not read."""
+    fresh = yearly_holdings(bars.where(F.col("year") >= year))
+    return held.where(F.col("year") < year).select(*fresh.columns).unionByName(fresh)
+
+
+def held_coverage(held: DataFrame) -> DataFrame:
+    """Rows (symbol, sessions): on how many days each symbol has bars."""
+    parts = held.groupBy("symbol", "part").agg(F.bitmap_count(F.bitmap_or_agg("days")).alias("n"))
+    return parts.groupBy("symbol").agg(F.sum("n").alias("sessions"))
+
+
+def held_summary(held: DataFrame) -> DataFrame:
+    """One row (symbols, sessions) of all holdings: the days' bits of all symbols are merged before they are counted."""
+    parts = held.groupBy("part").agg(F.bitmap_count(F.bitmap_or_agg("days")).alias("n"))
+    return held.agg(F.count_distinct("symbol").alias("symbols")).crossJoin(parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sessions")))  # one row each

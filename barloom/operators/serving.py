@@ -107,15 +107,16 @@ READS = {
     "breadth_since": "select * from {breadth_daily} where date >= cast(:date as date) order by date",
     "index_tail": "select * from {index_bars} where index_name = :name order by date desc limit :rows",
     "candles": "select * from {stock_candles} where symbol = :symbol",
+    "meta": "select value from {meta} where key = :key",
     "log_of": "select * from {ingest_log} where job = :job and status = :status order by ts desc limit :rows",
 }
 
 
-def publish_session(served: Served, stocks: DataFrame, sectors: DataFrame, breadth: DataFrame, candles: DataFrame, indices: DataFrame, log: DataFrame | None = None) -> int:
+def publish_session(served: Served, stocks: DataFrame, sectors: DataFrame, breadth: DataFrame, candles: DataFrame, indices: DataFrame, log: DataFrame | None = None, meta: DataFrame | None = None) -> int:
     """One nightly publication: the session's rows replace their like, and everything becomes visible at once.
 
     ``sectors`` and ``breadth`` have a ``date``; ``indices`` are rows (index_name, date, ...);
-    ``log`` rows are appended.
+    ``log`` rows are appended, ``meta`` rows (key, value) replace those of their keys.
     """
     held = set(served.names())
     old = lambda name: served.table(name) if name in held else None
@@ -133,4 +134,6 @@ def publish_session(served: Served, stocks: DataFrame, sectors: DataFrame, bread
     }
     if log is not None:
         tables["ingest_log"] = merged("ingest_log", log, lambda a, b: a.unionByName(b))
+    if meta is not None:
+        tables["meta"] = merged("meta", meta, lambda a, b: store.upsert(a, b, ["key"]))
     return served.publish(tables)

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -33,6 +34,21 @@ def write_years(bars: DataFrame, root: str, key: str = "symbol", force: bool = T
     writer.partitionBy("year").parquet(root)
 
 
+def add_sessions(new: DataFrame, root: str, key: str = "symbol") -> None:
+    """Put the sessions of ``new`` into the yearly table, each in place of what was stored of it.
+
+    Only the years of ``new`` are read and written, so other sessions of a growing year stay,
+    and doing it again changes nothing.
+    """
+    spark = new.sparkSession
+    try:
+        held = spark.read.schema(StructType([*new.schema.fields, StructField("year", IntegerType())])).parquet(root)
+    except AnalysisException:
+        return write_years(new, root, key)  # nothing is stored yet
+    years = [r["year"] for r in new.select(F.year("date").alias("year")).distinct().collect()]  # a row a year
+    write_years(replace_session(held.where(F.col("year").isin(years)).drop("year"), new), root, key)
+
+
 def read_years(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
     """The yearly table; a start date prunes years as well as rows."""
     rows = spark.read.parquet(root)

@@ -29,6 +29,8 @@ class Snapshot:
     history: DataFrame
     candles: DataFrame
     indices: DataFrame
+    #: The rows that ``indices`` are made of.
+    index_rows: DataFrame
 
 
 def corporate_actions(filings: DataFrame, bars: DataFrame, order: tuple[str, ...] = ("source_ex_date", "subject")) -> DataFrame:
@@ -55,7 +57,7 @@ def snapshot(
     active = recent.join(sessions.latest(traded).select("symbol").distinct(), "symbol", "left_semi")
     return Snapshot(
         adjusted, axis, with_all, stocks, metrics.sector_scores(stocks), breadth.breadth_history(with_all, axis, history),
-        candles.candle_payload(active), candles.index_series(indices),
+        candles.candle_payload(active), candles.index_series(indices), indices,
     )
 
 

@@ -407,15 +407,64 @@ def test_command_line(spark, tmp_path, capsys):
     head = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,ISIN\n"
     for d in range(3):
         (tmp_path / f"{d}.csv").write_text(head + f"ABC,EQ,10,{12 + d},9,{10 + d},10,100,1000,X\n")
-    files = [raw.daily_bars(raw.csv_rows(spark, f"{tmp_path}/{d}.csv"), F.lit(day(d)).cast("date")) for d in range(2)]
-    store.write_years(files[0].withColumn("date", F.lit(dt.date(2023, 12, 28))).unionByName(files[1].withColumn("date", F.lit(dt.date(2023, 12, 29)))), f"{root}/daily")
+    files = [raw.daily_bars(raw.csv_rows(spark, f"{tmp_path}/{d}.csv"), F.lit(f"2023-12-{28 + d}").cast("date")) for d in range(2)]
+    store.write_years(files[0].unionByName(files[1]), f"{root}/daily")
     spark.createDataFrame([("NIFTY 50", day(0), 1.0, 1.0, 1.0, 1.0)], "index_name string, date date, open double, high double, low double, close double").withColumn("year", F.year("date")).write.partitionBy("year").parquet(f"{root}/index_daily")
     (tmp_path / "f.json").write_text(json.dumps([{"symbol": "ABC", "subject": "Bonus 1:1", "exDate": "05-Jan-2020"}]))
     (tmp_path / "c.csv").write_text("Company Name,Industry,Symbol,ISIN Code\nAbc Ltd,Steel,ABC,X\n")
     command.main(["reference", root, "--list", f"TOP={tmp_path}/c.csv"])
     command.main(["actions", root, "--files", f"{tmp_path}/f.json"])
-    command.main(["eod", root, "--files", f"{tmp_path}/2.csv", "--date", "2023-12-30"])
+    (tmp_path / "i.csv").write_text("Index Name,Open Index Value,High Index Value,Low Index Value,Closing Index Value\nNifty 50,1,2,1,2\n")
+    (tmp_path / "d.dat").write_text("20,1,ABC,EQ,100,60,60.5\n")
+    night = ["eod", root, "--files", f"{tmp_path}/2.csv", "--date", "2023-12-30", "--indices", f"{tmp_path}/i.csv", "--delivery", f"{tmp_path}/d.dat"]
+    command.main([*night, "--list", f"TOP={tmp_path}/c.csv", "--filings", f"{tmp_path}/gone.json"])
+    capsys.readouterr()
     command.main(["summary", root])
-    stocks = spark.read.parquet(f"{root}/published/stock_metrics").collect()
-    assert [(r["sym"], r["sector"], r["price"]) for r in stocks] == [("ABC", "Steel", 12.0)] and "|1   |" in capsys.readouterr().out
-    assert spark.read.parquet(f"{root}/published/stock_candles").count() == 1
+    assert "|3   |1      |3       |2023-12-28|2023-12-30|" in capsys.readouterr().out  # sessions of the year stay
+    served = serving.Served(spark, f"{root}/published")
+    ask = lambda read, **p: [tuple(r) for r in served.ask(serving.READS[read], **p).collect()]
+    first = served.ask(serving.READS["stock"], symbol="ABC").first()
+    assert (first["sector"], first["price"], first["delivery_pct"]) == ("Steel", 12.0, 60.5)
+    assert ask("meta", key="last_ingested_session") == [("2023-12-30",)]
+    log = served.table("ingest_log").select("job", "status").collect()
+    assert {tuple(r) for r in log} == {("reference", "ok"), ("backfill", "ok"), ("indices", "ok"), ("actions", "failed"), ("publish", "ok")}
+    command.main(night)  # the same night again
+    assert served.pointer()["version"] == 2 and spark.read.parquet(f"{root}/daily").count() == 3
+    assert [served.table(t).count() for t in ("stock_metrics", "index_bars", "stock_candles", "breadth_daily")] == [1, 2, 1, 3]
+    (tmp_path / "g.json").write_text(json.dumps([{"symbol": "ABC", "subject": "Bonus 1:2", "exDate": "05-Feb-2020"}]))
+    command.main(["actions", root, "--files", f"{tmp_path}/g.json"])
+    assert spark.read.parquet(f"{root}/corporate_actions").count() == 2  # earlier filings stay
+    command.main(["indices", root, "--files", f"{tmp_path}/i.csv", "--date", "2023-12-29"])
+    assert spark.read.parquet(f"{root}/index_daily").where("year = 2023").count() == 2
+
+
+def test_holdings_from_footers_and_bits(spark, tmp_path):
+    rows = [("A", dt.date(2022, 12, 30), 1.0), ("B", dt.date(2022, 12, 30), 1.0), ("A", dt.date(2023, 1, 2), 1.0), ("A", dt.date(1969, 12, 31), 1.0), ("A", dt.date(2023, 1, 2), 2.0)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    store.write_years(bars, f"{tmp_path}/daily")
+    stored = spark.read.parquet(f"{tmp_path}/daily")
+    found = carried.footer_counts(spark, f"{tmp_path}/daily")
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(date), MAX(date)]" in plan
+    assert tuple(found.first()) == (5, dt.date(1969, 12, 31), dt.date(2023, 1, 2))
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    held = carried.carried_holdings(carried.yearly_holdings(stored.where("year < 2023")), stored, 2023)
+    assert tuple(carried.held_summary(held).first()) == (2, 3)
+    assert {tuple(r) for r in carried.held_coverage(held).collect()} == {("A", 3), ("B", 1)}
+    files = carried.carried_holdings(spark.createDataFrame([], held.schema), stored, 2023)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in files and ">= 2023)" in files
+    assert tuple(carried.held_summary(held.limit(0)).first()) == (0, 0)
+
+
+def test_sessions_added_to_a_growing_year(spark, tmp_path):
+    row = lambda s, d, c: (s, dt.date(2023, 5, d), c)
+    frame = lambda rows: spark.createDataFrame(rows, "symbol string, date date, close double")
+    root = f"{tmp_path}/lake"
+    store.add_sessions(frame([row("A", 2, 1.0), row("B", 2, 2.0)]), root)
+    store.add_sessions(frame([("A", dt.date(2022, 5, 2), 9.0)]), root)
+    for _ in range(2):
+        store.add_sessions(frame([row("A", 3, 1.5), row("A", 2, 7.0)]), root)  # B is gone from the second of May
+    found = spark.read.parquet(root).select("symbol", "date", "close").collect()
+    assert {tuple(r) for r in found} == {row("A", 2, 7.0), row("A", 3, 1.5), ("A", dt.date(2022, 5, 2), 9.0)} and len(found) == 3
+    store.add_sessions(frame([]), root)
+    assert spark.read.parquet(root).count() == 3
