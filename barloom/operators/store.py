@@ -38,7 +38,9 @@ def add_sessions(new: DataFrame, root: str, key: str = "symbol") -> None:
     """Put the sessions of ``new`` into the yearly table, each in place of what was stored of it.
 
     Only the years of ``new`` are read and written, so other sessions of a growing year stay,
-    and doing it again changes nothing.
+    and doing it again changes nothing.  Lost executors do no harm, as rows are staged beside the
+    table; a driver lost while Spark moves a staged year into place may leave that year empty,
+    to be loaded again from the vendor's files.
     """
     spark = new.sparkSession
     try:
