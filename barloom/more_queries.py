@@ -551,7 +551,7 @@ def sorted_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- what the lake holds, and the nightly run ---------------------------------------------------
 
 
-def _lake(given: Inputs) -> tuple[str, DataFrame]:
+def _held_lake(given: Inputs) -> tuple[str, DataFrame]:
     """The bars as a yearly table, and holdings that were made before its last year and carried into it."""
     root = scratch(given.spark)
     store.write_years(given("bars"), f"{root}/daily")
@@ -565,7 +565,7 @@ def _lake(given: Inputs) -> tuple[str, DataFrame]:
 @query("select count(*) as bars, count(distinct symbol) as symbols, count(distinct date) as sessions, min(date) as first_date, max(date) as last_date from bars")
 def lake_summary_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary from footers and carried bits: no column of the bars is read for it."""
-    daily, held = _lake(Inputs(spark, sf_dir))
+    daily, held = _held_lake(Inputs(spark, sf_dir))
     counts = carried.footer_counts(spark, daily).first()  # one row, of a session of its own
     summary = carried.held_summary(held)
     return summary.select(F.lit(counts["bars"]).alias("bars"), "symbols", "sessions", F.lit(counts["first_date"]).alias("first_date"), F.lit(counts["last_date"]).alias("last_date"))
@@ -573,7 +573,7 @@ def lake_summary_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select symbol, count(distinct date) as sessions from bars group by 1")
 def symbol_coverage_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried.held_coverage(_lake(Inputs(spark, sf_dir))[1])
+    return carried.held_coverage(_held_lake(Inputs(spark, sf_dir))[1])
 
 
 @query(
