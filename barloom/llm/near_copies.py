@@ -1,27 +1,43 @@
-"""Near copies of documents by MinHash over word shingles, confirmed by exact Jaccard.
+"""Near copies of documents by SimHash with pivot distance tables, confirmed by exact Jaccard.
 
 Texts are compared as sets of word shingles, held as 64-bit hashes.  Texts of equal sets form
-one class, and only classes are compared.  A class has ``BANDS * ROWS`` minima under as many
-mixings of its hashes; classes that agree in all rows of a band are candidates.  At Jaccard
-0.8 a band agrees with probability 0.41, and 24 bands miss a pair with 3 in a million.
-Candidates are verified as those of the line search are (``verify``).
+one class, and only classes are compared.  A class has a wide SimHash of ``BLOCK_BITS`` bits a
+block, so that a pair at the threshold agrees in no whole block with a chance of ``MISS`` at
+most; a block's distances to its single-bit pivots are the block itself, which is the key.
+Pairs that share a key and differ in few of the first ``HEAD`` bits are candidates.
+
+Distances to ``PIVOTS`` reference fingerprints over all bits are computed once a class and
+stored.  For each pivot two distances differ by the sum of as many random signs as there are
+differing bits, so the mean square of these differences estimates that number, and candidates
+with too large a mean are discarded.  Those left are tested on the whole fingerprints, and then
+verified exactly as those of the line search are (``verify``).  All bounds lie five deviations
+above what pairs at the threshold have.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, sieved, stored
+from barloom.llm.common import shuffle_width, sieved, stored
 from barloom.llm.simhash import _words
-from barloom.llm.verify import BINS, Hashes, grouped, linked, packed
+from barloom.llm.verify import Hashes, _sorted_pairs, linked
 
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 24, 4, 37
-#: Shingles whose minima are taken at once.
-PART = 1 << 12
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 37
+#: Bits of a block, and the chance that a pair at the threshold agrees in no block.
+BLOCK_BITS, MISS = 16, 0.001
+#: Bits that all pairs of a key are compared by, and pivots of the stored table.
+HEAD, PIVOTS = 128, 64
+#: Shingles whose bits are counted at once: a byte holds the count.
+PART = 255
+#: Classes whose keys are packed at once, and that a part of a block's keys holds, about.
+RUN, SHARE = 1 << 12, 1 << 18
+#: Classes of a key from which on those near a common one are set aside first, and at most so many times.
+CROWD, CENTRES = 256, 16
 #: Texts of a band that are compared in one block.
 BLOCK = 1024
 
@@ -47,50 +63,210 @@ def shingles(text: bytes | None, k: int = SHINGLE) -> Hashes:
 
 
 class Signer:
-    """Band hashes of shingle sets; the same in every process."""
+    """Fingerprints and distance tables of shingle sets, and the tests on them; the same in every process."""
 
-    def __init__(self) -> None:
+    def __init__(self, similarity: float) -> None:
         import numpy as np
 
+        self.similarity = similarity
+        # sets of one size at the threshold are the farthest apart: a bit differs by their angle
+        flip = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+        agree = (1 - flip) ** BLOCK_BITS
+        blocks = math.ceil(math.log(MISS) / math.log1p(-agree)) if agree < 1 else 1
+        #: whole longs, and the head at least
+        self.longs = max(HEAD // 64, math.ceil(blocks * BLOCK_BITS / 64))
+        self.bits, self.blocks = self.longs * 64, self.longs * 64 // BLOCK_BITS
+        bound = lambda n: n * flip + 5 * math.sqrt(n * flip * (1 - flip))
+        self.head, self.radius = bound(HEAD), bound(self.bits)
+        most = self.bits * flip
+        self.spread = most + 5 * math.sqrt(most**2 * 2 / PIVOTS + most * (1 - flip))
         rng = np.random.default_rng(SEED)
-        self.factors, self.shifts, self.mixers = (rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) for _ in range(3))
-        self.factors, self.mixers = self.factors | np.uint64(1), (self.mixers | np.uint64(1)).reshape(BANDS, ROWS)
+        self.factors, self.shifts = (rng.integers(1, 2**63, self.longs, dtype=np.uint64) for _ in range(2))
+        self.factors = self.factors | np.uint64(1)
+        #: a shingle that all sets have, so that the smallest ones do not tie
+        self.common = rng.integers(0, 2, self.bits)
+        self.pivots = rng.integers(0, 2, (self.bits, PIVOTS)).astype(np.float32) * 2 - 1
+
+    def alone(self, hashes: Hashes) -> bool:
+        """Whether the set is so small that no other one reaches the similarity."""
+        return len(hashes) < self.similarity * (len(hashes) + 1)
 
-    def signature(self, hashes: Hashes):
-        """(bands, sketch) of a set."""
+    def fingerprint(self, hashes: Hashes) -> bytes:
+        """The SimHash: a bit is set where more than half of the shingles have it."""
         import numpy as np
 
-        least, fine = np.full(BANDS * ROWS, 2**64 - 1, np.uint64), np.full(BINS, 2**64 - 1, np.uint64)
+        counts = self.common.copy()
         for at in range(0, len(hashes), PART):
-            part = hashes.values[at : at + PART]
-            mixed = part[:, None] * self.factors + self.shifts
-            least = np.minimum(least, mixed.min(0))
-            np.minimum.at(fine, (part % np.uint64(BINS)).astype(np.int64), part // np.uint64(BINS))
-        mixed = (least.reshape(BANDS, ROWS) * self.mixers).sum(1) + np.arange(BANDS, dtype=np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        sketch = packed(fine[None, :], fine[None, :] != 2**64 - 1)
-        return (mixed ^ (mixed >> np.uint64(31))).view(np.int64), sketch.tobytes()
-
-
-def _signed(batches: Iterator, shingle: int) -> Iterator:
-    """Arrow batches (row, doc, text) to (row, doc, digest of the shingle set, bands, sketch)."""
-    import numpy as np
+            mixed = hashes.values[at : at + PART, None] * self.factors + self.shifts
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(31)
+            counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+        return np.packbits(counts * 2 > len(hashes) + 1).tobytes()
+
+    def distances(self, prints: list[bytes]):
+        """The table's rows: distances to the pivots less half of the bits, a byte each."""
+        import numpy as np
+
+        out = np.zeros((len(prints), PIVOTS), np.int8)
+        for at in range(0, len(prints), 256):
+            octets = np.frombuffer(b"".join(prints[at : at + 256]), np.uint8).reshape(-1, self.bits // 8)
+            signs = np.unpackbits(octets, axis=1).astype(np.float32) * 2 - 1
+            out[at : at + 256] = np.clip(np.rint(signs @ self.pivots / -2), -127, 127)
+        return out
+
+    def discarded(self, a, b):
+        """Whether the tables' rows of pairs are too far apart."""
+        import numpy as np
+
+        apart = a.view(np.int8).astype(np.int32) - b.view(np.int8)
+        return (apart * apart).sum(1) > PIVOTS * self.spread
+
+    def near(self, a, b):
+        """Whether pairs of (distances, fingerprint) stay: by the distances first, then by all bits."""
+        import numpy as np
+
+        stay = ~self.discarded(a[:, :PIVOTS], b[:, :PIVOTS])
+        stay[stay] = np.bitwise_count(a[stay, PIVOTS:] ^ b[stay, PIVOTS:]).sum(1, dtype=np.int32) <= self.radius
+        return stay
+
+
+@functools.cache
+def _signer(similarity: float) -> Signer:
+    return Signer(similarity)
+
+
+def _signed(batches: Iterator, shingle: int, similarity: float) -> Iterator:
+    """Arrow batches (row, doc, text) to (row, doc, digest of the shingle set, fingerprint, distances)."""
     import pyarrow as pa
     import xxhash
 
-    signer = Signer()
+    signer = _signer(similarity)
     for batch in batches:
-        digests, bands, sketches = [], [np.zeros(0, np.int64)], []
-        for text in batch.column(2).to_pylist():
-            found = shingles(text, shingle)
-            digests.append(xxhash.xxh3_128_digest(found.values.tobytes()))
-            of_text = signer.signature(found)
-            bands.append(of_text[0])
-            sketches.append(of_text[1])
-        places = pa.array(np.arange(len(digests) + 1, dtype=np.int32) * BANDS)
-        lists = pa.ListArray.from_arrays(places, pa.array(np.concatenate(bands)))
-        columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "doc", "digest", "bands", "sketch"])
+        digests, prints = [], []
+        for at in range(0, batch.num_rows, 256):
+            for text in batch.column(2).slice(at, 256).to_pylist():
+                found = shingles(text, shingle)
+                digests.append(xxhash.xxh3_128_digest(found.values.tobytes()))
+                prints.append(None if signer.alone(found) else signer.fingerprint(found))
+        far = iter(signer.distances([x for x in prints if x]))
+        tables = [next(far).tobytes() if x else None for x in prints]
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (digests, prints, tables))]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc", "digest", "print", "far"])
+
+
+# --- candidates ---------------------------------------------------------------------------
+
+#: A class under one of its keys: the key, the class, the first bits.
+_RECORD = [("key", "<u2"), ("id", "<i8"), ("head", "<u8", (HEAD // 64,))]
+
+
+def _packed_keys(batches: Iterator, bits: int) -> Iterator:
+    """(id, fingerprint) to (part, records): a part is a block and the first ``bits`` bits of its keys."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, RUN):
+            some = batch.slice(at, RUN)
+            prints = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, -1)
+            records = np.zeros(some.num_rows, _RECORD)
+            records["id"], records["head"] = some.column(0).to_numpy(), prints[:, : HEAD // 8].copy().view("<u8")
+            parts, blobs = [], []
+            for block, keys in enumerate(prints.view("<u2").T):
+                order = np.argsort(keys, kind="stable")
+                records["key"] = keys
+                laid, shares = records[order], keys[order] >> (BLOCK_BITS - bits) if bits else np.zeros(len(order), np.uint16)
+                start = np.nonzero(np.append(True, shares[1:] != shares[:-1]))[0].tolist()
+                parts += [(block << bits) + int(shares[x]) for x in start]
+                blobs += [laid[a:b].tobytes() for a, b in zip(start, [*start[1:], len(laid)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "records"])
+
+
+def _unite(label, left, right) -> None:
+    """Give the rows of pairs one label, their smallest row."""
+    import numpy as np
+
+    while len(left):
+        a, b = label[left], label[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while len(left) and not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def clusters(records, radius: float, most: int = 1 << 18):
+    """(records, labels): rows of one key that are within the radius, or are so through others, get one label."""
+    import numpy as np
+
+    records = records[np.argsort(records["key"], kind="stable")]
+    key, head = records["key"], records["head"]
+    near = lambda x, y: np.bitwise_count(head[x] ^ head[y]).sum(-1, dtype=np.int32) <= radius
+    start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+    size = np.diff(np.append(start, len(key)))
+    order, label, after = np.arange(len(key)), np.arange(len(key)), np.arange(1, len(key) + 1)
+    for first, n in zip(start[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+        left, groups = np.arange(first, first + n), []
+        while len(left) > CROWD and len(groups) < CENTRES:
+            close = near(left, left[0])
+            groups.append(left[close])
+            left = left[~close]
+        order[first : first + n] = np.concatenate([*groups, left])
+        for group in groups:  # rows of one group are compared with those behind it only
+            label[first : first + len(group)] = first
+            first += len(group)
+            after[first - len(group) : first] = first
+    records = records[order]
+    head = records["head"]
+    partners = np.repeat(start + size, size) - after
+    sums, at = np.cumsum(partners), 0
+    while at < len(key):
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
+        own = partners[at:end]
+        left = np.repeat(np.arange(at, end), own)
+        right = np.repeat(after[at:end], own) + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        met = near(left, right)
+        _unite(label, left[met], right[met])
+        at = end
+    return records, label
+
+
+def _met(batches: Iterator, radius: float, bits: int) -> Iterator:
+    """Rows of ``_packed_keys`` by part to the (band, id, centre, open) of keys with several near classes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def of_part(part: int, blobs: list[bytes]):
+        records, label = clusters(np.frombuffer(b"".join(blobs), _RECORD), radius)
+        several = np.bincount(label)[label] > 1
+        ids, first = records["id"][several], records["id"][label[several]]
+        place = (part >> bits << BLOCK_BITS) + records["key"][several].astype(np.uint64)
+        band = (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ first.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        band = ((band ^ (band >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+        bands, ids, start, size = _sorted_pairs(band, ids)
+        columns = [bands, ids, np.repeat(ids[start], size), np.repeat(size > 2, size)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["band", "id", "centre", "open"])
+
+    part, blobs = None, []
+    for batch in batches:
+        for now, records in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if now != part and blobs:
+                yield of_part(part, blobs)
+                blobs = []
+            part = now
+            blobs.append(records.as_py())
+    if blobs:
+        yield of_part(part, blobs)
+
+
+def candidates(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (band, id, centre, open) of the (id, fingerprint) that share a key with near ones; see ``verify.grouped``."""
+    width, radius = shuffle_width(prints.sparkSession), _signer(similarity).head
+    bits = min(BLOCK_BITS, max(0, math.ceil(math.log2(max(1, prints.count()) / SHARE))))
+    dealt = prints.mapInArrow(lambda it: _packed_keys(it, bits), "part int, records binary")
+    laid = dealt.repartition(width, "part").sortWithinPartitions("part")
+    return stored(laid.mapInArrow(lambda it: _met(it, radius, bits), "band long, id long, centre long, open boolean"))
 
 
 def near_copies(
@@ -105,17 +281,19 @@ def near_copies(
     """
     slim = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
-    signed = stored(slim.mapInArrow(lambda it: _signed(it, shingle), f"row long, doc {kind}, digest binary, bands array<long>, sketch binary"))
-    least = F.min(F.struct("doc", "row", "bands", "sketch")).alias("least")
+    signed = stored(slim.mapInArrow(lambda it: _signed(it, shingle, similarity), f"row long, doc {kind}, digest binary, print binary, far binary"))
+    least = F.min(F.struct("doc", "row", "print", "far")).alias("least")
     classes = stored(signed.groupBy("digest").agg(least).select("digest", F.col("least.row").alias("id"), "least"))
 
     def texts(ids: DataFrame) -> DataFrame:
         keyed = slim.select("row", "text", F.xxhash64("row").alias("key"))
         return sieved(keyed, "key", ids.select(F.xxhash64("id").alias("key"))).select(F.col("row").alias("id"), F.col("text").alias("line"))
 
-    members = grouped(classes.select("id", F.col("least.bands").alias("bands")), BANDS)
-    sketches = classes.select("id", F.col("least.sketch").alias("sketch"))
-    roots = linked(members, lambda ids: sketches.join(ids, "id", "left_semi"), texts, lambda x: shingles(x, shingle), similarity, BLOCK)
+    members = candidates(classes.where("least.print is not null").select("id", "least.print"), similarity)
+    sketches = classes.select("id", F.concat("least.far", "least.print").alias("sketch"))
+    roots = linked(
+        members, lambda ids: sketches.join(ids, "id", "left_semi"), texts, lambda x: shingles(x, shingle), similarity, BLOCK, lambda a, b: _signer(similarity).near(a, b)
+    )
 
     named = classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "digest", F.coalesce("root", "id").alias("root"), F.struct("least.doc", "least.row").alias("least")

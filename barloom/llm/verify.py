@@ -91,7 +91,8 @@ def alike(a, b, similarity: float):
 def _sketches(column):
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS // 2)
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), len(rows[0]) if rows else 0)
 
 
 # --- bands --------------------------------------------------------------------------------
@@ -193,12 +194,12 @@ def grouped(signed: DataFrame, per_id: int) -> DataFrame:
 # --- pairs --------------------------------------------------------------------------------
 
 
-def _sorted_out(batches: Iterator, similarity: float) -> Iterator:
+def _sorted_out(batches: Iterator, near: Callable) -> Iterator:
     """(a, b, left, right) to the (a, b) whose sketches are alike."""
     import pyarrow as pa
 
     for batch in batches:
-        keep = alike(_sketches(batch.column(2)), _sketches(batch.column(3)), similarity)
+        keep = near(_sketches(batch.column(2)), _sketches(batch.column(3)))
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in batch.columns[:2]], ["a", "b"])
 
 
@@ -249,33 +250,33 @@ def pairs_within(starts, rows: int, most: int = 1 << 18) -> Iterator:
         at = end
 
 
-def _near(rows, starts, similarity: float) -> Iterator:
+def _near(rows, starts, near: Callable) -> Iterator:
     """Pairs of rows of one block that may be linked: other components, alike sketches, not dealt with in another block."""
     root, side, low, high = (rows.column(x).to_numpy() for x in ("root", "side", "low", "high"))
     sketch = _sketches(rows.column("sketch"))
-    for left, right in pairs_within(starts, rows.num_rows):
+    for left, right in pairs_within(starts, rows.num_rows, (1 << 24) // max(64, sketch.shape[1])):
         open_ = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
         left, right = left[open_], right[open_]
-        keep = alike(sketch[left], sketch[right], similarity)
+        keep = near(sketch[left], sketch[right])
         yield left[keep], right[keep]
 
 
 _BLOCK = "band long, low int, high int, side int, id long, root long, sketch binary"
 
 
-def _involved(batches: Iterator, similarity: float) -> Iterator:
+def _involved(batches: Iterator, near: Callable) -> Iterator:
     """The rows of ``_BLOCK`` that have such a pair."""
     import numpy as np
     import pyarrow as pa
 
     for rows, starts in whole_blocks(batches):
         used = np.zeros(rows.num_rows, bool)
-        for left, right in _near(rows, starts, similarity):
+        for left, right in _near(rows, starts, near):
             used[left] = used[right] = True
         yield rows.filter(pa.array(used))
 
 
-def _joined(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
+def _joined(batches: Iterator, cut: Callable, similarity: float, near: Callable) -> Iterator:
     """Links between components of a block, at most one for each two that get joined; rows of ``_BLOCK`` with the line."""
     import pyarrow as pa
 
@@ -290,7 +291,7 @@ def _joined(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
                 parent[x] = x = parent.get(up, up)  # noqa: B023
             return x
 
-        for left, right in _near(rows, starts, similarity):
+        for left, right in _near(rows, starts, near):
             for i, j in zip(left.tolist(), right.tolist(), strict=True):
                 a, b = find(roots[i]), find(roots[j])
                 if a != b and jaccard(cut_once(i), cut_once(j)) >= similarity:
@@ -325,14 +326,17 @@ def _dealt(members: DataFrame, roots: DataFrame, sketches: DataFrame, block: int
 
 
 def linked(
-    members: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, block: int
-) -> DataFrame:
+    members: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, block: int,
+    near: Callable | None = None,
+) -> DataFrame:
     """(node, root) of the candidates (band, id, centre, open) that are near copies.
 
     ``sketches_of`` and ``texts`` give (id, sketch) and (id, line) for a table of ids, each id
-    once, and may give more; ``cut`` the set of shingles of a text.
+    once, and may give more; ``cut`` the set of shingles of a text; ``near`` whether pairs of
+    sketches may be similar, else ``alike`` does.
     """
     width = shuffle_width(members.sparkSession)
+    near = near or functools.partial(alike, similarity=similarity)
 
     def both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         left = table.select(F.col("id").alias("a"), F.col(value).alias("left"))
@@ -341,7 +345,7 @@ def linked(
 
     sketches = stored(sketches_of(members.select("id").distinct()))
     stars = members.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = stored(both(stars, sketches, "sketch").mapInArrow(lambda it: _sorted_out(it, similarity), "a long, b long"))
+    likely = stored(both(stars, sketches, "sketch").mapInArrow(lambda it: _sorted_out(it, near), "a long, b long"))
     lines = stored(texts(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     links = settle(both(likely, lines, "line").mapInArrow(lambda it: _verified(it, cut, similarity), "a long, b long"))
     roots = connected_components(links)
@@ -350,10 +354,10 @@ def linked(
         return rows.repartition(width, "band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
 
     dealt = laid(_dealt(members, roots, sketches, block))
-    left = stored(dealt.mapInArrow(lambda it: _involved(it, similarity), _BLOCK))
+    left = stored(dealt.mapInArrow(lambda it: _involved(it, near), _BLOCK))
     more = left.select("id").distinct().join(lines.select("id"), "id", "left_anti")
     more = stored(more)
     if not more.isEmpty():
         lines = lines.unionByName(stored(texts(more)).join(more, "id", "left_semi"))
-    rest = laid(left.join(lines, "id")).mapInArrow(lambda it: _joined(it, cut, similarity), "a long, b long")
+    rest = laid(left.join(lines, "id")).mapInArrow(lambda it: _joined(it, cut, similarity, near), "a long, b long")
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
