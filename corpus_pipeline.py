@@ -5,7 +5,8 @@ written with them, so repeated and null document ids do no harm, nor does a chan
 scan's splits while a stage runs.  Null ids count as smaller than others.  Null, blank and
 letterless texts go in the first stage, so later ones need not expect any, but treat them as
 texts without words.  Texts of any length are read whole.  Columns other than those of
-``documents`` are left out.  Empty tables go through all stages.
+``documents`` are left out.  Empty tables go through all stages.  The stages have Spark hand
+texts to Python in batches of ``BATCH`` bytes, which stays set in the session.
 """
 
 from __future__ import annotations
@@ -23,6 +24,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Row number in what the stages write for one another.
 ROW = "_row"
 SHARDS = 40
+#: Bytes of an Arrow batch, about: 10,000 whole texts at once, in both directions, take too much of an executor's memory.
+BATCH = 4 << 20
+
+
+def _lean(spark: SparkSession) -> None:
+    """Keep the batches that go to Python small; a stricter setting in plain bytes holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdecimal() or int(now) > BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -43,6 +54,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Those are documents without a text or without letters.  Where no document has a label to
     learn from, all that have letters stay, with their null labels.
     """
+    _lean(spark)
     found = langid.language(docs, train=F.lit(True))
     named = docs.select(*COLUMNS, found.alias("found")).where("found.letters")
     return _output(named.withColumn("lang", F.when(F.col("found.lang") != langid.UNKNOWN, F.col("found.lang")).otherwise(F.col("lang"))))
@@ -53,6 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near-duplicates share five-word shingles with a Jaccard similarity of at least 0.8.
     """
+    _lean(spark)
     rows = _numbered(docs)
     gone = near_copies.near_copies(rows, "row").where("row != first").select("row")
     return _output(rows.join(gone, "row", "left_anti"))
@@ -60,6 +73,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item of at least five words; shorter ones are no sign of a leak."""
+    _lean(spark)
     rows = _numbered(docs)
     found = decontaminate.find_leaks(rows, read(spark, sf_dir, "benchmark"), id_col="row", least_words=5)
     gone = settle(found.select(F.col("id").alias("row")).distinct())
@@ -68,6 +82,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop or repeat documents so that the sources reach their target words; null sources are one source."""
+    _lean(spark)
     rows = _numbered(docs)
     mixed = mixing.mix(rows, keep=F.col("row")).where("copies > 0").select(F.col("kept").alias("row"), "copies")
     taken = rows.join(mixed, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -76,6 +91,7 @@ def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add each document's shard and its place in it; repeated rows get places of their own."""
+    _lean(spark)
     rows = _numbered(docs)
     placed = sharding.shard(rows, SHARDS, id_col="row").select(F.col("id").alias("row"), "shard", "slot")
     return rows.join(placed, "row").select(*COLUMNS, "shard", "slot")

@@ -63,3 +63,17 @@ def test_empty_tables(spark, tmp_path):
     assert all(found == [] for found in kept.values())
     spark.createDataFrame([(1, "some words here", "en", "a", 0, "", "")], SCHEMA).withColumn("n_chars", F.lit(None).cast("long")).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() in (1, 2)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Whatever the session starts with, a batch of texts stays small; a smaller bound of the session holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "ein Wort " * 2000, "de", "a", 9, None, None) for i in range(900)], SCHEMA).coalesce(1)
+    try:
+        for given, most in ((str(1 << 30), pipeline.BATCH), ("65536", 65536)):
+            spark.conf.set(key, given)
+            stage = pipeline.language(spark, docs, "")
+            sizes = stage.select("text").mapInArrow(lambda it: (b.from_pydict({"n": [b.nbytes]}) for b in it), "n long")
+            assert max(r["n"] for r in sizes.collect()) <= most + 200_000
+    finally:
+        spark.conf.unset(key)
