@@ -8,7 +8,8 @@ meet in its part, and the first in a hashed order is their centre.
 Each text is compared with its centres.  Sketches of the shingle sets sort out most pairs
 without their texts; those left are verified exactly.  Only where a band then still holds
 several components are its other pairs compared, in blocks, first by the sketches and then by
-the texts, and never two texts of one component.  Components come from a distributed union of
+the texts, and never two texts of one component.  Sketches and texts are joined to ids, a row each
+with the list of its bands or centres, and then packed for the parts in which their blocks meet.  Components come from a distributed union of
 the links.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle, shuffle_width, stored
+from barloom.llm.common import Sieve, settle, shuffle_width, sieve, stored
 from barloom.llm.components import connected_components
 
 #: Texts of a run that share a band, from which on they get a centre in the run.
@@ -30,6 +31,10 @@ CROWD = 8
 RUN, PART = 1 << 19, 1 << 20
 #: Bins of a sketch, half a byte each.
 BINS = 160
+#: Ids whose places are packed at once, places and rows with texts that a part holds, about, and pairs that are compared at once.
+SLICE, SPAN, TEXTS, CHUNK = 1 << 10, 1 << 16, 1 << 11, 1 << 16
+#: Pairs of a centre from which on it goes to several blocks.
+CROWDED = 1 << 14
 
 
 class Hashes:
@@ -194,13 +199,103 @@ def grouped(signed: DataFrame, per_id: int) -> DataFrame:
 # --- pairs --------------------------------------------------------------------------------
 
 
-def _sorted_out(batches: Iterator, near: Callable) -> Iterator:
-    """(a, b, left, right) to the (a, b) whose sketches are alike."""
+#: A row in a block: the block, its side of it, the row and its component.
+_PLACE = [("band", "<i8"), ("low", "<i4"), ("high", "<i4"), ("side", "<i4"), ("id", "<i8"), ("root", "<i8")]
+
+
+def _mixed(values):
+    import numpy as np
+
+    values = (values.view(np.uint64) ^ values.view(np.uint64) >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ values >> np.uint64(32)
+
+
+def _packed_rows(places, row, sketch, parts: int):
+    """(part, places, sketches): the places, and the sketches of their rows, packed by the part that their blocks go to."""
+    import numpy as np
     import pyarrow as pa
 
+    tile = places["band"] + (places["low"].astype(np.int64) << 32) + places["high"]
+    part = (_mixed(tile) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, places, row = part[order], places[order], row[order]
+    start = np.nonzero(np.append(True, part[1:] != part[:-1])[: len(part)])[0].tolist()
+    ends = list(zip(start, [*start[1:], len(part)], strict=True))
+    columns = [pa.array(part[start]), *(pa.array(x, pa.binary()) for x in ([places[a:b].tobytes() for a, b in ends], [sketch[row[a:b]].tobytes() for a, b in ends]))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "places", "sketches"])
+
+
+_PACKED = "part int, places binary, sketches binary"
+
+
+def _parts(batches: Iterator) -> Iterator:
+    """Rows of ``_packed_rows`` by part to the (places, sketches) of each part, sorted by block and id."""
+    import numpy as np
+
+    def whole(held: list):
+        places = np.frombuffer(b"".join(x for x, _ in held), _PLACE)
+        sketch = np.frombuffer(b"".join(x for _, x in held), np.uint8).reshape(len(places), -1)
+        order = np.lexsort([places[x] for x in ("id", "high", "low", "band")])
+        return places[order], sketch[order]
+
+    part, held = None, []
     for batch in batches:
-        keep = near(_sketches(batch.column(2)), _sketches(batch.column(3)))
-        yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in batch.columns[:2]], ["a", "b"])
+        for now, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if now != part and held:
+                yield whole(held)
+                held = []
+            part = now
+            held.append(row)
+    if held:
+        yield whole(held)
+
+
+def _starts(places):
+    """The first row of each block."""
+    import numpy as np
+
+    new = np.any([places[x][1:] != places[x][:-1] for x in ("band", "low", "high")], 0)
+    return np.nonzero(np.append(True, new)[: len(places)])[0]
+
+
+def _wheels(batches: Iterator, parts: int, crowded: dict[int, int]) -> Iterator:
+    """(id, centres, sketch) to ``_packed_rows``: blocks of a centre (as band) and rows to compare with it; of a crowded centre several."""
+    import numpy as np
+
+    names = np.array(sorted(crowded), np.int64)
+    shares = np.array([crowded[x] for x in names.tolist()] or [1], np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            some = batch.slice(at, SLICE)
+            ids, lists = some.column(0).to_numpy(), some.column(1)
+            row, centre = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            found = np.minimum(np.searchsorted(names, centre), len(shares) - 1)
+            share = np.where(np.isin(centre, names), shares[found], 1)
+            copies = np.where(ids[row] == centre, share, 1)  # the centre goes to all its blocks
+            turn = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            row, centre, share = (np.repeat(x, copies) for x in (row, centre, share))
+            places = np.zeros(len(row), _PLACE)
+            places["band"], places["id"] = centre, ids[row]
+            places["low"] = np.where(ids[row] == centre, turn, _mixed(ids[row]) % share.astype(np.uint64))
+            yield _packed_rows(places, row, _sketches(some.column(2)), parts)
+
+
+def _sorted_out(batches: Iterator, near: Callable) -> Iterator:
+    """Rows of ``_wheels`` by part to the pairs (a, b) of a row and its centre whose sketches are alike."""
+    import numpy as np
+    import pyarrow as pa
+
+    for places, sketch in _parts(batches):
+        start = _starts(places)
+        size = np.diff(np.append(start, len(places)))
+        spoke = places["id"] != places["band"]
+        hub = np.zeros(len(start), np.int64)
+        hub[np.repeat(np.arange(len(start)), size)[~spoke]] = np.nonzero(~spoke)[0]
+        left, right = np.nonzero(spoke)[0], np.repeat(hub, size)[spoke]
+        for at in range(0, len(left), CHUNK):
+            a, b = left[at : at + CHUNK], right[at : at + CHUNK]
+            keep = near(sketch[a], sketch[b])
+            yield pa.RecordBatch.from_arrays([pa.array(places["id"][x[keep]]) for x in (a, b)], ["a", "b"])
 
 
 def _verified(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
@@ -250,79 +345,146 @@ def pairs_within(starts, rows: int, most: int = 1 << 18) -> Iterator:
         at = end
 
 
-def _near(rows, starts, near: Callable) -> Iterator:
+def _near(places, root, sketch, starts, near: Callable) -> Iterator:
     """Pairs of rows of one block that may be linked: other components, alike sketches, not dealt with in another block."""
-    root, side, low, high = (rows.column(x).to_numpy() for x in ("root", "side", "low", "high"))
-    sketch = _sketches(rows.column("sketch"))
-    for left, right in pairs_within(starts, rows.num_rows, (1 << 24) // max(64, sketch.shape[1])):
+    side, low, high = (places[x] for x in ("side", "low", "high"))
+    for left, right in pairs_within(starts, len(places), (1 << 24) // max(64, sketch.shape[1])):
         open_ = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
         left, right = left[open_], right[open_]
         keep = near(sketch[left], sketch[right])
         yield left[keep], right[keep]
 
 
-_BLOCK = "band long, low int, high int, side int, id long, root long, sketch binary"
+def _laid_out(batches: Iterator, parts: int, wanted: Sieve, large: dict) -> Iterator:
+    """(id, root, bands, sketch) to ``_packed_rows`` of the wanted bands; ``large`` has the (main, inside, outside) of those of many blocks, or None."""
+    import numpy as np
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            some = batch.slice(at, SLICE)
+            ids, roots, lists = some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2)
+            row, band = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            many = np.isin(band, np.fromiter(large, np.int64, len(large)))
+            once = ~many & wanted(band.view(np.uint64))
+            tiles = []  # (place in the lists, side, other side)
+            for i in np.nonzero(many)[0].tolist():
+                if (of := large[int(band[i])]) is None:
+                    continue
+                main, inside, outside = of
+                inner, spread = roots[row[i]] == main, int(_mixed(ids[row[i : i + 1]] ^ band[i])[0])
+                side = spread % inside if inner else inside + spread % outside
+                # blocks of the main component come first; two of them are never compared
+                tiles += [(i, side, other) for other in range(inside if inner else 0, inside + outside)]
+            tiled = np.array(tiles, np.int64).reshape(-1, 3)
+            where = np.concatenate([np.nonzero(once)[0], tiled[:, 0]])
+            places = np.zeros(len(where), _PLACE)
+            row = row[where]
+            places["band"], places["id"], places["root"] = band[where], ids[row], roots[row]
+            more = places[len(where) - len(tiled) :]
+            more["side"], more["low"], more["high"] = tiled[:, 1], tiled[:, 1:].min(1), tiled[:, 1:].max(1)
+            yield _packed_rows(places, row, _sketches(some.column(3)), parts)
 
 
 def _involved(batches: Iterator, near: Callable) -> Iterator:
-    """The rows of ``_BLOCK`` that have such a pair."""
+    """The rows of ``_PLACE`` that have such a pair."""
     import numpy as np
     import pyarrow as pa
 
-    for rows, starts in whole_blocks(batches):
-        used = np.zeros(rows.num_rows, bool)
-        for left, right in _near(rows, starts, near):
+    for places, sketch in _parts(batches):
+        used = np.zeros(len(places), bool)
+        for left, right in _near(places, places["root"], sketch, _starts(places), near):
             used[left] = used[right] = True
-        yield rows.filter(pa.array(used))
+        yield pa.RecordBatch.from_arrays([pa.array(places[x][used]) for x, _ in _PLACE], [x for x, _ in _PLACE])
+
+
+def _texts_by_part(batches: Iterator, parts: int) -> Iterator:
+    """(id, root, sketch, line, places) to (part, places, id, root, sketch, line): each part gets a text once."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            lists = some.column(4)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(some.num_rows), lists.value_lengths().to_numpy())
+            places = np.zeros(len(row), _PLACE)
+            for name, values in zip(("band", "low", "high", "side"), flat.flatten(), strict=True):
+                places[name] = values.to_numpy()
+            places["id"], places["root"] = some.column(0).to_numpy()[row], some.column(1).to_numpy()[row]
+            part = (_mixed(places["band"] + (places["low"].astype(np.int64) << 32) + places["high"]) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((row, part))
+            part, row, places = part[order], row[order], places[order]
+            start = np.nonzero(np.append(True, (part[1:] != part[:-1]) | (row[1:] != row[:-1]))[: len(part)])[0]
+            ends = zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True)
+            blobs = pa.array([places[a:b].tobytes() for a, b in ends], pa.binary())
+            taken = [some.column(i).take(pa.array(row[start])) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[start]), blobs, *taken], ["part", "places", "id", "root", "sketch", "line"])
 
 
 def _joined(batches: Iterator, cut: Callable, similarity: float, near: Callable) -> Iterator:
-    """Links between components of a block, at most one for each two that get joined; rows of ``_BLOCK`` with the line."""
+    """Rows of ``_texts_by_part`` by part to links between components of a block, at most one for each two that get joined."""
+    import numpy as np
     import pyarrow as pa
 
-    for rows, starts in whole_blocks(batches):
-        ids, roots, lines = (rows.column(x).to_pylist() for x in ("id", "root", "line"))
+    def of_part(held: list[tuple]):
+        places = np.concatenate([np.frombuffer(x[0], _PLACE) for x in held])
+        row = np.repeat(np.arange(len(held)), [len(x[0]) // places.itemsize for x in held])
+        order = np.lexsort([places[x] for x in ("id", "high", "low", "band")])
+        places, row = places[order], row[order]
+        ids, lines = [x[1] for x in held], [x[4] for x in held]
+        sketch = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)[row]
         parent: dict[int, int] = {}
-        cut_once = functools.cache(lambda i: cut(lines[i]))  # noqa: B023
+        cut_once = functools.cache(lambda i: cut(lines[i]))
         links: list[tuple[int, int]] = []
 
         def find(x: int) -> int:
-            while (up := parent.get(x, x)) != x:  # noqa: B023
-                parent[x] = x = parent.get(up, up)  # noqa: B023
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
             return x
 
-        for left, right in _near(rows, starts, near):
-            for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                a, b = find(roots[i]), find(roots[j])
+        for left, right in _near(places, places["root"], sketch, _starts(places), near):
+            met = np.unique(np.stack([row[left], row[right]], 1), axis=0)  # texts may meet in several blocks
+            for i, j in met.tolist():
+                a, b = find(held[i][2]), find(held[j][2])
                 if a != b and jaccard(cut_once(i), cut_once(j)) >= similarity:
                     parent[max(a, b)] = min(a, b)
                     links.append((ids[i], ids[j]))
         columns = list(zip(*links, strict=True)) if links else [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
 
+    part, held = None, []
+    for batch in batches:
+        for now, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if now != part and held:
+                yield of_part(held)
+                held = []
+            part = now
+            held.append(row)
+    if held:
+        yield of_part(held)
 
-def _dealt(members: DataFrame, roots: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
-    """The rows of ``_BLOCK`` of bands of three texts or more that still hold several components."""
-    labelled = members.where("open").select("band", "id").distinct().join(roots, F.col("id") == F.col("node"), "left")
-    labelled = stored(labelled.select("band", "id", F.coalesce("root", "id").alias("root")))
+
+def _open_bands(opens: DataFrame, block: int) -> tuple[Sieve, dict, int]:
+    """Which bands of (id, root, bands) still hold several components, how those of many texts are cut, and the rows of all.
+
+    Bands of over ``block`` texts are listed: they are fewer than the rows by that factor.
+    """
+    labelled = opens.select("id", "root", F.explode("bands").alias("band"))
     by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"))
-    bands = by_root.groupBy("band").agg(
+    bands = stored(by_root.groupBy("band").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.bit_xor("of").alias("of")
-    )
-    # bands of the same texts are compared once
-    bands = bands.where("roots > 1 and n > 2").groupBy("of", "n", "main", "inner").agg(F.min("band").alias("band"))
-    # blocks of the main component come first; two of them are never compared
-    small, spread = F.col("n") <= block, F.xxhash64("id", F.lit(7))
-    sizes = stored(bands.select(
-        "band", "main", small.alias("small"), F.ceil(F.col("inner") / block).cast("int").alias("inside"), F.ceil((F.col("n") - F.col("inner")) / block).cast("int").alias("outside")
     ))
-    inner = F.col("root") == F.col("main")
-    side = F.when(F.col("small"), F.lit(0)).when(inner, F.pmod(spread, F.col("inside"))).otherwise(F.col("inside") + F.pmod(spread, F.col("outside")))
-    end = F.col("inside") + F.col("outside") - 1
-    others = F.when(F.col("small"), F.array(F.lit(0))).when(inner, F.sequence(F.col("inside"), end)).otherwise(F.sequence(F.lit(0), end))
-    dealt = labelled.join(sizes, "band").select("band", "id", "root", side.cast("int").alias("side"), F.explode(others).alias("other"))
-    dealt = dealt.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other")
-    return dealt.join(sketches, "id").select(*[x.split()[0] for x in _BLOCK.split(", ")])
+    # bands of the same texts are compared once
+    once = stored(bands.where("roots > 1 and n > 2").groupBy("of", "n", "main", "inner").agg(F.min("band").alias("band")))
+    cuts = F.struct("main", F.ceil(F.col("inner") / block).cast("int").alias("inside"), F.ceil((F.col("n") - F.col("inner")) / block).cast("int").alias("outside"))
+    large = {x: tuple(of.values()) for x, of in _listed(once.where(F.col("n") > block).select("band", cuts.alias("of")))}
+    large = {x: None for x, _ in _listed(bands.where(F.col("n") > block).select("band", "n"))} | large
+    return sieve(once.where(F.col("n") <= block).select("band")), large, once.agg(F.sum("n")).first()[0] or 0
+
+
+def _listed(table: DataFrame) -> list[tuple]:
+    return list(zip(*(x.to_pylist() for x in table.toArrow().columns), strict=True))
 
 
 def linked(
@@ -343,21 +505,35 @@ def linked(
         right = table.select(F.col("id").alias("b"), F.col(value).alias("right"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
+    def packed_by_part(rows: DataFrame, pack: Callable, schema: str) -> DataFrame:
+        return rows.mapInArrow(pack, schema).repartition(width, "part").sortWithinPartitions("part")
+
     sketches = stored(sketches_of(members.select("id").distinct()))
-    stars = members.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = stored(both(stars, sketches, "sketch").mapInArrow(lambda it: _sorted_out(it, near), "a long, b long"))
-    lines = stored(texts(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    # a row of an id has all that is known of it, so ids are joined, not their bands
+    wheels = members.groupBy("id").agg(F.collect_set("centre").alias("centres")).join(sketches, "id").select("id", "centres", "sketch")
+    crowded = {x: math.ceil(n / CROWDED) for x, n in _listed(members.groupBy("centre").count().where(F.col("count") > CROWDED))}
+    parts = max(width, math.ceil(members.count() / SPAN))
+    likely = stored(packed_by_part(wheels, lambda it: _wheels(it, parts, crowded), _PACKED).mapInArrow(lambda it: _sorted_out(it, near), "a long, b long"))
+    met = stored(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
+    lines = stored(texts(met))
     links = settle(both(likely, lines, "line").mapInArrow(lambda it: _verified(it, cut, similarity), "a long, b long"))
     roots = connected_components(links)
 
-    def laid(rows: DataFrame) -> DataFrame:
-        return rows.repartition(width, "band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
-
-    dealt = laid(_dealt(members, roots, sketches, block))
-    left = stored(dealt.mapInArrow(lambda it: _involved(it, near), _BLOCK))
-    more = left.select("id").distinct().join(lines.select("id"), "id", "left_anti")
-    more = stored(more)
+    opens = members.where("open").groupBy("id").agg(F.collect_set("band").alias("bands")).join(roots, F.col("id") == F.col("node"), "left")
+    opens = stored(opens.select("id", F.coalesce("root", "id").alias("root"), "bands"))
+    wanted, large, held = _open_bands(opens, block)
+    shared = members.sparkSession.sparkContext.broadcast((wanted, large))
+    dealt = opens.join(sketches, "id").select("id", "root", "bands", "sketch")
+    tiles = max(width, math.ceil(held / SPAN))
+    dealt = packed_by_part(dealt, lambda it: _laid_out(it, tiles, *shared.value), _PACKED)
+    left = stored(dealt.mapInArrow(lambda it: _involved(it, near), "band long, low int, high int, side int, id long, root long"))
+    places = stored(left.groupBy("id", "root").agg(F.collect_list(F.struct("band", "low", "high", "side")).alias("places")))
+    more = stored(places.select("id").join(lines.select("id"), "id", "left_anti"))
     if not more.isEmpty():
         lines = lines.unionByName(stored(texts(more)).join(more, "id", "left_semi"))
-    rest = laid(left.join(lines, "id")).mapInArrow(lambda it: _joined(it, cut, similarity, near), "a long, b long")
+    rest = places.join(sketches, "id").join(lines, "id").select("id", "root", "sketch", "line", "places")
+    kind = lines.schema["line"].dataType.simpleString()
+    split = max(width, math.ceil(left.count() / TEXTS))
+    rest = packed_by_part(rest, lambda it: _texts_by_part(it, split), f"part int, places binary, id long, root long, sketch binary, line {kind}")
+    rest = rest.mapInArrow(lambda it: _joined(it, cut, similarity, near), "a long, b long")
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
