@@ -183,6 +183,17 @@ def shingles(line: str, k: int = SHINGLE) -> Hashes:
     return Hashes.of(_runs(codes, k))
 
 
+def all_shingles(lines: list[str], k: int = SHINGLE):
+    """(place of the line, hash) of the shingles of many lines, as ``shingles`` has them; repeats are kept."""
+    import numpy as np
+
+    codes = np.frombuffer("".join([x + "\0" * (k - len(x)) for x in lines]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    sizes = np.array([max(k, len(x)) for x in lines], np.int64)
+    count = sizes - k + 1
+    place = np.repeat(np.arange(len(lines)), count)
+    return place, _runs(codes, k)[np.arange(len(place)) + place * (k - 1)]
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("thash"), text.alias("text"))
@@ -209,7 +220,7 @@ def components(slim: DataFrame, signed: DataFrame, shingle: int, similarity: flo
         return rows.groupBy("id").agg(F.first("line").alias("line"))
 
     members = grouped(lines.select("id", "bands"), BANDS)
-    return firsts, linked(members, sketches, texts, lambda x: shingles(x, shingle), similarity, BLOCK)
+    return firsts, linked(members, sketches, texts, lambda x: shingles(x, shingle), similarity, BLOCK, cuts=lambda x: all_shingles(x, shingle))
 
 
 def _kept(slim: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:

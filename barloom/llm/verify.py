@@ -33,6 +33,8 @@ RUN, PART = 1 << 19, 1 << 20
 BINS = 160
 #: Ids whose places are packed at once, places and rows with texts that a part holds, about, and pairs that are compared at once.
 SLICE, SPAN, TEXTS, CHUNK = 1 << 10, 1 << 16, 1 << 11, 1 << 16
+#: Pairs whose shingles are sorted at once (their number fits a byte), and characters of them, about.
+PAIRS, LETTERS = 256, 1 << 18
 #: Pairs of a centre from which on it goes to several blocks.
 CROWDED = 1 << 14
 
@@ -220,7 +222,7 @@ def _packed_rows(places, row, sketch, parts: int):
     order = np.argsort(part, kind="stable")
     part, places, row = part[order], places[order], row[order]
     start = np.nonzero(np.append(True, part[1:] != part[:-1])[: len(part)])[0].tolist()
-    ends = list(zip(start, [*start[1:], len(part)], strict=True))
+    ends = list(zip(start, [*start[1:], len(part)][: len(start)], strict=True))
     columns = [pa.array(part[start]), *(pa.array(x, pa.binary()) for x in ([places[a:b].tobytes() for a, b in ends], [sketch[row[a:b]].tobytes() for a, b in ends]))]
     return pa.RecordBatch.from_arrays(columns, ["part", "places", "sketches"])
 
@@ -298,14 +300,41 @@ def _sorted_out(batches: Iterator, near: Callable) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(places["id"][x[keep]]) for x in (a, b)], ["a", "b"])
 
 
-def _verified(batches: Iterator, cut: Callable, similarity: float) -> Iterator:
+def similar(left: list, right: list, cuts: Callable, similarity: float):
+    """Whether pairs of texts are similar enough; ``cuts`` gives (place in a list of texts, hash) of all their shingles.
+
+    The shingles of up to ``PAIRS`` pairs are sorted at once, by the pair and then 56 bits of the hash.
+    """
+    import numpy as np
+
+    ends = np.cumsum([len(x) + len(y) for x, y in zip(left, right, strict=True)])
+    keep, at = np.zeros(len(left), bool), 0
+    while at < len(left):
+        end = min(at + PAIRS, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right"))))
+        sides = []
+        for texts in (left[at:end], right[at:end]):
+            place, hashed = cuts(texts)
+            keys = np.sort(place.astype(np.uint64) << np.uint64(56) | hashed >> np.uint64(8))
+            sides.append(keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]])
+        every = np.sort(np.concatenate(sides))
+        count = lambda x: np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=end - at)  # noqa: B023, E731
+        both = count(every[1:][every[1:] == every[:-1]])
+        keep[at:end] = both / np.maximum(1, count(every) - both) >= similarity
+        at = end
+    return keep
+
+
+def _verified(batches: Iterator, cut: Callable, similarity: float, cuts: Callable | None) -> Iterator:
     """(a, b, left, right) to the (a, b) whose texts are similar enough."""
     import pyarrow as pa
 
     known = functools.lru_cache(32)(cut)  # rows of one centre come together
     for batch in batches:
-        texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = [jaccard(cut(x), known(y)) >= similarity for x, y in texts]
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        if cuts:
+            keep = similar(left, right, cuts, similarity)
+        else:
+            keep = [jaccard(cut(x), known(y)) >= similarity for x, y in zip(left, right, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -489,13 +518,14 @@ def _listed(table: DataFrame) -> list[tuple]:
 
 def linked(
     members: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], cut: Callable, similarity: float, block: int,
-    near: Callable | None = None,
+    near: Callable | None = None, cuts: Callable | None = None,
 ) -> DataFrame:
     """(node, root) of the candidates (band, id, centre, open) that are near copies.
 
     ``sketches_of`` and ``texts`` give (id, sketch) and (id, line) for a table of ids, each id
     once, and may give more; ``cut`` the set of shingles of a text; ``near`` whether pairs of
-    sketches may be similar, else ``alike`` does.
+    sketches may be similar, else ``alike`` does.  ``cuts``, for short texts, gives the shingles of
+    many (see ``similar``).
     """
     width = shuffle_width(members.sparkSession)
     near = near or functools.partial(alike, similarity=similarity)
@@ -516,7 +546,7 @@ def linked(
     likely = stored(packed_by_part(wheels, lambda it: _wheels(it, parts, crowded), _PACKED).mapInArrow(lambda it: _sorted_out(it, near), "a long, b long"))
     met = stored(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
     lines = stored(texts(met))
-    links = settle(both(likely, lines, "line").mapInArrow(lambda it: _verified(it, cut, similarity), "a long, b long"))
+    links = settle(both(likely, lines, "line").mapInArrow(lambda it: _verified(it, cut, similarity, cuts), "a long, b long"))
     roots = connected_components(links)
 
     opens = members.where("open").groupBy("id").agg(F.collect_set("band").alias("bands")).join(roots, F.col("id") == F.col("node"), "left")
