@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import Sieve, settle, sieve, sieved, stored
-from barloom.llm.verify import BINS, Hashes, grouped, linked, packed
+from barloom.llm.verify import BINS, Hashes, grouped, linked, packed, packed_rows
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 16, 5, 23
@@ -106,10 +106,13 @@ def _cut(text: str) -> list[str]:
     return [x.strip(" ") for x in text.replace("\t", " ").replace("\r", " ").lower().split("\n")]
 
 
-def _hash(line: str) -> int:
+def _hashes(lines: list[str]):
+    """The names of lines."""
+    import numpy as np
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - 2**63
+    of = xxhash.xxh3_64_intdigest
+    return (np.array([of(x.encode("utf-8", "replace")) for x in lines], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _signed(batches: Iterator, shingle: int) -> Iterator:
@@ -125,12 +128,10 @@ def _signed(batches: Iterator, shingle: int) -> Iterator:
     signer = Signer(shingle)
     names = ["doc", "thash", "id", "pos", "bands", "sketch", "n_lines", "blank"]
 
-    def lines_out(batch, lines: list[str], places: list[tuple[int, int, int]]):
+    def lines_out(batch, lines: list[str], rows, ids, pos):
         bands, sketches = signer.signatures(lines)
-        rows, ids, pos = zip(*places, strict=True)
-        n, rows = len(lines), pa.array(rows)
-        lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
-        columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(ids), pa.array(pos, pa.int32()), lists, pa.array([x.tobytes() for x in sketches], pa.binary())]
+        rows, n = pa.array(rows), len(lines)
+        columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(ids), pa.array(pos, pa.int32()), packed_rows(bands), packed_rows(sketches)]
         return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
 
     for batch in batches:
@@ -138,26 +139,25 @@ def _signed(batches: Iterator, shingle: int) -> Iterator:
         batch = batch.take(order)
         seen: set[int] = set()
         counts, blanks = [], []
-        lines, places, size = [], [], 0
         for at in range(0, batch.num_rows, 512):
-            for row, text in enumerate(batch.column(2).slice(at, 512).to_pylist(), at):
-                cut = _cut(text) if text is not None else []
-                counts.append(len(cut))
-                blanks.append([pos for pos, line in enumerate(cut) if not line])
-                for pos, line in enumerate(cut):
-                    if not line or (name := _hash(line)) in seen:
-                        continue
-                    seen.add(name)
-                    lines.append(line)
-                    places.append((row, name, pos))
-                    size += len(line) + shingle
-                    if size >= CHUNK:
-                        yield lines_out(batch, lines, places)
-                        lines, places, size = [], [], 0
-        if lines:
-            yield lines_out(batch, lines, places)
+            cuts = [_cut(text) if text is not None else [] for text in batch.column(2).slice(at, 512).to_pylist()]
+            sizes = np.array([len(x) for x in cuts], np.int64)
+            counts += sizes.tolist()
+            blanks += [[pos for pos, line in enumerate(cut) if not line] for cut in cuts]
+            rows = np.repeat(np.arange(len(cuts)), sizes)
+            places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            lines = [line for cut in cuts for line in cut]
+            ids = _hashes(lines)
+            kept = [i for i, x in enumerate(ids.tolist()) if lines[i] and x not in seen and not seen.add(x)]
+            lines = [lines[i] for i in kept]
+            rows, places, ids = (x[kept] for x in (rows + at, places, ids))
+            chunk = np.cumsum([len(x) + shingle for x in lines]) // CHUNK
+            ends = [0, *(np.nonzero(chunk[1:] != chunk[:-1])[0] + 1).tolist(), len(lines)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if b > a:
+                    yield lines_out(batch, lines[a:b], rows[a:b], ids[a:b], places[a:b])
         n = batch.num_rows
-        nothing = [pa.nulls(n, x) for x in (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())]
+        nothing = [pa.nulls(n, x) for x in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *nothing, pa.array(counts, pa.int64()), pa.array(blanks, pa.list_(pa.int32()))], names)
 
 
@@ -170,8 +170,9 @@ def _picked(batches: Iterator, wanted: Sieve) -> Iterator:
         seen: set[int] = set()
         for at in range(0, batch.num_rows, 512):
             lines = [line for text in batch.column(0).slice(at, 512).to_pylist() if text for line in _cut(text) if line]
-            ids = np.fromiter(map(_hash, lines), np.int64, len(lines))
-            keep = [i for i in np.nonzero(wanted(ids.view(np.uint64)))[0].tolist() if ids[i] not in seen and not seen.add(ids[i])]
+            ids = _hashes(lines)
+            passed = np.nonzero(wanted(ids.view(np.uint64)))[0]
+            keep = [i for i, x in zip(passed.tolist(), ids[passed].tolist(), strict=True) if x not in seen and not seen.add(x)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([lines[i] for i in keep], pa.string())], ["id", "line"])
 
 
@@ -201,23 +202,25 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _signatures(slim: DataFrame, shingle: int) -> DataFrame:
     kind = slim.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, thash long, id long, pos int, bands array<long>, sketch binary, n_lines long, blank array<int>"
-    return stored(slim.mapInArrow(lambda it: _signed(it, shingle), schema))
+    schema = f"doc {kind}, thash long, id long, pos int, bands binary, sketch binary, n_lines long, blank array<int>"
+    # random bytes make no dictionary
+    plain = {f"parquet.enable.dictionary#{x}": "false" for x in ("id", "bands", "sketch")}
+    return stored(slim.mapInArrow(lambda it: _signed(it, shingle), schema), **plain)
 
 
 def components(slim: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id, first) of every different line of (doc, thash, text), and (node, root) of the lines with near-copies."""
     lines = signed.where("id is not null")
     # a line that comes in several batches is there as often, which only these two tables have to mind
-    firsts = stored(lines.groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first")))
+    firsts = stored(lines.repartition("id").groupBy("id").agg(F.min(F.struct("doc", "thash", "pos")).alias("first")))
 
     def sketches(ids: DataFrame) -> DataFrame:
-        return sieved(lines.select("id", "sketch"), "id", ids).groupBy("id").agg(F.first("sketch").alias("sketch"))
+        return sieved(lines.select("id", "sketch"), "id", ids).repartition("id").groupBy("id").agg(F.first("sketch").alias("sketch"))
 
     def texts(ids: DataFrame) -> DataFrame:
         shared = slim.sparkSession.sparkContext.broadcast(sieve(ids))
         rows = slim.select("text").mapInArrow(lambda it: _picked(it, shared.value), "id long, line string")
-        return rows.groupBy("id").agg(F.first("line").alias("line"))
+        return rows.repartition("id").groupBy("id").agg(F.first("line").alias("line"))
 
     members = grouped(lines.select("id", "bands"), BANDS)
     return firsts, linked(members, sketches, texts, lambda x: shingles(x, shingle), similarity, BLOCK, cuts=lambda x: all_shingles(x, shingle))
@@ -226,10 +229,11 @@ def components(slim: DataFrame, signed: DataFrame, shingle: int, similarity: flo
 def _kept(slim: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Rows (doc, thash, places): where the lines that stay come first."""
     firsts, roots = components(slim, signed, shingle, similarity)
-    everyone = roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))
-    best = everyone.join(firsts, F.col("node") == F.col("id")).groupBy("root").agg(F.min_by("node", "first").alias("winner"))
-    gone = settle(everyone.join(best, "root").where("node != winner").select(F.col("node").alias("id")))
-    stay = firsts.join(gone, "id", "left_anti").select("first.*")
+    everyone = settle(roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root")))
+    # of each component the first place stays; its lines are told by their ids alone, so none is joined by component
+    best = everyone.join(firsts, F.col("node") == F.col("id")).groupBy("root").agg(F.min("first").alias("first"))
+    alone = firsts.join(everyone, F.col("node") == F.col("id"), "left_anti")
+    stay = alone.select("first.*").unionByName(best.select("first.*"))
     return stay.groupBy("doc", "thash").agg(F.collect_list("pos").alias("places"))
 
 

@@ -56,6 +56,11 @@ class Hashes:
         return len(self.values)
 
 
+def may_reach(a: int, b: int, similarity: float) -> bool:
+    """Whether sets of these sizes can have that similarity."""
+    return min(a, b) >= similarity * max(a, b) * (1 - 1e-9)
+
+
 def jaccard(a: Hashes, b: Hashes) -> float:
     import numpy as np
 
@@ -72,7 +77,9 @@ def packed(minima, filled):
     """Sketches of half a byte a bin from its smallest hash: 0 for an empty bin, else 1 to 15."""
     import numpy as np
 
-    halves = np.where(filled, minima % np.uint64(15) + np.uint64(1), 0).astype(np.uint8)
+    if minima.max(initial=0) < 1 << 32:
+        minima = minima.astype(np.uint32)  # divided faster
+    halves = (minima % 15 + 1).astype(np.uint8) * filled
     return halves[:, ::2] | halves[:, 1::2] << 4
 
 
@@ -95,11 +102,29 @@ def alike(a, b, similarity: float):
     return agree >= np.floor(used * rate - 4.6 * np.sqrt(used * rate * (1 - rate)))
 
 
-def _sketches(column):
+def packed_rows(table):
+    """A binary column of the bytes of each row of a table of numbers."""
     import numpy as np
+    import pyarrow as pa
 
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), len(rows[0]) if rows else 0)
+    ends = np.arange(len(table) + 1, dtype=np.int32) * np.int32(table[:1].nbytes)
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def octets(column):
+    """The bytes of a binary column without nulls, one value after the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[1]]
+
+
+def _sketches(column):
+    return octets(column).reshape(len(column), -1 if len(column) else 0)
 
 
 # --- bands --------------------------------------------------------------------------------
@@ -109,8 +134,12 @@ def _sorted_pairs(bands, ids):
     """Different (band, id) by band, in an order of ids that each band shuffles anew, and the first of each band."""
     import numpy as np
 
-    order = np.lexsort((ids ^ bands, bands))
+    order = np.argsort(bands)
     bands, ids = bands[order], ids[order]
+    # most bands have one id; only the ids of the others are sorted
+    same = bands[1:] == bands[:-1]
+    several = np.nonzero(np.append(same, False)[: len(bands)] | np.append(False, same)[: len(bands)])[0]
+    ids[several] = ids[several][np.lexsort((ids[several] ^ bands[several], bands[several]))]
     new = np.append(True, (bands[1:] != bands[:-1]) | (ids[1:] != ids[:-1]))[: len(bands)]
     bands, ids = bands[new], ids[new]
     start = np.nonzero(np.append(True, bands[1:] != bands[:-1])[: len(bands)])[0]
@@ -125,8 +154,10 @@ def _packed_pairs(batches: Iterator, parts: int) -> Iterator:
     def rows(part, columns, crowd: bool) -> list[dict]:
         if not len(part):
             return []
-        order = np.argsort(part, kind="stable")
-        part, table = part[order], np.stack([x[order] for x in columns], 1)
+        table = np.stack(columns, 1)
+        if crowd:
+            order = np.argsort(part, kind="stable")
+            part, table = part[order], table[order]
         start = np.nonzero(np.append(True, part[1:] != part[:-1])[: len(part)])[0].tolist()
         return [{"part": int(part[a]), "crowd": crowd, "pairs": table[a:b].tobytes()} for a, b in zip(start, [*start[1:], len(part)], strict=True)]
 
@@ -137,7 +168,9 @@ def _packed_pairs(batches: Iterator, parts: int) -> Iterator:
         # two of a crowd go on, so that their band counts as open wherever a third text meets them
         stay = ~crowded
         stay[start] = stay[start[size > 1] + 1] = True
-        out = rows((bands[stay].view(np.uint64) % np.uint64(parts)).astype(np.int64), [bands[stay], ids[stay]], False)
+        on = bands[stay]
+        # ranges of bands, which are sorted, make the parts
+        out = rows(((on.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), [on, ids[stay]], False)
         spread = (ids[crowded].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(parts)
         return out + rows(spread.astype(np.int64), [bands[crowded], ids[crowded], centre[crowded]], True)
 
@@ -145,8 +178,13 @@ def _packed_pairs(batches: Iterator, parts: int) -> Iterator:
     bands, ids, held = [], [], 0
     for batch in batches:
         lists = batch.column(1)
-        bands.append(lists.flatten().to_numpy())
-        ids.append(np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()))
+        if pa.types.is_list(lists.type) or pa.types.is_large_list(lists.type):
+            bands.append(lists.flatten().to_numpy())
+            size = lists.value_lengths().to_numpy()
+        else:
+            bands.append(octets(lists).view(np.int64))
+            size = len(bands[-1]) // max(1, len(lists))
+        ids.append(np.repeat(batch.column(0).to_numpy(), size))
         held += len(bands[-1])
         if held >= RUN:
             yield pa.RecordBatch.from_pylist(flush(bands, ids), schema=schema)
@@ -189,7 +227,7 @@ def _met(batches: Iterator) -> Iterator:
 def grouped(signed: DataFrame, per_id: int) -> DataFrame:
     """Rows (band, id, centre, open) of the (id, bands) that share a band with other ids; repeated rows are harmless.
 
-    Only a band that is ``open`` may have pairs without its centre.
+    ``bands`` is an array of longs, or ``per_id`` of them packed in bytes.  Only a band that is ``open`` may have pairs without its centre.
     """
     width = shuffle_width(signed.sparkSession)
     parts = max(width, math.ceil(signed.count() * per_id / PART))
@@ -260,6 +298,25 @@ def _starts(places):
     return np.nonzero(np.append(True, new)[: len(places)])[0]
 
 
+def _by_id(batches: Iterator) -> Iterator:
+    """(id, centre, band, open), sorted by id, to a row of each id with its different centres and open bands."""
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(of, values, n: int):
+        """The different values of each of ``n`` ids."""
+        order = np.lexsort((values, of))
+        of, values = of[order], values[order]
+        new = np.append(True, (of[1:] != of[:-1]) | (values[1:] != values[:-1]))[: len(of)]
+        return pa.ListArray.from_arrays(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32), pa.array(values[new]))
+
+    for rows, start in whole_blocks(batches, ("id",)):
+        ids, centres, bands = (rows.column(x).to_numpy() for x in range(3))
+        open_ = rows.column(3).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[start]), lists(of, centres, len(start)), lists(of[open_], bands[open_], len(start))], ["id", "centres", "bands"])
+
+
 def _wheels(batches: Iterator, parts: int, crowded: dict[int, int]) -> Iterator:
     """(id, centres, sketch) to ``_packed_rows``: blocks of a centre (as band) and rows to compare with it; of a crowded centre several."""
     import numpy as np
@@ -303,7 +360,7 @@ def _sorted_out(batches: Iterator, near: Callable) -> Iterator:
 def similar(left: list, right: list, cuts: Callable, similarity: float):
     """Whether pairs of texts are similar enough; ``cuts`` gives (place in a list of texts, hash) of all their shingles.
 
-    The shingles of up to ``PAIRS`` pairs are sorted at once, by the pair and then 56 bits of the hash.
+    The shingles of up to ``PAIRS`` pairs are sorted at once, by the pair, 55 bits of the hash and the side.
     """
     import numpy as np
 
@@ -312,13 +369,19 @@ def similar(left: list, right: list, cuts: Callable, similarity: float):
     while at < len(left):
         end = min(at + PAIRS, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right"))))
         sides = []
-        for texts in (left[at:end], right[at:end]):
-            place, hashed = cuts(texts)
-            keys = np.sort(place.astype(np.uint64) << np.uint64(56) | hashed >> np.uint64(8))
-            sides.append(keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]])
-        every = np.sort(np.concatenate(sides))
-        count = lambda x: np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=end - at)  # noqa: B023, E731
-        both = count(every[1:][every[1:] == every[:-1]])
+        for side, texts in enumerate((left[at:end], right[at:end])):
+            place, keys = cuts(texts)
+            keys >>= np.uint64(9)
+            keys <<= np.uint64(1)
+            keys |= place.view(np.uint64) << np.uint64(56)
+            keys |= np.uint64(side)
+            sides.append(keys)
+        every = np.concatenate(sides)
+        every.sort()
+        every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]
+        pairs = np.arange(end - at, dtype=np.uint64) << np.uint64(56)
+        count = lambda x: np.diff(np.append(np.searchsorted(x, pairs), len(x)))  # noqa: B023, E731
+        both = count(every[1:][every[1:] ^ every[:-1] == 1])
         keep[at:end] = both / np.maximum(1, count(every) - both) >= similarity
         at = end
     return keep
@@ -451,20 +514,36 @@ def _texts_by_part(batches: Iterator, parts: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(part[start]), blobs, *taken], ["part", "places", "id", "root", "sketch", "line"])
 
 
-def _joined(batches: Iterator, cut: Callable, similarity: float, near: Callable) -> Iterator:
+def _sets(texts: list, cuts: Callable) -> list[Hashes]:
+    """The sets of shingles of texts that ``cuts`` gives (see ``similar``), of 56 bits a hash."""
+    import numpy as np
+
+    ends, at, found = np.cumsum([len(x) for x in texts]), 0, []
+    while at < len(texts):
+        end = min(at + PAIRS, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right"))))
+        place, hashed = cuts(texts[at:end])
+        keys = np.sort(place.astype(np.uint64) << np.uint64(56) | hashed >> np.uint64(8))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        starts = np.searchsorted(keys, np.arange(1, end - at, dtype=np.uint64) << np.uint64(56))
+        found += [Hashes(x) for x in np.split(keys & np.uint64((1 << 56) - 1), starts)]
+        at = end
+    return found
+
+
+def _joined(batches: Iterator, cut: Callable, similarity: float, near: Callable, cuts: Callable | None = None) -> Iterator:
     """Rows of ``_texts_by_part`` by part to links between components of a block, at most one for each two that get joined."""
     import numpy as np
     import pyarrow as pa
 
     def of_part(held: list[tuple]):
-        places = np.concatenate([np.frombuffer(x[0], _PLACE) for x in held])
+        places = np.frombuffer(b"".join([x[0] for x in held]), _PLACE)
         row = np.repeat(np.arange(len(held)), [len(x[0]) // places.itemsize for x in held])
         order = np.lexsort([places[x] for x in ("id", "high", "low", "band")])
         places, row = places[order], row[order]
         ids, lines = [x[1] for x in held], [x[4] for x in held]
         sketch = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)[row]
         parent: dict[int, int] = {}
-        cut_once = functools.cache(lambda i: cut(lines[i]))
+        sets: dict[int, Hashes] = {}
         links: list[tuple[int, int]] = []
 
         def find(x: int) -> int:
@@ -473,10 +552,19 @@ def _joined(batches: Iterator, cut: Callable, similarity: float, near: Callable)
             return x
 
         for left, right in _near(places, places["root"], sketch, _starts(places), near):
-            met = np.unique(np.stack([row[left], row[right]], 1), axis=0)  # texts may meet in several blocks
-            for i, j in met.tolist():
+            met = np.unique(row[left] * len(held) + row[right])  # texts may meet in several blocks
+            first, second = met // len(held), met % len(held)
+            if cuts:
+                new = [x for x in np.unique(np.append(first, second)).tolist() if x not in sets]
+                sets.update(zip(new, _sets([lines[x] for x in new], cuts), strict=True))
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
                 a, b = find(held[i][2]), find(held[j][2])
-                if a != b and jaccard(cut_once(i), cut_once(j)) >= similarity:
+                if a == b:
+                    continue
+                for x in (i, j):
+                    if x not in sets:
+                        sets[x] = cut(lines[x])
+                if may_reach(len(sets[i]), len(sets[j]), similarity) and jaccard(sets[i], sets[j]) >= similarity:
                     parent[max(a, b)] = min(a, b)
                     links.append((ids[i], ids[j]))
         columns = list(zip(*links, strict=True)) if links else [[], []]
@@ -501,14 +589,15 @@ def _open_bands(opens: DataFrame, block: int) -> tuple[Sieve, dict, int]:
     """
     labelled = opens.select("id", "root", F.explode("bands").alias("band"))
     by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"))
-    bands = stored(by_root.groupBy("band").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.bit_xor("of").alias("of")
-    ))
+    bands = stored(by_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.bit_xor("of").alias("of")))
     # bands of the same texts are compared once
-    once = stored(bands.where("roots > 1 and n > 2").groupBy("of", "n", "main", "inner").agg(F.min("band").alias("band")))
-    cuts = F.struct("main", F.ceil(F.col("inner") / block).cast("int").alias("inside"), F.ceil((F.col("n") - F.col("inner")) / block).cast("int").alias("outside"))
-    large = {x: tuple(of.values()) for x, of in _listed(once.where(F.col("n") > block).select("band", cuts.alias("of")))}
-    large = {x: None for x, _ in _listed(bands.where(F.col("n") > block).select("band", "n"))} | large
+    once = stored(bands.where("roots > 1 and n > 2").groupBy("of", "n", "inner").agg(F.min("band").alias("band")))
+    large = {x: None for x, _ in _listed(bands.where(F.col("n") > block).select("band", "n"))}
+    if large:
+        sizes = (F.ceil(F.col("inner") / block).cast("int"), F.ceil((F.col("n") - F.col("inner")) / block).cast("int"))
+        split = once.where(F.col("n") > block).select("band", *(x.alias(name) for x, name in zip(sizes, ("inside", "outside"), strict=True)))
+        main = by_root.join(split, "band").groupBy("band", "inside", "outside").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        large |= {x: tuple(of) for x, *of in _listed(main.select("band", "main", "inside", "outside"))}
     return sieve(once.where(F.col("n") <= block).select("band")), large, once.agg(F.sum("n")).first()[0] or 0
 
 
@@ -538,9 +627,11 @@ def linked(
     def packed_by_part(rows: DataFrame, pack: Callable, schema: str) -> DataFrame:
         return rows.mapInArrow(pack, schema).repartition(width, "part").sortWithinPartitions("part")
 
-    sketches = stored(sketches_of(members.select("id").distinct()))
     # a row of an id has all that is known of it, so ids are joined, not their bands
-    wheels = members.groupBy("id").agg(F.collect_set("centre").alias("centres")).join(sketches, "id").select("id", "centres", "sketch")
+    met_by_id = members.repartition("id").sortWithinPartitions("id").select("id", "centre", "band", "open")
+    by_id = stored(met_by_id.mapInArrow(_by_id, "id long, centres array<long>, bands array<long>"))
+    sketches = stored(sketches_of(by_id.select("id")))
+    wheels = by_id.select("id", "centres").join(sketches, "id").select("id", "centres", "sketch")
     crowded = {x: math.ceil(n / CROWDED) for x, n in _listed(members.groupBy("centre").count().where(F.col("count") > CROWDED))}
     parts = max(width, math.ceil(members.count() / SPAN))
     likely = stored(packed_by_part(wheels, lambda it: _wheels(it, parts, crowded), _PACKED).mapInArrow(lambda it: _sorted_out(it, near), "a long, b long"))
@@ -549,7 +640,7 @@ def linked(
     links = settle(both(likely, lines, "line").mapInArrow(lambda it: _verified(it, cut, similarity, cuts), "a long, b long"))
     roots = connected_components(links)
 
-    opens = members.where("open").groupBy("id").agg(F.collect_set("band").alias("bands")).join(roots, F.col("id") == F.col("node"), "left")
+    opens = by_id.select("id", "bands").where(F.size("bands") > 0).join(roots, F.col("id") == F.col("node"), "left")
     opens = stored(opens.select("id", F.coalesce("root", "id").alias("root"), "bands"))
     wanted, large, held = _open_bands(opens, block)
     shared = members.sparkSession.sparkContext.broadcast((wanted, large))
@@ -565,5 +656,5 @@ def linked(
     kind = lines.schema["line"].dataType.simpleString()
     split = max(width, math.ceil(left.count() / TEXTS))
     rest = packed_by_part(rest, lambda it: _texts_by_part(it, split), f"part int, places binary, id long, root long, sketch binary, line {kind}")
-    rest = rest.mapInArrow(lambda it: _joined(it, cut, similarity, near), "a long, b long")
+    rest = rest.mapInArrow(lambda it: _joined(it, cut, similarity, near, cuts), "a long, b long")
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
