@@ -440,7 +440,7 @@ def pairs_within(starts, rows: int, most: int = 1 << 18) -> Iterator:
 def _near(places, root, sketch, starts, near: Callable) -> Iterator:
     """Pairs of rows of one block that may be linked: other components, alike sketches, not dealt with in another block."""
     side, low, high = (places[x] for x in ("side", "low", "high"))
-    for left, right in pairs_within(starts, len(places), (1 << 24) // max(64, sketch.shape[1])):
+    for left, right in pairs_within(starts, len(places), (1 << 22) // max(64, sketch.shape[1])):
         open_ = (root[left] != root[right]) & ((low[left] == high[left]) | (side[left] != side[right]))
         left, right = left[open_], right[open_]
         keep = near(sketch[left], sketch[right])
