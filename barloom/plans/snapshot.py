@@ -33,8 +33,10 @@ class Snapshot:
     index_rows: DataFrame
 
 
-def corporate_actions(filings: DataFrame, bars: DataFrame, order: tuple[str, ...] = ("source_ex_date", "subject")) -> DataFrame:
-    return act.dedup_actions(act.verify_actions(filings, bars), order)
+def corporate_actions(
+    filings: DataFrame, bars: DataFrame, order: tuple[str, ...] = ("source_ex_date", "subject"), keys: tuple[str, ...] | None = None
+) -> DataFrame:
+    return act.dedup_actions(act.verify_actions(filings, bars, keys), order)
 
 
 def snapshot(
